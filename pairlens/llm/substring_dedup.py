@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import text_bytes
-from .words import Runs, U, all_words, blocks, grouped, run_starts
+from .words import Runs, U, all_words, blocks, grouped, pieces, run_starts
 
 LEVELS = (1, 2, 4, 8)
-LAST = 1 << 63
+#: Bytes of text that a sender settles at once; its arrays take about 20 times as much.
+CHUNK_BYTES = 6 << 20
 _SENT = "bucket int, ids binary, keys binary, counts binary, positions binary, runs binary"
 _MARKS = "id long, key long, marks binary"
 
@@ -105,7 +106,7 @@ def _sender(length: int, to, buckets: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = to.value
-        for batch in batches:
+        for batch in pieces(batches, 2, CHUNK_BYTES):
             ids = batch.column(0).to_numpy()
             keys = batch.column(1).to_numpy()
             by_id = np.lexsort((keys, ids))

@@ -117,6 +117,17 @@ def blocks(column: pa.Array, lower: bool, size: int = BLOCK_BYTES) -> Iterator[t
         at = end
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about ``size`` bytes in column number ``text``, to bound a worker's memory."""
+    for batch in batches:
+        _, off = texts_of(batch.column(text))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def all_words(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, bounds by row) of a whole column."""
     hashes, bounds, base = [], [np.zeros(1, np.int64)], 0
