@@ -37,6 +37,8 @@ _LOWER = _EXACT.copy()
 _LOWER[65:91] = _EXACT[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: For bare words: all ASCII but letters and digits parts words.
+_MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -62,6 +64,11 @@ class Words:
     ends: np.ndarray
     bounds: np.ndarray
     hashes: np.ndarray
+    sums: np.ndarray | None = None
+
+    def stems(self, size: int) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes."""
+        return mix((self.sums[np.minimum(self.starts + size, self.ends)] - self.sums[self.starts]) * powers(_BASE, len(self.data) + 1)[1][self.starts] + U(1))
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
@@ -82,12 +89,12 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool, bare: bool = False) -> Words:
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return Words(data, offsets, z, z, np.zeros(len(offsets), np.int64), z.astype(U))
-    solid = ~_SPACE[data]
+        return Words(data, offsets, z, z, np.zeros(len(offsets), np.int64), z.astype(U), np.zeros(1, U))
+    solid = ~(_MARKS if bare else _SPACE)[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = solid[:-1]
@@ -104,16 +111,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     sums[0] = 0
     np.cumsum((_LOWER if lower else _EXACT)[data] * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
+    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes, sums)
 
 
-def blocks(column: pa.Array, lower: bool, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def blocks(column: pa.Array, lower: bool, size: int = BLOCK_BYTES, bare: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) for runs of rows of about ``size`` bytes."""
     data, off = texts_of(column)
     at, n = 0, len(off) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
-        yield at, end, words(data[off[at] : off[end]], off[at : end + 1] - off[at], lower)
+        yield at, end, words(data[off[at] : off[end]], off[at : end + 1] - off[at], lower, bare)
         at = end
 
 
