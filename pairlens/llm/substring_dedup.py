@@ -33,13 +33,16 @@ from .words import Runs, U, all_words, blocks, grouped, pieces, run_starts
 LEVELS = (1, 2, 4, 8)
 #: Bytes of text that a sender settles at once; its arrays take about 20 times as much.
 CHUNK_BYTES = 6 << 20
-_SENT = "bucket int, ids binary, keys binary, counts binary, positions binary, runs binary"
-_MARKS = "id long, key long, marks binary"
+#: A record holds suffixes of several documents: n ids with their keys, how many positions each has, and the positions.
+_SENT = "bucket int, n int, ids binary, keys binary, counts binary, positions binary, runs binary"
+_MARKS = "part int, n int, ids binary, keys binary, counts binary, positions binary"
+#: Bytes of texts that are cleaned together.
+PART_BYTES = 12 << 20
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).bitwiseAND(0xFFFFFFFF).alias("key"), text.alias("text"))
 
 
 def _slots(runs: Runs, at: np.ndarray, level: int, length: int, slots: int) -> np.ndarray:
@@ -101,8 +104,25 @@ def _unpacked(buf: bytes, dtype, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(buf, n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
 
 
+def _record(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> list:
+    """Rising ids with their keys, and each one's rising positions, packed."""
+    first = np.cumsum(counts) - counts
+    p = positions.astype(np.int64)
+    step = np.diff(p, prepend=0)
+    step[first] = p[first]
+    return [len(ids), _packed(np.diff(ids, prepend=0)), keys.astype(np.uint32).tobytes(), _packed(counts.astype(np.uint32)), _packed(step.astype(np.uint32))]
+
+
+def _unrecord(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = row["n"]
+    counts = _unpacked(row["counts"], np.uint32, n).astype(np.int64)
+    step = _unpacked(row["positions"], np.uint32, int(counts.sum())).astype(np.int64)
+    total, first = np.cumsum(step), np.cumsum(counts) - counts
+    return np.cumsum(_unpacked(row["ids"], np.int64, n)), np.frombuffer(row["keys"], np.uint32).astype(np.int64), counts, total - np.repeat(total[first] - step[first], counts)
+
+
 def _sender(length: int, to, buckets: int):
-    """Rows for buckets, and with bucket -1-b a batch's own marks, spread over the partitions."""
+    """Records for buckets, and with bucket -1-b a batch's own marks, spread over the partitions."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = to.value
@@ -124,91 +144,83 @@ def _sender(length: int, to, buckets: int):
             seen = np.zeros(len(at), bool)
             seen[order] = ids[doc[order]] > least
             rest = np.flatnonzero(~seen)
-            out = {n: [] for n in ("bucket", "ids", "keys", "counts", "positions", "runs")}
-
-            def add(bucket: int, which: np.ndarray, runs_too: bool, out=out, doc=doc, pos=pos, ids=ids, keys=keys, prints=prints) -> None:
-                d, first, n = np.unique(doc[which], return_index=True, return_counts=True)
-                p = pos[which].astype(np.int64)
-                step = np.diff(p, prepend=0)
-                step[first] = p[first]
-                out["bucket"].append(bucket)
-                out["ids"].append(ids[d].tobytes())
-                out["keys"].append(keys[d].tobytes())
-                out["counts"].append(n.astype(np.uint32).tobytes())
-                out["positions"].append(_packed(step.astype(np.uint32)))
-                out["runs"].append(prints[which].tobytes() if runs_too else None)
+            out = []
+
+            def add(bucket: int, which: np.ndarray, own: np.ndarray | None, out=out, doc=doc, pos=pos, ids=ids, keys=keys) -> None:
+                d, n = np.unique(doc[which], return_counts=True)
+                out.append([bucket, *_record(ids[d], keys[d], n, pos[which]), own if own is None else own[which].tobytes()])
 
             bucket = _route(runs, at[rest], length, table, buckets)
             sort = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[sort], prepend=-1))
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(sort)), strict=True):
-                add(int(bucket[sort[lo]]), rest[sort[lo:hi]], True)
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(sort))[: len(cuts)], strict=True):
+                add(int(bucket[sort[lo]]), rest[sort[lo:hi]], prints)
             if len(known := np.flatnonzero(seen)):
-                parts = np.array_split(known, min(buckets, 1 + len(known) // 200_000))
-                for k, part in enumerate(parts):
-                    if len(part):
-                        add(-1 - (int(ids[0]) + k) % buckets, part, False)
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[n], pa.binary()) for n in list(out)[1:])], list(out))
+                add(-1 - int(ids[0] % buckets), known, None)
+            yield pa.RecordBatch.from_pylist([dict(zip(SENT.names, r, strict=True)) for r in out], SENT)
 
     return send
 
 
-def _read(rows: list[dict]):
-    ids, keys, pos, runs = [], [], [], []
-    for r in rows:
-        n = np.frombuffer(r["counts"], np.uint32)
-        step = _unpacked(r["positions"], np.uint32, int(n.sum())).astype(np.int64)
-        total = np.cumsum(step)
-        first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-        pos.append((total - np.repeat(total[first] - step[first], n)).astype(np.uint32))
-        ids.append(np.repeat(np.frombuffer(r["ids"], np.int64), n))
-        keys.append(np.repeat(np.frombuffer(r["keys"], np.int64), n))
-        if r["runs"] is not None:
-            runs.append(np.frombuffer(r["runs"], U))
-    return np.concatenate(ids), np.concatenate(keys), np.concatenate(pos), np.concatenate(runs) if runs else None
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(parts: int):
     """One bucket at a time: sort its suffixes, mark those below a node that a smaller id shares."""
-    marked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held: list[dict] = []
 
-    def close() -> None:
-        if not held:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[dict] = []
+
+        def close() -> None:
+            if not held:
+                return
+            read = [_unrecord(r) for r in held]
+            ids = np.concatenate([np.repeat(r[0], r[2]) for r in read])
+            keys = np.concatenate([np.repeat(r[1], r[2]) for r in read])
+            pos = np.concatenate([r[3] for r in read]).astype(np.uint32)
+            if held[0]["runs"] is not None:
+                order, starts = grouped(np.concatenate([np.frombuffer(r["runs"], U) for r in held]))
+                least = np.minimum.reduceat(ids[order], starts)
+                hit = order[ids[order] > np.repeat(least, np.diff(np.append(starts, len(order))))]
+                ids, keys, pos = ids[hit], keys[hit], pos[hit]
+            marked.append((ids, keys.astype(np.uint32), pos))
+            held.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["bucket"] != row["bucket"]:
+                    close()
+                held.append(row)
+        close()
+        if not marked:
             return
-        ids, keys, pos, runs = _read(held)
-        if runs is None:
-            marked.append((ids, keys, pos))
-        else:
-            order, starts = grouped(runs)
-            least = np.minimum.reduceat(ids[order], starts)
-            hit = order[ids[order] > np.repeat(least, np.diff(np.append(starts, len(order))))]
-            marked.append((ids[hit], keys[hit], pos[hit]))
-        held.clear()
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
-                close()
-            held.append(row)
-    close()
-    if marked:
         ids, keys, pos = (np.concatenate(x) for x in zip(*marked, strict=True))
         marked.clear()
-        order = np.lexsort((keys, ids))
-        ids, keys, pos = ids[order], keys[order], pos[order]
-        step = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(keys) != 0)])) if len(ids) else np.zeros(0, np.int64)
-        ends = np.append(step[1:], len(ids))
-        for lo in range(0, len(step), 20_000):
-            some = range(lo, min(lo + 20_000, len(step)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[step[lo : lo + 20_000]]), pa.array(keys[step[lo : lo + 20_000]]), pa.array([pos[step[i] : ends[i]].tobytes() for i in some], pa.binary())], ["id", "key", "marks"])
-
-
-def repeat_marks(docs: DataFrame, id_col: str, text_col: str, min_words: int, bucket_words: int = 4_000_000) -> DataFrame:
-    """(id, key, list of packed uint32 window starts) of the documents that repeat a smaller one's words."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col)
-    _, size = text_bytes(docs, text_col)
+        if not len(ids):
+            return
+        part = part_of(ids, parts)
+        order = np.lexsort((pos, keys, ids, part))
+        ids, keys, pos, part = ids[order], keys[order], pos[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
+            i, k = ids[lo:hi], keys[lo:hi]
+            first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])]))
+            record = _record(i[first], k[first], np.diff(np.append(first, hi - lo)), pos[lo:hi])
+            yield pa.RecordBatch.from_pylist([dict(zip(MARKS.names, [int(part[lo]), *record], strict=True))], MARKS)
+
+    return settle
+
+
+def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The part that cleans an id; its SQL twin is in remove_repeats."""
+    return ((ids & 0x7FFFFFFF) * 2654435761 % 2147483647 % parts).astype(np.int32)
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *((n, pa.binary()) for n in ("ids", "keys", "counts", "positions", "runs"))])
+MARKS = pa.schema([("part", pa.int32()), ("n", pa.int32()), *((n, pa.binary()) for n in ("ids", "keys", "counts", "positions"))])
+
+
+def repeat_marks(keyed: DataFrame, size: int, parts: int, min_words: int, bucket_words: int) -> DataFrame:
+    """Packed positions, by part, of the words from which ``min_words`` words repeat a smaller id's."""
+    spark = keyed.sparkSession
     buckets = max(4, size // 6 // bucket_words + 1) * 2
     slots = 1 << min(17, max(10, int(buckets * 8).bit_length()))
     counts = np.zeros(len(LEVELS) * slots, np.int64)
@@ -216,53 +228,49 @@ def repeat_marks(docs: DataFrame, id_col: str, text_col: str, min_words: int, bu
         counts[r["slot"]] = r["n"]
     to = spark.sparkContext.broadcast(plan_groups(counts.reshape(len(LEVELS), slots), buckets))
     sent = keyed.mapInArrow(_sender(min_words, to, buckets), _SENT)
-    settled = sent.repartition(max(4, buckets // 2), F.expr("if(bucket < 0, -1 - bucket, bucket)")).sortWithinPartitions("bucket").mapInArrow(_settle, _MARKS)
-    return settled.groupBy("id", "key").agg(F.collect_list("marks").alias("marks"))
+    return sent.repartition(max(4, buckets // 2), F.expr("if(bucket < 0, -1 - bucket, bucket)")).sortWithinPartitions("bucket").mapInArrow(_settle(parts), _MARKS)
 
 
 def _cleaner(min_words: int, text_too: bool):
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = batch.column("marks")
-            text = batch.column("text")
-            n_words, n_removed, sha, kept = [], [], [], []
-            for lo, hi, w in blocks(text, False):
-                data = w.data.copy()
-                gone = np.zeros(len(w.hashes) + 1, np.int32)
-                for i in range(lo, hi):
-                    m = marks[i]
-                    if m.is_valid:
-                        at = w.bounds[i - lo] + np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in m.values]).astype(np.int64)
-                        at = np.unique(at)
-                        gone[at] += 1
-                        gone[at + min_words] -= 1
-                keep = np.cumsum(gone[:-1]) == 0
-                stop = np.repeat(w.offsets[1:], np.diff(w.bounds))
-                starts, ends = w.starts[keep], w.ends[keep]
-                tail = np.minimum(ends + 1, stop[keep])
-                edge = np.zeros(len(data) + 1, np.int8)
-                edge[starts] += 1
-                edge[tail] -= 1
-                data[ends[ends < stop[keep]]] = 0x20
-                out = data[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes()
-                n = np.diff(w.bounds)
-                left = np.concatenate([[0], np.cumsum(keep)])
-                left = left[w.bounds[1:]] - left[w.bounds[:-1]]
-                length = np.concatenate([[0], np.cumsum(tail - starts)])
-                upto = np.concatenate([[0], np.cumsum(left)])
-                n_words += n.tolist()
-                n_removed += (n - left).tolist()
-                for i in range(hi - lo):
-                    s = out[length[upto[i]] : length[upto[i + 1]]]
-                    if left[i] and s[-1:] == b" ":
-                        s = s[:-1]
-                    if text_too:
-                        kept.append(s)
-                    else:
-                        sha.append(hashlib.sha256(s).hexdigest())
-            rest = [batch.column(i) for i in range(batch.num_columns - 2)]
-            new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()) if text_too else pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays([*rest, *new], [*(batch.schema.names[:-2]), "n_words", "n_removed", "kept_text" if text_too else "kept_sha256"])
+    def clean(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        gone_at: dict[tuple[int, int], list[np.ndarray]] = {}
+        for row in marks.to_pylist():
+            ids, keys, counts, positions = _unrecord(row)
+            for i, k, p in zip(ids.tolist(), keys.tolist(), np.split(positions, np.cumsum(counts)[:-1]), strict=True):
+                gone_at.setdefault((i, k), []).append(p)
+        id_list, key_list = docs.column("id").to_pylist(), docs.column("key").to_pylist()
+        n_words, n_removed, kept = [], [], []
+        for lo, hi, w in blocks(docs.column("text"), False):
+            data = w.data.copy()
+            gone = np.zeros(len(w.hashes) + 1, np.int32)
+            for i in range(lo, hi):
+                if found := gone_at.get((id_list[i], key_list[i])):
+                    at = w.bounds[i - lo] + np.unique(np.concatenate(found))
+                    at = at[at + min_words <= w.bounds[i - lo + 1]]
+                    gone[at] += 1
+                    gone[at + min_words] -= 1
+            keep = np.cumsum(gone[:-1]) == 0
+            stop = np.repeat(w.offsets[1:], np.diff(w.bounds))
+            starts, ends = w.starts[keep], w.ends[keep]
+            tail = np.minimum(ends + 1, stop[keep])
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[starts] += 1
+            edge[tail] -= 1
+            data[ends[ends < stop[keep]]] = 0x20
+            out = data[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes()
+            n = np.diff(w.bounds)
+            left = np.concatenate([[0], np.cumsum(keep)])
+            left = left[w.bounds[1:]] - left[w.bounds[:-1]]
+            length = np.concatenate([[0], np.cumsum(tail - starts)])
+            upto = np.concatenate([[0], np.cumsum(left)])
+            n_words += n.tolist()
+            n_removed += (n - left).tolist()
+            for i in range(hi - lo):
+                s = out[length[upto[i]] : length[upto[i + 1]]]
+                if left[i] and s[-1:] == b" ":
+                    s = s[:-1]
+                kept.append(s.decode() if text_too else hashlib.sha256(s).hexdigest())
+        return pa.table({"id": docs.column("id"), "key": docs.column("key"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text" if text_too else "kept_sha256": pa.array(kept, pa.string())})
 
     return clean
 
@@ -278,8 +286,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other's source, so repeated rows keep their words. Other columns are
     ignored, whatever their names.
     """
-    marks = repeat_marks(docs, id_col, text_col, min_words, bucket_words)
+    _, size = text_bytes(docs, text_col)
+    parts = max(4, size // PART_BYTES + 1)
     mine = _keyed(docs, id_col, text_col)
-    rows = mine.join(marks, ["id", "key"], "left").select("id", "marks", "text")
-    out = rows.mapInArrow(_cleaner(min_words, not digest), f"id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")
-    return out.select(F.expr(f"nullif(id, {2**63 - 1})").alias(id_col), *[c for c in out.columns if c != "id"])
+    marks = repeat_marks(mine, size, parts, min_words, bucket_words)
+    part = F.expr(f"cast((id & 2147483647) * 2654435761 % 2147483647 % {parts} as int)")
+    new = "kept_sha256" if digest else "kept_text"
+    out = mine.withColumn("part", part).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cleaner(min_words, not digest), f"id long, key long, n_words long, n_removed long, {new} string")
+    return out.select(F.expr(f"nullif(id, {2**63 - 1})").alias(id_col), "n_words", "n_removed", new)
