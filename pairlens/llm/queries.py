@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .packing import pack_documents
 from .sharding import shard_rows
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity
@@ -54,3 +55,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     scored = toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), length=1024, end_id=2, digest=True)
