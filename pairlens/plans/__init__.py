@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries when they are imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("metrics_queries",)
 
 
 def load_queries() -> tuple[dict, dict]:
