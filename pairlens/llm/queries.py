@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import as_hex, fingerprint_documents
+from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -60,3 +62,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), length=1024, end_id=2, digest=True)
+
+
+@_query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint_documents(_documents(spark, sf_dir))
+    return made.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), as_hex(F.col("packed")).alias("fingerprint"), as_hex(F.col("edited_packed")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@_query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = lm_scores(_documents(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
