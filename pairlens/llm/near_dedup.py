@@ -8,11 +8,13 @@ threshold, the Jaccard estimate from all registers, corrected for registers that
 agree by chance, and the exact comparison of the full sets.
 
 Copies with the same set are one class and only its smallest id is sketched. In
-a bucket every member is held against the smallest one; after those links are
-merged, a bucket that still holds several components is settled by comparing the
-members outside its largest component with those of the others. A group of n
-near copies thus costs about n comparisons a band instead of n squared, and no
-candidate pair of different components goes unseen.
+a bucket every member is held against the one that shares buckets with most
+documents, the likely original of its copies. Links are merged to components,
+and in a bucket that still holds several, members are held against the best
+connected one outside the largest component. After STARS such rounds what is
+left is settled pair by pair between different components. A group of n near
+copies thus costs about n comparisons a band and round instead of n squared, and
+no candidate pair of different components goes unseen.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ _ADD = mix(np.arange(1001, REGISTERS + 1001, dtype=U))
 _CHANCE = 0.169919487159739093975315012348
 #: The estimate may be this much under the threshold; its deviation at 0.8 is 0.032.
 SLACK = 0.2
+#: Rounds in which a bucket's members are held against one of them.
+STARS = 2
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,21 +172,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = cut(sketches.join(classes, ["hi", "lo", "n"]).where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     singles = sketches.join(copies.select(F.col("b").alias("id")), "id", "left_anti").dropDuplicates(["id"])
     banded = singles.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
+    shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(banded.join(shared, ["band", "key"]))
-    stars = members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = _links(stars, sketches, rows, shingle_words, percent)
-    label = components(links)
-
-    known = members.join(label, "id", "left").select("band", "key", "id", "pivot", F.coalesce("component", "id").alias("c"))
-    sizes = known.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("band", "key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all")).where("parts > 1 and all > 2").drop("parts", "all")
-    open_ = cut(known.join(mixed, ["band", "key"]))
-    x = open_.where("c <> main").select("band", "key", F.col("id").alias("x"), F.col("c").alias("cx"), "pivot")
-    y = open_.select("band", "key", F.col("id").alias("y"), F.col("c").alias("cy"))
-    crossed = x.join(y, ["band", "key"]).where("cx <> cy and x <> pivot and y <> pivot").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _links(crossed, sketches, rows, shingle_words, percent)
-
-    final = components(copies.union(links).union(more))
+    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    ranked = cut(members.drop("size").join(degree, "id"))
+
+    links = tested = label = None
+    for last in [False] * STARS + [True]:
+        known = ranked.withColumn("c", F.col("id"))
+        if label is not None:
+            known = ranked.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        sizes = known.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("degree", -F.col("id"))).alias("top"))
+        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        if last:
+            open_ = cut(known.join(mixed, ["band", "key"]))
+            x = open_.where("c <> main.c").select("band", "key", F.col("id").alias("x"), F.col("c").alias("cx"))
+            y = open_.select("band", "key", F.col("id").alias("y"), F.col("c").alias("cy"))
+            pairs = x.join(y, ["band", "key"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        else:
+            others = sizes.join(mixed, ["band", "key"]).where("c <> main.c or main.size = 1")
+            pivots = others.groupBy("band", "key").agg(F.max(F.struct("top", "c")).alias("p")).select("band", "key", (-F.col("p.top.col2")).alias("pivot"), F.col("p.c").alias("pc"))
+            pairs = known.join(pivots, ["band", "key"]).where("c <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if not last and tested is not None and pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.union(pairs)
+        found = _links(pairs, sketches, rows, shingle_words, percent)
+        links = found if links is None else links.union(found)
+        if not last:
+            label = components(links)
+
+    final = components(copies.union(links))
     out = every.select("id", "n").join(final, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), (F.col("component").isNull() | (F.col("id") == F.col("component"))).alias("kept"))
