@@ -117,7 +117,7 @@ def _buckets(docs: DataFrame, rows: int, bucket_rows: int) -> Column:
     return choose(ladder).cast("int") if ladder else F.lit(0)
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, bucket_rows: int = 4000) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, bucket_rows: int = 1500) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they are.
 
     The next document is the one with the next smaller id, after the smallest id

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audio import align_recordings, fingerprint_audio, render_tones
 from .fingerprints import as_hex, fingerprint_documents
 from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality import quality
 from .sharding import shard_rows
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity
@@ -75,3 +77,16 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     scored = lm_scores(_documents(spark, sf_dir), ~held_out)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    judged = quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return judged.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", "keep")
+
+
+@_query
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audio = render_tones(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return align_recordings(fingerprint_audio(audio, "id", "audio"), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import text_bytes
@@ -40,9 +40,9 @@ _MARKS = "part int, n int, ids binary, keys binary, counts binary, positions bin
 PART_BYTES = 12 << 20
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).bitwiseAND(0xFFFFFFFF).alias("key"), text.alias("text"))
+    return docs.select(*[c.alias("record") for c in more], F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).bitwiseAND(0xFFFFFFFF).alias("key"), text.alias("text"))
 
 
 def _slots(runs: Runs, at: np.ndarray, level: int, length: int, slots: int) -> np.ndarray:
@@ -269,28 +269,34 @@ def _cleaner(min_words: int, text_too: bool):
                 s = out[length[upto[i]] : length[upto[i + 1]]]
                 if left[i] and s[-1:] == b" ":
                     s = s[:-1]
-                kept.append(s.decode() if text_too else hashlib.sha256(s).hexdigest())
-        return pa.table({"id": docs.column("id"), "key": docs.column("key"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text" if text_too else "kept_sha256": pa.array(kept, pa.string())})
+                if not text_too:
+                    kept.append(hashlib.sha256(s).hexdigest())
+                else:
+                    kept.append(s.decode() if left[i] < n[i] else docs.column("text")[lo + i].as_py())
+        return pa.table({"id": docs.column("id"), "record": docs.column("record"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text" if text_too else "kept_sha256": pa.array(kept, pa.string())})
 
     return clean
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, digest: bool = False, bucket_words: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, digest: bool = False, bucket_words: int = 4_000_000, carry: bool = False) -> DataFrame:
     """Remove the words of every run of ``min_words`` words that starts in a document with a smaller id too.
 
     Returns (id, n_words, n_removed, kept_text), or kept_sha256 for kept_text
     with ``digest``; one row for each input row. Kept words are joined by one
-    space. Runs are judged on the input: what is removed from one document does
+    space; a kept_text from which nothing goes is the text as it was. Runs are judged on the input: what is removed from one document does
     not save another. Null and empty texts have no words; a null id counts as
     larger than all others and comes back null. Rows that share an id are not
     each other's source, so repeated rows keep their words. Other columns are
-    ignored, whatever their names.
+    ignored, whatever their names; with ``carry`` they come back, with the id but
+    without the text, in a struct ``record`` in place of the id.
     """
     _, size = text_bytes(docs, text_col)
     parts = max(4, size // PART_BYTES + 1)
     mine = _keyed(docs, id_col, text_col)
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if carry else F.lit(None).cast("int")
+    given = _keyed(docs, id_col, text_col, record)
     marks = repeat_marks(mine, size, parts, min_words, bucket_words)
     part = F.expr(f"cast((id & 2147483647) * 2654435761 % 2147483647 % {parts} as int)")
     new = "kept_sha256" if digest else "kept_text"
-    out = mine.withColumn("part", part).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cleaner(min_words, not digest), f"id long, key long, n_words long, n_removed long, {new} string")
-    return out.select(F.expr(f"nullif(id, {2**63 - 1})").alias(id_col), "n_words", "n_removed", new)
+    out = given.withColumn("part", part).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cleaner(min_words, not digest), f"id long, record {given.schema['record'].dataType.simpleString()}, n_words long, n_removed long, {new} string")
+    return out.select(F.col("record") if carry else F.expr(f"nullif(id, {2**63 - 1})").alias(id_col), "n_words", "n_removed", new)

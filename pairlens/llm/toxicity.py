@@ -189,7 +189,7 @@ def _scorer(ratios, fitted):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, min_count: int = 5, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, min_count: int = 5, threshold: float = 0.3, carry: bool = False) -> DataFrame:
     """(id, score, predicted), one row for each input row.
 
     ``labels`` marks some ids 0 or 1; ``trainable``, a condition on its columns,
@@ -198,7 +198,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str
     tables, which are broadcast. Null labels are ignored. Null and empty texts
     and texts without letters or digits get the score of a neutral text. Without
     a usable label of each class every score is 0. Other columns are ignored,
-    whatever their names.
+    whatever their names; with ``carry`` the result is all columns of ``docs`` as
+    a struct ``record``, score and predicted.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     usable = labels.where(trainable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -207,11 +208,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str
     pick = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1)
     cell = (2 * F.col("label") + F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2))).cast("int").alias("cell")
     sample = cut(rows.join(usable.where(pick), "id").select("text", cell))
+    head = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record") if carry else F.col(id_col).alias("id")
+    given = docs.select(head, F.col(text_col).alias("text"))
+    named = lambda df: df if carry else df.withColumnRenamed("id", id_col)
     if sample.where("cell >= 2").isEmpty() or sample.where("cell < 2").isEmpty():
-        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return named(given.select(given.columns[0], F.lit(0.0).alias("score"), F.lit(0).alias("predicted")))
     sc = docs.sparkSession.sparkContext
     ratios = sc.broadcast(fit_ratios(sample, min_count))
     found = sample.mapInArrow(_features(ratios), "cell int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toPandas().sort_values(["cell", *(f"f{i}" for i in range(FEATURES))])
     fitted = logistic(found[[f"f{i}" for i in range(FEATURES)]].to_numpy(), (found["cell"].to_numpy() >= 2).astype(float))
-    scored = rows.mapInArrow(_scorer(ratios, fitted), docs.select(F.col(id_col).alias("id")).schema.add("score", "double"))
-    return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = given.mapInArrow(_scorer(ratios, fitted), given.select(given.columns[0]).schema.add("score", "double"))
+    return named(scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")))
