@@ -9,8 +9,15 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-STRICT = "ok boolean, kind string, canonical string, keys array<string>, kinds map<string,string>"
+#: A type, not its text: executors import this module before they have a session.
+STRICT = T.StructType(
+    [
+        T.StructField("ok", T.BooleanType()), T.StructField("kind", T.StringType()), T.StructField("canonical", T.StringType()),
+        T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("kinds", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
 
 
 def _unique(pairs: list) -> dict:
@@ -60,13 +67,13 @@ def strict_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ok", "kind", "canonical", "keys", "kinds"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_answer(texts: pd.Series) -> pd.Series:
     """White space collapsed by Unicode rules, then case-folded."""
     return texts.map(lambda t: None if t is None else " ".join(t.split()).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """Sorted keys, no spaces, UTF-8 kept; null where the text is not strict JSON."""
 
@@ -94,7 +101,7 @@ def redact(secrets: list[str], keys: tuple[str, ...] = SECRET_KEYS) -> Callable[
             return [walk(x) for x in v]
         return found.sub("[REDACTED]", v) if found and isinstance(v, str) else v
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         def one(t):
             try:
@@ -115,7 +122,7 @@ def token_count(encoding: str | None = None) -> Callable[[Column], Column]:
     if encoding is None:
         return lambda c: F.regexp_count(c, F.lit("\\w+|[^\\w\\s]"))
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def run(texts: pd.Series) -> pd.Series:
         if encoding not in _token_counters:
             import tiktoken
