@@ -43,8 +43,9 @@ def immutable_upsert(existing: DataFrame, incoming: DataFrame, key: str, content
     hashed = incoming.withColumn("_new", F.sha2(content.cast("string"), 256)).join(old, key, "left")
     clash = F.col("_old").isNotNull() & (F.col("_old") != F.col("_new"))
     if strict:
-        hashed = hashed.where(F.when(clash, F.raise_error(F.concat(F.lit("changed content under "), F.col(key).cast("string")))).isNull())
-        return hashed.where("_old is null").drop("_old", "_new")
+        # One condition: a second filter on _old would run first and hide the clash.
+        changed = F.raise_error(F.concat(F.lit("changed content under "), F.col(key).cast("string"))).cast("boolean")
+        return hashed.where(F.when(clash, changed).otherwise(F.col("_old").isNull())).drop("_old", "_new")
     return hashed.where(F.col("_old").isNull() | clash).withColumn("action", F.when(clash, "conflict").otherwise("insert")).drop("_old", "_new")
 
 

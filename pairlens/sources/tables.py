@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from pairlens.functions.stats import output_speed, token_cost
@@ -12,15 +11,15 @@ from pairlens.functions.stats import output_speed, token_cost
 FAMILIES = (0, 1, 2)
 PRICES = {"default": (0.15, 0.50), "arm3": (0.45, 1.50)}
 
-ITEM_SCHEMA = T.StructType.fromDDL("id string, use_case string, split string, prompt struct<system:string,user:string>, output_schema map<string,string>, gold string, aliases array<string>, tokens map<string,bigint>")
-EVENT_SCHEMA = T.StructType.fromDDL("request_id string, event_index bigint, monotonic_offset_ms double, classification string, reasoning_content string, answer_content string, durability string")
+ITEM_SCHEMA = "id string, use_case string, split string, prompt struct<system:string,user:string>, output_schema map<string,string>, gold string, aliases array<string>, tokens map<string,bigint>"
+EVENT_SCHEMA = "request_id string, event_index bigint, monotonic_offset_ms double, classification string, reasoning_content string, answer_content string, durability string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; a missing path has none, a malformed line raises."""
     try:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -30,7 +29,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         raise
 
 
-def read_json_folder(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document a file, with its name in ``file``."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(path).withColumn("file", F.col("_metadata.file_name"))
 
