@@ -9,12 +9,12 @@ agree by chance, and the exact comparison of the full sets.
 
 Copies with the same set are one class and only its smallest id is sketched. In
 a bucket every member is held against the one that shares buckets with most
-documents, the likely original of its copies. Links are merged to components,
-and in a bucket that still holds several, members are held against the best
-connected one outside the largest component. After STARS such rounds what is
-left is settled pair by pair between different components. A group of n near
-copies thus costs about n comparisons a band and round instead of n squared, and
-no candidate pair of different components goes unseen.
+documents, the likely original of its copies. Links are merged to components.
+Where a bucket then still holds several, those outside its largest component are
+compared with it and with each other, in blocks, first by sketches, then by full
+sets, and only links leave a block. A group of n near copies thus costs about n
+comparisons a band instead of n squared, no candidate pair of different
+components goes unseen, and no list of candidate pairs of a group is ever made.
 """
 
 from __future__ import annotations
@@ -37,10 +37,10 @@ _MUL = mix(np.arange(1, REGISTERS + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1001, REGISTERS + 1001, dtype=U))
 #: Chance agreement of two registers without mantissa bits (HyperMinHash paper, approximate expected collisions).
 _CHANCE = 0.169919487159739093975315012348
-#: The estimate may be this much under the threshold; its deviation at 0.8 is 0.032.
-SLACK = 0.2
-#: Rounds in which a bucket's members are held against one of them.
-STARS = 2
+#: The estimate may be this much under the threshold; its deviation at 0.8 is 0.032, so a pair of that similarity fails with a probability of 1e-6.
+SLACK = 0.15
+#: Guests, and members, of one block.
+BLOCK_ROWS = 1500
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +153,77 @@ def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, p
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verifier(size, percent), "a long, b long"))
 
 
+def _blocks(size: int, percent: int):
+    """Links between the guests of a block and all that is in it, for rows sorted by block."""
+
+    def one(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        ids, comp, n = (t.column(c).to_numpy() for c in ("id", "c", "n"))
+        guest = t.column("guest").to_numpy(zero_copy_only=False).astype(bool)
+        bands = _matrix(t.column("bands").combine_chunks())
+        sets: list[np.ndarray] = []
+        for _, _, w in blocks(t.column("text").combine_chunks(), True):
+            values, bounds = shingle_sets(w, size)
+            sets += np.split(values, bounds[1:-1])
+        a, b = [], []
+        for i in np.flatnonzero(guest):
+            likely = estimate(bands[i], bands, n[i], n) >= percent / 100 - SLACK
+            likely &= (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            joined = set()
+            for j in np.flatnonzero(likely):
+                if comp[j] not in joined:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        joined.add(comp[j])
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("hub", "row", "col")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if key is not None and tuple(keys[lo]) != key:
+                    if (out := one(held)) is not None:
+                        yield out
+                    held = []
+                key = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held and (out := one(held)) is not None:
+            yield out
+
+    return run
+
+
+def _settle(ranked: DataFrame, label: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components that share a bucket.
+
+    The largest component of a bucket is its hub, and members of others are guests
+    of the hub. A hub's guests are compared with its members and with each other
+    in blocks of a bounded size; only links leave a block.
+    """
+    known = ranked.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).select("band", "key", "id", "c")
+    sizes = known.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("size"))
+    hubs = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all")).where("parts > 1 and all > 2").select("band", "key", F.col("main.c").alias("hub"))
+    guests = cut(known.join(hubs, ["band", "key"]).where("c <> hub").select("hub", "id", "c").distinct())
+    members = known.select("id", "c").distinct().join(guests.select(F.col("hub").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("hub"), "id", "c")
+    present = guests.withColumn("guest", F.lit(True)).union(members.select("hub", "id", "c").withColumn("guest", F.lit(False)))
+    shape = present.groupBy("hub").agg(F.ceil(F.count_if("guest") / BLOCK_ROWS).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("cols"))
+    spread = F.xxhash64("id")
+    placed = present.join(shape, "hub")
+    asked = placed.where("guest").select("hub", "id", "c", F.lit(True).alias("guest"), F.pmod(spread, F.col("rows")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
+    all_ = placed.select("hub", "id", "c", F.lit(False).alias("guest"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(spread, F.col("cols")).cast("int").alias("col"))
+    needed = present.select("id").distinct()
+    facts = texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).join(sketches.select("id", "n", "bands").dropDuplicates(["id"]), "id")
+    dealt = asked.union(all_).join(facts, "id").select("hub", "row", "col", "guest", "id", "c", "n", "bands", "text")
+    sorted_ = dealt.repartition("hub", "row", "col").sortWithinPartitions("hub", "row", "col")
+    return cut(sorted_.mapInArrow(_blocks(size, percent), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` or more, directly or through others.
 
@@ -177,30 +248,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = cut(members.drop("size").join(degree, "id"))
 
-    links = tested = label = None
-    for last in [False] * STARS + [True]:
-        known = ranked.withColumn("c", F.col("id"))
-        if label is not None:
-            known = ranked.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
-        sizes = known.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("degree", -F.col("id"))).alias("top"))
-        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        if last:
-            open_ = cut(known.join(mixed, ["band", "key"]))
-            x = open_.where("c <> main.c").select("band", "key", F.col("id").alias("x"), F.col("c").alias("cx"))
-            y = open_.select("band", "key", F.col("id").alias("y"), F.col("c").alias("cy"))
-            pairs = x.join(y, ["band", "key"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        else:
-            others = sizes.join(mixed, ["band", "key"]).where("c <> main.c or main.size = 1")
-            pivots = others.groupBy("band", "key").agg(F.max(F.struct("top", "c")).alias("p")).select("band", "key", (-F.col("p.top.col2")).alias("pivot"), F.col("p.c").alias("pc"))
-            pairs = known.join(pivots, ["band", "key"]).where("c <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not last and tested is not None and pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        found = _links(pairs, sketches, rows, shingle_words, percent)
-        links = found if links is None else links.union(found)
-        if not last:
-            label = components(links)
+    tops = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("top")).select("band", "key", (-F.col("top.neg")).alias("pivot"))
+    stars = ranked.join(tops, ["band", "key"]).where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    links = _links(stars, sketches, rows, shingle_words, percent)
+    label = components(links)
+    links = links.union(_settle(ranked, label, sketches, rows, shingle_words, percent))
 
     final = components(copies.union(links))
     out = every.select("id", "n").join(final, "id", "left")
