@@ -6,8 +6,8 @@ its target of words. The optimum is r = min(most, exp(lambda * size / mean size)
 with one multiplier a source. Newton steps on the dual, safeguarded by a bracket,
 find the multipliers; they need only sums over (source, size), so documents are
 read twice whatever the number of steps. Rates become copies by carrying the
-rounding error from larger to smaller sizes, and the few words still missing go
-to single documents whose size fits them.
+rounding error from larger to smaller sizes, and what is still missing is filled
+up with the largest documents that fit.
 """
 
 from __future__ import annotations
@@ -63,14 +63,17 @@ def _round(strata: DataFrame, sources: DataFrame, most: int, seed: int) -> DataF
     rated = rated.withColumn("base", base).withColumn("upto", F.floor(want + 0.5))
     before = F.lag("upto", 1, 0).over(Window.partitionBy(*KEY).orderBy(F.desc("size"), "sub"))
     out = cut(rated.withColumn("extra", F.least(F.col("n"), F.greatest(F.lit(0), F.col("upto") - before))).select(*KEY, "size", "sub", "n", "base", "extra", "target"))
-    for _ in range(6):
+    for _ in range(4):
         gap = F.col("target") - F.sum(F.col("size") * (F.col("n") * F.col("base") + F.col("extra"))).over(Window.partitionBy(*KEY))
         seen = out.withColumn("gap", gap)
-        room = F.when(F.col("base") >= most, F.lit(0)).otherwise(F.col("n") - F.col("extra"))
-        can = F.when(F.col("size") <= 0, F.lit(0)).when(F.col("gap") > 0, F.least(room, F.floor(F.col("gap") / F.col("size")))).otherwise(-F.least(F.col("extra"), F.floor(-F.col("gap") / F.col("size"))))
-        best = F.max(F.when(F.col("can") != 0, F.struct("size", "sub"))).over(Window.partitionBy(*KEY))
-        seen = seen.withColumn("can", can).withColumn("best", best)
-        move = F.when((F.col("best.size") == F.col("size")) & (F.col("best.sub") == F.col("sub")), F.col("can")).otherwise(F.lit(0))
+        short = F.col("gap") > 0
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap"))
+        room = F.when(fits, F.when(~short, F.col("extra")).when(F.col("base") >= most, F.lit(0)).otherwise(F.col("n") - F.col("extra"))).otherwise(F.lit(0))
+        seen = seen.withColumn("room", room)
+        larger = Window.partitionBy(*KEY).orderBy(F.desc("size"), "sub").rowsBetween(Window.unboundedPreceding, -1)
+        rest = F.greatest(F.lit(0.0), F.abs("gap") - F.coalesce(F.sum(F.col("size") * F.col("room")).over(larger), F.lit(0)))
+        can = F.least(F.col("room"), F.floor(rest / F.col("size")))
+        move = F.when(F.col("room") > 0, F.when(short, can).otherwise(-can)).otherwise(F.lit(0))
         out = cut(seen.withColumn("extra", F.col("extra") + move).select(*out.columns))
     return out
 
