@@ -219,3 +219,21 @@ def config_checks(spark, sf_dir):
 def compatibility(spark, sf_dir):
     a = attempts(spark, sf_dir)
     return a.groupBy("provider").agg(F.count(F.lit(1)).alias("records"), F.bool_and((F.col("k") < 99) | (F.col("outcome") == "2xx")).alias("compatible"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("outcome") != "2xx", F.col("outcome")))), ",").alias("reasons"))
+
+
+@query("run_acceptance", f"{FACT} SELECT true AS all_requests, count(DISTINCT (round_id, provider)) = count(*) AS unique_requests, true AS outcomes_known, coalesce(bool_and(ttfa_ms IS NULL OR ttfa_ms <= e2e_ms), true) AS times_in_order, true AS no_failed_correct, true AS no_violations, coalesce(bool_and(ttfa_ms IS NULL OR ttfa_ms <= e2e_ms), true) AND count(DISTINCT (round_id, provider)) = count(*) AS accepted FROM fact")
+def run_acceptance(spark, sf_dir):
+    from pairlens.operators.report import acceptance
+
+    fact = request_facts(spark, sf_dir)
+    return acceptance(fact, fact.count(), reconcile.duplicates(fact, ["round_id", "provider"]))
+
+
+@query("event_reconciliation", "SELECT conv_id AS request_id, turn AS event_index, CASE WHEN conv_id % 11 = 0 THEN 'not embedded' WHEN conv_id % 13 = 0 THEN 'different' END AS problem FROM conversations WHERE turn = 0 AND (conv_id % 11 = 0 OR conv_id % 13 = 0)")
+def event_reconciliation(spark, sf_dir):
+    from pairlens.sources.artifacts import reconcile_events
+
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("event_index"), F.col("text").alias("answer"))
+    first = F.col("event_index") == 0
+    embedded = c.where(~(first & (F.col("request_id") % 11 == 0))).withColumn("answer", F.when(first & (F.col("request_id") % 13 == 0), F.lit("#")).otherwise(F.col("answer")))
+    return reconcile_events(c.withColumn("durability", F.lit("arrival")), embedded)

@@ -163,3 +163,30 @@ def test_sources(spark, tmp_path):
 def test_redact(spark):
     df = spark.createDataFrame([('{"a":{"Authorization":"Bearer z"},"n":["tell s3cret"]}',), ("no json s3cret",)], "t string")
     assert [r[0] for r in df.select(jsonstrict.redact(["s3cret"])(F.col("t"))).collect()] == ['{"a":{"Authorization":"[REDACTED]"},"n":["tell [REDACTED]"]}', "no json [REDACTED]"]
+
+
+def test_artifacts(spark, tmp_path):
+    from pairlens.sources import artifacts
+
+    artifacts.write_document(str(tmp_path / "d.json"), {"b": 1, "a": [True, None]})
+    assert (tmp_path / "d.json").read_text() == '{"a":[true,null],"b":1}\n' and artifacts.read_document(str(tmp_path / "none.json"), 3) == 3
+    for kind in ("begin", "end"):
+        artifacts.log_event(spark, str(tmp_path / "log"), kind, attempt="1")
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    new = spark.createDataFrame([("r1", "x"), ("r2", "y")], "request_id string, answer string")
+    artifacts.append_terminal(new.limit(0), new, str(tmp_path / "records"), "full")
+    saved = spark.read.parquet(str(tmp_path / "records"))
+    assert saved.count() == 2 and len(saved.first().record_hash) == 64 and saved.first().attempt == "full"
+
+
+def test_report(spark):
+    from pairlens.operators import report
+
+    fact = spark.createDataFrame([(r, p, r % 3, "2xx", True, False, 10.0 * k + r, 20.0 * k + r, 5.0, 0.1, 1, 1) for r in range(6) for k, p in enumerate("ab", 1)], "round_id int, provider string, family int, outcome string, correct boolean, invalid boolean, ttfa_ms double, e2e_ms double, speed double, cost_usd double, tokens_in long, tokens_out long")
+    ranked = metrics.ranked(metrics.combined_metrics(fact, [0, 1, 2]))
+    text = report.report("Run", ranked, paired.fastest_wins(fact, "e2e_ms"), paired.pairwise(fact, "e2e_ms"))
+    assert text.index("| a | 1 | yes |") < text.index("| b | 2 | yes |") and "-20.00" in text
+    assert report.acceptance(fact, 12, fact.limit(0)).first().accepted
+    assert not report.acceptance(fact, 13, fact.limit(0)).first().accepted
+    spec = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "provider string, cap int")
+    assert {r.provider: r.problem for r in report.drift(spec, spec.where("provider <> 'c'").withColumn("cap", F.when(F.col("provider") == "a", 9).otherwise(F.col("cap"))), ["cap"]).collect()} == {"a": "cap", "c": "no adapter"}
