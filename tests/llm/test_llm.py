@@ -308,7 +308,7 @@ def test_mixing(docs, rows, odd, nothing):
     assert got.groupby(got.source.fillna("~")).target.first().sum() == pytest.approx(total)
     for _, g in got.groupby(got.source.fillna("~")):
         assert g.target.iloc[0] <= 2 * g["size"].sum() + 1e-6
-        assert abs(g.taken.sum() - g.target.iloc[0]) <= max(30, 0.05 * g.target.iloc[0])
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= max(30, 0.05 * g.target.iloc[0], g["size"].max() / 2)
     again = mixing.mix_sources(docs).toPandas()
     assert dict(zip(got.doc_id, got.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
     assert mixing.mix_sources(odd).count() == odd.count() and mixing.mix_sources(nothing).count() == 0
@@ -375,7 +375,7 @@ def test_audio(spark):
     prints = audio.fingerprint_audio(media, "id", "audio")
     got = {r.id: r for r in audio.align_recordings(prints, F.col("id") >= 100).collect()}
     assert len(got) == len(rows)
-    found = sum(got[200 + i].best_match == i and got[200 + i].best_offset == 0 for i in range(10))
+    found = sum((got[200 + i].best_match, got[200 + i].best_offset) in ((i, 0), (100 + i, -10)) for i in range(10))
     cut = sum(got[100 + i].best_match in (i, 200 + i) and got[100 + i].best_offset == 10 for i in range(10))
     assert found >= 9 and cut >= 9
     assert got[300].class_id == 0 and got[300].best_match == 0 and got[300].n_links >= 2
