@@ -4,7 +4,10 @@ Audio is 16-bit little-endian mono PCM. Frames are Fourier-transformed and their
 energy folded into twelve pitch classes. Sixteen box filters over a window of
 WIDTH frames, evaluated on an integral image, compare the energies of two areas;
 each result becomes two Gray-coded bits, which makes one 32-bit code a position.
-Recordings that share a code vote for the offset between their positions; at the
+Two codes a window apart, less a quarter of their bits, make a key, for each
+quarter in turn: single codes have too few distinct values to tell recordings
+apart in a large collection, and leaving out bits lets noisy codes meet.
+Recordings that share a key vote for the offset between their positions; at the
 offset with most votes their codes are compared bit by bit.
 
 Recordings with equal codes are one class, and only classes are aligned: a
@@ -17,12 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import cut
+from .words import U, mix
 
 WIDTH, FILTERS, CLASSES = 8, 16, 12
+#: Bits of a code that the keys of each turn use.
+_KEPT = [U(sum(1 << i for i in range(2 * FILTERS) if i % 4 != k)) for k in range(4)]
+#: Codes of one block of recordings; a longer recording is a block by itself.
+BLOCK_CODES = 200_000
 
 
 def _filters() -> list[tuple[int, int, int, int, bool]]:
@@ -91,6 +100,29 @@ def fingerprint_audio(media: DataFrame, id_col: str, audio_col: str, rate: int =
     return media.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio")).mapInArrow(_printer(rate, frame, hop), f"id {media.schema[id_col].dataType.simpleString()}, codes array<int>")
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of recordings (class_id, codes), each with its first position."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+        block = (np.cumsum(sizes) - sizes) // BLOCK_CODES
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part, n = batch.slice(lo, hi - lo), sizes[lo:hi]
+            values = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(U)
+            row = np.repeat(np.arange(hi - lo), n)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = np.flatnonzero(pos + WIDTH < n[row])
+            if not len(at):
+                continue
+            key = np.concatenate([mix((((values[at] & m) << U(32)) | (values[at + WIDTH] & m)) ^ U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) for k, m in enumerate(_KEPT)])
+            row, pos = np.tile(row[at], len(_KEPT)), np.tile(pos[at], len(_KEPT))
+            order = np.lexsort((pos, key, row))
+            row, key, pos = row[order], key[order], pos[order]
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
+            of = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), pa.array(key[new].view(np.int64)), pa.array(pos[new].astype(np.int32))], ["class_id", "key", "pos"])
+
+
 def align_recordings(prints: DataFrame, is_query: Column, max_error: float = 0.06, min_overlap: int = 16) -> DataFrame:
     """(id, n_codes, class_id, is_query, n_links, best_match, best_offset, best_error) of each row of (id, codes).
 
@@ -99,16 +131,18 @@ def align_recordings(prints: DataFrame, is_query: Column, max_error: float = 0.0
     ``min_overlap`` positions, and with the other recordings of its own class.
     best_match is the class it aligns with best, its own if that has others.
     Recordings without codes and those that are no query have no links (null).
+    Keys span two windows, so ``min_overlap`` must be more than WIDTH.
     """
+    if min_overlap <= WIDTH:
+        raise ValueError(f"min_overlap must be more than {WIDTH}")
     prints = cut(prints.where("id is not null"))
     full = prints.where("size(codes) > 0")
     keyed = full.select("id", "codes", F.xxhash64("codes").alias("h1"), F.sha2(F.array_join("codes", ",").cast("binary"), 256).alias("h2"), is_query.alias("q"))
     classes = cut(keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.bool_or("q").alias("asked"), F.any_value("codes").alias("codes")))
-    places = classes.select("class_id", "asked", F.posexplode("codes").alias("pos", "code"))
-    first = places.groupBy("class_id", "code").agg(F.min("pos").alias("pos"), F.any_value("asked").alias("asked"))
-    a = first.where("asked").select(F.col("class_id").alias("a"), "code", F.col("pos").alias("pa"))
-    b = first.select(F.col("class_id").alias("b"), "code", F.col("pos").alias("pb"))
-    votes = a.join(b, "code").where("a <> b").groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    keyed_by = f"class_id {classes.schema['class_id'].dataType.simpleString()}, key long, pos int"
+    a = classes.where("asked").select("class_id", "codes").mapInArrow(_keys, keyed_by).select(F.col("class_id").alias("a"), "key", F.col("pos").alias("pa"))
+    b = classes.select("class_id", "codes").mapInArrow(_keys, keyed_by).select(F.col("class_id").alias("b"), "key", F.col("pos").alias("pb"))
+    votes = a.join(b, "key").where("a <> b").groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("a", "b").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("top")).select("a", "b", F.col("top.offset").alias("offset"))
     codes_of = lambda s: classes.select(F.col("class_id").alias(s), F.col("codes").alias(f"codes_{s}"), F.col("members").alias(f"members_{s}"))
     pair = best.join(codes_of("a"), "a").join(codes_of("b"), "b")

@@ -393,6 +393,8 @@ def test_audio(spark):
 
     near = {q: sum(error(exact[q], exact[o]) <= 0.06 for o in exact if o != q and len(exact[o])) for q in range(200, 210)}
     assert sum(got[q].n_links for q in near) >= 0.9 * sum(near.values())
+    with pytest.raises(ValueError):
+        audio.align_recordings(prints, F.lit(True), min_overlap=audio.WIDTH)
 
 
 def test_pipeline(spark, rows, tmp_path):
