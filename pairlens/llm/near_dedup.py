@@ -41,6 +41,8 @@ _CHANCE = 0.169919487159739093975315012348
 SLACK = 0.15
 #: Guests, and members, of one block.
 BLOCK_ROWS = 1500
+#: Pairs whose sets a verifier holds at a time.
+VERIFY_ROWS = 128
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +137,11 @@ def _verifier(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for lo in range(0, batch.num_rows, VERIFY_ROWS):
+                part = batch.slice(lo, VERIFY_ROWS)
+                for x, y in zip(sets(part.column("ta")), sets(part.column("tb")), strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
