@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import cut
+from .session import cut, tidy
 from .words import Runs, U, Words, blocks, mix, run_starts
 
 BANDS, ROWS, MANTISSA = 32, 5, 6
@@ -82,6 +82,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def _sketcher(size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_all, hi_all, lo_all, keys = [], [], [], []
@@ -114,6 +115,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _estimator(percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -134,6 +136,7 @@ def _verifier(size: int, percent: int):
             out += np.split(values, bounds[1:-1])
         return out
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -183,6 +186,7 @@ def _blocks(size: int, percent: int):
                         b.append(max(ids[i], ids[j]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:

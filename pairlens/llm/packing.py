@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import tidy
+
 _encoders: dict[str, object] = {}
 
 
@@ -49,6 +51,7 @@ def cuts(n: int, length: int) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, length: int, end_id: int, digest: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
         for batch in batches:

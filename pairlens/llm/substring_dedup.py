@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import text_bytes
+from .session import text_bytes, tidy
 from .words import Runs, U, all_words, blocks, grouped, pieces, run_starts
 
 LEVELS = (1, 2, 4, 8)
@@ -50,6 +50,7 @@ def _slots(runs: Runs, at: np.ndarray, level: int, length: int, slots: int) -> n
 
 
 def _counter(length: int, slots: int):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(LEVELS), slots), np.int64)
         for batch in batches:
@@ -124,6 +125,7 @@ def _unrecord(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def _sender(length: int, to, buckets: int):
     """Records for buckets, and with bucket -1-b a batch's own marks, spread over the partitions."""
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = to.value
         for batch in pieces(batches, 2, CHUNK_BYTES):
@@ -165,6 +167,7 @@ def _sender(length: int, to, buckets: int):
 def _settle(parts: int):
     """One bucket at a time: sort its suffixes, mark those below a node that a smaller id shares."""
 
+    @tidy
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held: list[dict] = []

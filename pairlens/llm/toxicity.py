@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, tidy
 from .words import Runs, U, Words, blocks, grouped
 
 STRETCHES = (1, 2, 8, 32)
@@ -160,6 +160,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 def _features(ratios):
     """Out-of-fold features of sample rows (text, cell)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ratios.value
         for batch in batches:
@@ -176,6 +177,7 @@ def _features(ratios):
 
 
 def _scorer(ratios, fitted):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ratios.value
         w_, mean, dev = fitted
