@@ -106,22 +106,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_ratios(sample: DataFrame, min_count: int) -> Ratios:
-    """Both models from (text, cell) with cell = 2 * toxic + fold. Pairs and words seen under ``min_count`` times give no rows."""
+    """Both models from (text, cell) with cell = 2 * toxic + fold. Pairs, words and stems seen under ``min_count`` times give no rows; a pair is seen once in a text, words and stems as often as their pairs."""
     pairs = cut(sample.mapInArrow(_count, "pair long, u long, w long, stem long, c0 long, c1 long, c2 long, c3 long").groupBy("pair", "u", "w", "stem").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]))
     cols = {"o0": "c0", "o1": "c1", "o2": "c0 + c1", "t0": "c2", "t1": "c3", "t2": "c2 + c3"}
     grid = [f"{c}{m}" for m in range(MODELS) for c in "ot"]
     seen = [F.count(F.when(F.expr(f"{cols[g]} > 0"), 1)).alias(g) for g in grid]
-    words = cut(pairs.groupBy("w", "stem").agg(*seen, F.count(F.lit(1)).alias("all")))
-    stems = words.groupBy("stem").agg(*[F.sum(g).alias(g) for g in grid], F.sum("all").alias("all"))
+    words = cut(pairs.groupBy("w", "stem").agg(*seen, F.count(F.lit(1)).alias("all"), F.sum(F.expr("c0 + c1 + c2 + c3")).alias("seen")))
+    stems = words.groupBy("stem").agg(*[F.sum(g).alias(g) for g in grid], F.sum("all").alias("all"), F.sum("seen").alias("seen"))
     left = lambda of: of.agg(*[F.sum(F.least(F.col(g), F.lit(DISCOUNT))).alias(g) for g in grid]).first()
     sums = words.agg(*[F.sum(g).alias(g) for g in grid], F.sum("all").alias("all")).first()
     word_left, stem_left = left(words), left(stems)
     ordered = lambda df, key: df.toPandas().sort_values(key, key=lambda s: s.to_numpy().view(U)).reset_index(drop=True)
-    stem_rows = ordered(stems.where(F.col("all") >= min_count), "stem")
-    word_rows = ordered(words.where(F.col("all") >= min_count).join(stems.select("stem", F.col("all").alias("stem_all")), "stem"), "w")
+    stem_rows = ordered(stems.where(F.col("seen") >= min_count), "stem")
+    word_rows = ordered(words.where(F.col("seen") >= min_count).join(stems.select("stem", F.col("all").alias("stem_all")), "stem"), "w")
     contexts = pairs.groupBy("u").agg(*[F.sum(F.expr(cols[g])).alias(f"n{g}") for g in grid], *[F.sum(F.least(F.expr(cols[g]), F.lit(PAIR_DISCOUNT))).alias(f"d{g}") for g in grid])
     pair_rows = ordered(pairs.where(F.expr(f"c0 + c1 + c2 + c3 >= {min_count} and u <> 0")).join(contexts, "u"), "pair")
-    pair_rows = pair_rows[pair_rows["w"].isin(word_rows["w"])]
 
     key = lambda rows, c: rows[c].to_numpy().view(U)
     of_stem = np.searchsorted(key(stem_rows, "stem"), key(word_rows, "stem"))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +348,15 @@ def test_toxicity(spark, docs, labels, odd, nothing):
     assert none.where("score <> 0").isEmpty() and none.count() == 600
 
 
+def test_toxicity_fixed_wording(spark):
+    """Words that always follow the same word keep their rows, and so do their pairs."""
+    rows = [(f"w{i % 7} w{i % 5} you vile nasty foul thing w{i % 3}" if i % 4 == 0 else f"w{i % 7} w{i % 5} you w{i % 3}", 2 * (i % 4 == 0) + i // 4 % 2) for i in range(160)]
+    ratios = toxicity.fit_ratios(spark.createDataFrame(rows, "text string, cell int"), 5)
+    w = next(words.blocks(pa.array(["you vile nasty foul thing"]), True, bare=True))[2]
+    assert np.isin(w.hashes, ratios.words).all()
+    assert (ratios.of(w, 2)[2:] > 1).all()
+
+
 def test_quality(spark, docs, labels, odd, nothing):
     d, l = _toy(spark)
     junk = d.withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.repeat(F.lit("SAME!! "), 30)).otherwise(F.col("text")))
