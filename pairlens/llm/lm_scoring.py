@@ -10,10 +10,9 @@ words. Bigrams without a training example, which only held-out texts have, go on
 to the bucket of their second word for the unigram count. Sums come back by
 document in packed records, one for each chunk of documents and task.
 
-A context that would overfill a bucket is dealt by context and word; its exact
-count is taken in a pass before, and its bucket parts estimate its number of
-different successors from their own, a tenth below, so that a context's
-probabilities sum to at most one.
+A context that would overfill a bucket is dealt by context and word; which ones
+these are, their exact counts and their exact numbers of different successors
+are found in two passes before.
 """
 
 from __future__ import annotations
@@ -78,26 +77,27 @@ def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts with at least one in 4000 tokens of a piece."""
+    """Tokens of each context in a piece."""
     for batch in pieces(batches, 0, CHUNK_BYTES):
         context, _, _ = token_pairs(*all_words(batch.column(0), True))
         order, starts = grouped(context)
         n = np.diff(np.append(starts, len(order)))
-        keep = n * 4000 >= len(context)
-        yield pa.RecordBatch.from_arrays([pa.array(context[order[starts[keep]]].view(np.int64)), pa.array(n[keep])], ["u", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(context[order[starts]].view(np.int64)), pa.array(n)], ["u", "n"])
 
 
 def _exact(hot):
-    """Training counts of the frequent contexts."""
+    """Training counts of the frequent contexts' bigrams in a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(hot), np.int64)
         for batch in pieces(batches, 0, CHUNK_BYTES):
-            context, _, text = token_pairs(*all_words(batch.column(0), True))
-            context = context[np.asarray(batch.column(1))[text]]
+            context, word, text = token_pairs(*all_words(batch.column(0), True))
             at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-            total += np.bincount(at[hot[at] == context], minlength=len(hot))
-        yield pa.RecordBatch.from_arrays([pa.array(hot.view(np.int64)), pa.array(total)], ["u", "n"])
+            use = np.flatnonzero((hot[at] == context) & np.asarray(batch.column(1))[text])
+            order = use[np.lexsort((word[use], at[use]))]
+            u, w = context[order], word[order]
+            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])[: len(u)])
+            n = np.diff(np.append(first, len(u)))
+            yield pa.RecordBatch.from_arrays([pa.array(u[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n.astype(np.int64))], ["u", "w", "n"])
 
     return run
 
@@ -156,7 +156,7 @@ class _Sums:
             yield {"bucket": 0, "kind": 2, "chunk": chunk, "a": _z(used.astype(np.uint32)), "b": sums(base).astype(np.float32).tobytes(), "c": sums(score).astype(np.float32).tobytes(), "d": _z(sums(known).astype(np.uint32))}
 
 
-def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, buckets: int, sums: _Sums) -> Iterator[dict]:
+def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, hot_kinds: np.ndarray, buckets: int, sums: _Sums) -> Iterator[dict]:
     """One bucket: build and map its trie, score its tokens, hand on unseen ones and the unigram counts."""
     bucket = rows[0]["bucket"]
     dicts = [_raw(r["a"], U) for r in rows]
@@ -177,11 +177,9 @@ def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, buckets: int,
     is_hot = hot[at] == contexts if len(hot) else np.zeros(len(contexts), bool)
     if len(hot):
         total = np.where(is_hot, hot_n[at], total)
-        kinds = np.where(is_hot, kinds * 0.9 * buckets, kinds)
+        kinds = np.where(is_hot, hot_kinds[at], kinds)
     with np.errstate(divide="ignore", invalid="ignore"):
         backoff = np.where((total > 0) & (kinds > 0), np.log10(np.minimum(1.0, DISCOUNT * kinds / total)), 0.0)
-        lone = is_hot & (kinds <= 0) & (total > 0)
-        backoff[lone] = np.log10(DISCOUNT / total[lone])
         trained = seen_n > 0
         score = np.log10((seen_n[trained] - DISCOUNT) / total[own_rank[trained]])
     trie = NGramTrie.build(contexts, backoff, own_rank[trained], own[trained] & WORD_MASK, score).mapped()
@@ -212,7 +210,7 @@ def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, buckets: int,
 
 def _first(hot_words, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_n = hot_words.value
+        hot, hot_n, hot_kinds = hot_words.value
         sums, held, out = _Sums(), [], []
         for batch in batches:
             for row in batch.to_pylist():
@@ -220,7 +218,7 @@ def _first(hot_words, buckets: int):
                     yield _rows([row])
                     continue
                 if held and held[0]["bucket"] != row["bucket"]:
-                    for made in _answer(held, hot, hot_n, buckets, sums):
+                    for made in _answer(held, hot, hot_n, hot_kinds, buckets, sums):
                         out.append(made)
                         if len(out) >= 200:
                             yield _rows(out)
@@ -228,7 +226,7 @@ def _first(hot_words, buckets: int):
                     held = []
                 held.append(row)
         if held:
-            out += _answer(held, hot, hot_n, buckets, sums)
+            out += _answer(held, hot, hot_n, hot_kinds, buckets, sums)
         if out:
             yield _rows(out)
         for row in sums.rows():
@@ -241,7 +239,7 @@ def _second(hot_words, buckets: int):
     """Unigram counts of unseen tokens' words; everything else passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_n = hot_words.value
+        hot, hot_n, _ = hot_words.value
         sums, held = _Sums(), []
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -321,13 +319,13 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     count, size = text_bytes(docs, text_col)
     buckets = max(4, (size // 6 + count) // bucket_tokens + 1)
     least = hot_tokens or bucket_tokens // 4
-    part = min(1.0, 64e6 / max(size, 1))
-    often = rows.select("text").sample(part, 5).mapInArrow(_frequent, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).where(F.col("n") >= least * part * 0.8)
-    hot = np.sort(np.array([r["u"] for r in often.orderBy(F.desc("n"), "u").limit(65_536).collect()], np.int64).view(U))
+    often = rows.select("text").mapInArrow(_frequent, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    hot = np.sort(np.array([r["u"] for r in often.collect()], np.int64).view(U))
     sc = docs.sparkSession.sparkContext
-    exact = {r["u"]: r["n"] for r in rows.select("text", "train").mapInArrow(_exact(hot), "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).collect()} if len(hot) else {}
-    hot_n = np.array([exact.get(int(u), 0) for u in hot.view(np.int64)], np.int64)
-    shared = sc.broadcast((hot, hot_n))
+    bigrams = rows.select("text", "train").mapInArrow(_exact(hot), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+    exact = {r["u"]: (r["n"], r["kinds"]) for r in bigrams.groupBy("u").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()} if len(hot) else {}
+    hot_n, hot_kinds = (np.array([exact.get(int(u), (0, 0))[i] for u in hot.view(np.int64)], np.int64) for i in range(2))
+    shared = sc.broadcast((hot, hot_n, hot_kinds))
     dealt = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     sent = rows.mapInArrow(_send(shared, buckets), _ROW)
     answered = dealt(sent).mapInArrow(_first(shared, buckets), _ROW)

@@ -300,6 +300,14 @@ def test_lm_scores(docs, rows, odd, nothing, hot_tokens):
     assert lm_scoring.lm_scores(nothing, train).collect() == []
 
 
+def test_lm_hot_contexts_are_exact(spark):
+    """Split contexts of few successors, over many buckets, score as unsplit ones do."""
+    rows = [(i, " ".join(f"hot s{(i + j) % 5} c{(i * 7 + j) % 40}" for j in range(30)) if i % 4 else f"hot new{i} s1 hot c3 hot c{i}") for i in range(120)]
+    docs, train = spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 != 0
+    split, whole = ({r.doc_id: r.score for r in lm_scoring.lm_scores(docs, train, bucket_tokens=300, hot_tokens=h).collect()} for h in (100, 10**9))
+    assert len(split) == len(rows) and split == pytest.approx(whole, rel=1e-4)
+
+
 def test_mixing(docs, rows, odd, nothing):
     got = mixing.mix_sources(docs).toPandas()
     assert len(got) == len(rows) and (got["size"] == [len(WORD.findall(t or "")) for _, t in sorted(rows)]).sum() >= 0
