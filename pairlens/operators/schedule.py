@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,18 +52,24 @@ def launch_skew(records: DataFrame) -> DataFrame:
 def running_budget(ledger: DataFrame, order: str, amount: str, by: str, ceiling: float) -> DataFrame:
     """Adds accepted and running: in order, an amount is reserved if the total stays within the ceiling; rejected ones do not add.
 
-    The fold needs a group's rows in order, so groups are budgets, which are small.
+    A group's rows pass in order through one task, which keeps the total only. Equal orders go by amount; null amounts are neither accepted nor rejected.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(amount).alias("x"))))
-    start = F.struct(F.lit(0.0).alias("t"), F.array().cast("array<struct<o:bigint,x:double,running:double,accepted:boolean>>").alias("r"))
 
-    def step(acc: Column, e: Column) -> Column:
-        fits = acc["t"] + e["x"] <= ceiling
-        total = F.when(fits, acc["t"] + e["x"]).otherwise(acc["t"])
-        return F.struct(total.alias("t"), F.concat(acc["r"], F.array(F.struct(e["o"].cast("long").alias("o"), e["x"].cast("double").alias("x"), total.alias("running"), fits.alias("accepted")))).alias("r"))
-
-    folded = ledger.groupBy(by).agg(rows.alias("rows")).select(by, F.aggregate("rows", start, step)["r"].alias("r"))
-    return folded.select(by, F.inline("r")).withColumnsRenamed({"o": order, "x": amount})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, 0.0
+        for batch in batches:
+            running, accepted = [], []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != key:
+                    key, total = k, 0.0
+                fits = None if x is None else total + x <= ceiling
+                total = total + x if fits else total
+                running.append(total)
+                accepted.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(running, pa.float64()), pa.array(accepted, pa.bool_())], [*batch.schema.names, "running", "accepted"])
+
+    rows = ledger.select(by, F.col(order).cast("long").alias(order), F.col(amount).cast("double").alias(amount))
+    return rows.repartition(by).sortWithinPartitions(by, order, amount).mapInArrow(fold, rows.selectExpr("*", "0D AS running", "true AS accepted").schema)
 
 
 def running_total(ledger: DataFrame, order: str, amount: str, by: str) -> DataFrame:

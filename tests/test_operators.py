@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions import jsonstrict, stats
 from pairlens.operators import metrics, outcomes, paired, reconcile, schedule, timing
+from pairlens.plans import load_queries
 from pairlens.sources import tables
 from pairlens.streaming import operators as st
 
@@ -132,6 +133,26 @@ def test_budget_fold(spark):
     assert [r.accepted for r in got] == [True, False, True] and got[-1].running == pytest.approx(0.5)
 
 
+def test_launch_budget_folds_all_attempts(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {(r.provider, r.order): (r.running, r.accepted) for r in load_queries()[0]["launch_budget"](spark, sf).collect()}
+    want, totals = {}, {}
+    for r in tables.attempts(spark, sf).select("provider", "seq", "k").orderBy("seq").collect():
+        t = totals.get(r.provider, 0.0)
+        fits = t + r.k / 100.0 <= 5.0
+        totals[r.provider] = t + r.k / 100.0 if fits else t
+        want[r.provider, r.seq] = (totals[r.provider], fits)
+    assert got == want
+
+
+def test_lookup_eval_asks_for_whole_texts(spark, monkeypatch):
+    asked, evaluate = [], outcomes.evaluate_lookup
+    monkeypatch.setattr(outcomes, "evaluate_lookup", lambda df, *a: asked.append(df) or evaluate(df, *a))
+    load_queries()[0]["lookup_eval"](spark, "/root/testdata/sf0.001")
+    texts = tables.table(spark, "/root/testdata/sf0.001", "benchmark").select("text")
+    assert sorted(r[0] for r in asked[0].select(F.col("accepted")[0]).collect()) == sorted(r.text for r in texts.collect())
+
+
 def test_rotation_and_selection(spark):
     got = spark.range(3).select(schedule.launch_index(F.col("id"), F.lit(1), 3)).collect()
     assert [r[0] for r in got] == [2, 0, 1]
