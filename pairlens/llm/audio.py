@@ -7,8 +7,8 @@ each result becomes two Gray-coded bits, which makes one 32-bit code a position.
 Two codes a window apart, less a quarter of their bits, make a key, for each
 quarter in turn: single codes have too few distinct values to tell recordings
 apart in a large collection, and leaving out bits lets noisy codes meet.
-Recordings that share a key vote for the offset between their positions; at the
-offset with most votes their codes are compared bit by bit.
+Recordings that share a key are compared bit by bit at every offset between two
+positions of a shared key, however often a key repeats; the best offset counts.
 
 Recordings with equal codes are one class, and only classes are aligned: a
 recording that stands a million times is looked up once.
@@ -100,8 +100,13 @@ def fingerprint_audio(media: DataFrame, id_col: str, audio_col: str, rate: int =
     return media.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio")).mapInArrow(_printer(rate, frame, hop), f"id {media.schema[id_col].dataType.simpleString()}, codes array<int>")
 
 
+def _turn_keys(values: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For each turn, the keys of the positions ``at``."""
+    return [mix((((values[at] & m) << U(32)) | (values[at + WIDTH] & m)) ^ U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) for k, m in enumerate(_KEPT)]
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of recordings (class_id, codes), each with its first position."""
+    """Distinct keys of recordings (class_id, codes)."""
     for batch in batches:
         sizes = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
         block = (np.cumsum(sizes) - sizes) // BLOCK_CODES
@@ -114,21 +119,62 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(pos + WIDTH < n[row])
             if not len(at):
                 continue
-            key = np.concatenate([mix((((values[at] & m) << U(32)) | (values[at + WIDTH] & m)) ^ U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) for k, m in enumerate(_KEPT)])
-            row, pos = np.tile(row[at], len(_KEPT)), np.tile(pos[at], len(_KEPT))
-            order = np.lexsort((pos, key, row))
-            row, key, pos = row[order], key[order], pos[order]
+            key = np.concatenate(_turn_keys(values, at))
+            row = np.tile(row[at], len(_KEPT))
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
             new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
-            of = pa.array(row[new])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(of), pa.array(key[new].view(np.int64)), pa.array(pos[new].astype(np.int32))], ["class_id", "key", "pos"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[new])), pa.array(key[new].view(np.int64))], ["class_id", "key"])
+
+
+def voted_offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All offsets between a position of a key in ``a`` and one in ``b``, rising."""
+    voted = np.zeros(len(a) + len(b), bool)
+    ka, kb = (_turn_keys(x.astype(U), np.arange(max(len(x) - WIDTH, 0))) for x in (a, b))
+    for x, y in zip(ka, kb, strict=True):
+        order = np.argsort(y, kind="stable")
+        lo, hi = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
+        n = hi - lo
+        met = np.flatnonzero(n)
+        block = (np.cumsum(n[met]) - n[met]) // BLOCK_CODES
+        for part in np.split(met, np.flatnonzero(np.diff(block)) + 1):
+            m = n[part]
+            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            voted[order[np.repeat(lo[part], m) + within] - np.repeat(part, m) + len(a)] = True
+    return np.flatnonzero(voted) - len(a)
+
+
+def _verify(max_error: float, min_overlap: int):
+    """The offset with the smallest error of each pair (a, b, members_b, codes_a, codes_b), the longest overlap of equal ones; pairs over ``max_error`` give no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (va, oa), (vb, ob) = ((c.values.to_numpy(zero_copy_only=False).view(np.uint32), c.offsets.to_numpy()) for c in (batch.column(3), batch.column(4)))
+            row, offset, error = [], [], []
+            for i in range(batch.num_rows):
+                a, b = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
+                best = None
+                for o in voted_offsets(a, b).tolist():
+                    x, y = a[max(0, -o) :], b[max(0, o) :]
+                    m = min(len(x), len(y))
+                    if m >= min_overlap:
+                        found = (int(np.bitwise_count(x[:m] ^ y[:m]).sum(dtype=np.int64)) / (m * 32.0), -m, o)
+                        best = found if best is None else min(best, found)
+                if best is not None and best[0] <= max_error:
+                    row.append(i)
+                    offset.append(best[2])
+                    error.append(best[0])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row, pa.int32())) for c in range(3)), pa.array(offset, pa.int32()), pa.array(error, pa.float64())], ["a", "b", "members_b", "offset", "error"])
+
+    return run
 
 
 def align_recordings(prints: DataFrame, is_query: Column, max_error: float = 0.06, min_overlap: int = 16) -> DataFrame:
     """(id, n_codes, class_id, is_query, n_links, best_match, best_offset, best_error) of each row of (id, codes).
 
-    A query is linked with every other recording whose codes, at the offset with
-    most votes, differ in at most ``max_error`` of the bits over at least
-    ``min_overlap`` positions, and with the other recordings of its own class.
+    A query is linked with every other recording whose codes, at an offset between
+    positions of a shared key, differ in at most ``max_error`` of the bits over at
+    least ``min_overlap`` positions, and with the other recordings of its own class.
     best_match is the class it aligns with best, its own if that has others.
     Recordings without codes and those that are no query have no links (null).
     Keys span two windows, so ``min_overlap`` must be more than WIDTH.
@@ -139,18 +185,12 @@ def align_recordings(prints: DataFrame, is_query: Column, max_error: float = 0.0
     full = prints.where("size(codes) > 0")
     keyed = full.select("id", "codes", F.xxhash64("codes").alias("h1"), F.sha2(F.array_join("codes", ",").cast("binary"), 256).alias("h2"), is_query.alias("q"))
     classes = cut(keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.bool_or("q").alias("asked"), F.any_value("codes").alias("codes")))
-    keyed_by = f"class_id {classes.schema['class_id'].dataType.simpleString()}, key long, pos int"
-    a = classes.where("asked").select("class_id", "codes").mapInArrow(_keys, keyed_by).select(F.col("class_id").alias("a"), "key", F.col("pos").alias("pa"))
-    b = classes.select("class_id", "codes").mapInArrow(_keys, keyed_by).select(F.col("class_id").alias("b"), "key", F.col("pos").alias("pb"))
-    votes = a.join(b, "key").where("a <> b").groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("a", "b").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("top")).select("a", "b", F.col("top.offset").alias("offset"))
+    kind = classes.schema["class_id"].dataType.simpleString()
+    keys_of = lambda df, s: df.select("class_id", "codes").mapInArrow(_keys, f"class_id {kind}, key long").select(F.col("class_id").alias(s), "key")
+    pairs = keys_of(classes.where("asked"), "a").join(keys_of(classes, "b"), "key").where("a <> b").select("a", "b").distinct()
     codes_of = lambda s: classes.select(F.col("class_id").alias(s), F.col("codes").alias(f"codes_{s}"), F.col("members").alias(f"members_{s}"))
-    pair = best.join(codes_of("a"), "a").join(codes_of("b"), "b")
-    x = F.slice("codes_a", F.greatest(-F.col("offset"), F.lit(0)) + 1, F.size("codes_a"))
-    y = F.slice("codes_b", F.greatest(F.col("offset"), F.lit(0)) + 1, F.size("codes_b"))
-    overlap = F.least(F.size(x), F.size(y))
-    wrong = F.aggregate(F.zip_with(F.slice(x, 1, overlap), F.slice(y, 1, overlap), lambda p, q: F.bit_count(p.bitwiseXOR(q).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), F.lit(0), lambda s, v: s + v)
-    linked = pair.where(overlap >= min_overlap).withColumn("error", wrong / (overlap * 32.0)).where(F.col("error") <= max_error)
+    pair = pairs.join(codes_of("a"), "a").join(codes_of("b"), "b").select("a", "b", "members_b", "codes_a", "codes_b")
+    linked = pair.mapInArrow(_verify(max_error, min_overlap), f"a {kind}, b {kind}, members_b long, offset int, error double")
     per = linked.groupBy("a").agg(F.sum("members_b").alias("others"), F.min(F.struct("error", "b", "offset")).alias("near"))
     asked = classes.join(per, classes["class_id"] == per["a"], "left").select("h1", "h2", "class_id", "members", "others", "near")
     out = keyed.select("id", "h1", "h2", "q").join(asked, ["h1", "h2"])

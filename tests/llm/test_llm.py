@@ -415,6 +415,16 @@ def test_audio(spark):
         audio.align_recordings(prints, F.lit(True), min_overlap=audio.WIDTH)
 
 
+def test_audio_repeated_parts(spark):
+    """An excerpt [X Z] of [X Y X Z] is found where it matches, not at the first X."""
+    x, y, z = (np.random.default_rng(i).integers(-(2**31), 2**31, n).tolist() for i, n in enumerate((40, 30, 25)))
+    prints = spark.createDataFrame([(1, x + y + x + z), (2, x + z), (3, [5] * 60), (4, [5] * 40 + z)], "id long, codes array<int>")
+    got = {r.id: r for r in audio.align_recordings(prints, F.col("id") == 2).collect()}
+    assert (got[2].best_match, got[2].best_offset, got[2].best_error) == (1, 70, 0.0)
+    same = np.full(60, 5, np.uint32)
+    assert audio.voted_offsets(same, same[:40]).tolist() == list(range(8 - 60 + 1, 40 - 8))
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline as cp
 
