@@ -1,13 +1,13 @@
-"""Substring dedup with prefix-partitioned suffix trees over words.
+"""Substring dedup by hashed windows of words, partitioned by prefix.
 
 Suffixes start at every word. A counting pass over the corpus sizes the groups
 of suffixes that share their first 1, 2, 4 or 8 words (hashed to a fixed number
 of slots); a group that would not fit in memory is split by a longer prefix, and
-groups are packed into buckets of a bounded size. In its bucket a group is
-sorted, which lays out its subtree: suffixes that agree in their first
-``min_words`` words hang below one node of that depth, and a node with suffixes
-of several documents is a repeat. Neighbouring nodes of a document join into
-maximal repeats when the words they cover are marked.
+groups are packed into buckets of a bounded size. No tree is built: in its
+bucket, suffixes with equal hashes of their first ``min_words`` words are
+grouped, and a group with suffixes of several documents is a repeat.
+Neighbouring repeats of a document join into maximal ones when the words they
+cover are marked.
 
 Suffixes travel as 64-bit fingerprints of their first ``min_words`` words. The
 bucket comes from another hash, so that two different runs are taken for equal
@@ -165,7 +165,7 @@ def _sender(length: int, to, buckets: int):
 
 
 def _settle(parts: int):
-    """One bucket at a time: sort its suffixes, mark those below a node that a smaller id shares."""
+    """One bucket at a time: group its suffixes by hash, mark those that a smaller id shares."""
 
     @tidy
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
