@@ -4,7 +4,7 @@ The model is a bigram model with absolute discounting that backs off to add-one
 unigrams. Its trie is too large for one machine, so tokens are dealt by their
 context into buckets that fit in memory: a bucket's task counts the training
 tokens it got, builds its part of the trie, memory-maps it, and answers all the
-tokens it got by successor search below their context. Since every word is the
+tokens it got by successor search. Since every word is the
 context of the token after it, a bucket also knows the unigram counts of its
 words. Bigrams without a training example, which only held-out texts have, go on
 to the bucket of their second word for the unigram count. Sums come back by

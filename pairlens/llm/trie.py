@@ -1,11 +1,12 @@
 """Elias-Fano n-gram trie: contexts, and below each its successors with quantised scores.
 
 Level one is the rising sequence of context hashes, level two the rising sequence
-of (context rank, word) pairs, so that a successor is searched only among those
-of its context. Both are Elias-Fano sequences: low bits packed at a fixed width,
-high bits in unary. The pointers from contexts to their successors are a third
-one. Scores are 8-bit codes. The levels lie in one file
-that is memory-mapped.
+of (context rank, word) pairs. Both are Elias-Fano sequences: low bits packed at a
+fixed width, high bits in unary. A successor is searched among all pairs that
+share its high bits. The pointers from contexts to their successors are a third
+sequence, which queries do not read. Scores are 8-bit codes. The levels lie in
+one file that is memory-mapped; a directory of each level's high bits is kept in
+memory.
 """
 
 from __future__ import annotations
