@@ -4,11 +4,12 @@ The model is a bigram model with absolute discounting that backs off to add-one
 unigrams. Its trie is too large for one machine, so tokens are dealt by their
 context into buckets that fit in memory: a bucket's task counts the training
 tokens it got, builds its part of the trie, memory-maps it, and answers all the
-tokens it got by successor search. Since every word is the
+tokens it got by successor search within their contexts. Since every word is the
 context of the token after it, a bucket also knows the unigram counts of its
 words. Bigrams without a training example, which only held-out texts have, go on
 to the bucket of their second word for the unigram count. Sums come back by
-document in packed records, one for each chunk of documents and task.
+document in packed records, one for each chunk of documents and task; unseen
+bigrams travel in one record for each task and bucket.
 
 A context that would overfill a bucket is dealt by context and word; which ones
 these are, their exact counts and their exact numbers of different successors
@@ -26,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, text_bytes
+from .session import bound_batches, cut, text_bytes, tidy
 from .trie import WORD_BITS, NGramTrie
 from .words import U, all_words, grouped, mix, pieces
 
 DISCOUNT = 0.75
 START, END = U(2), U(1)
 CHUNK_BYTES = 6 << 20
+#: Unseen tokens that a task gathers before it sends them on.
+LOST_TOKENS = 2_000_000
 WORD_MASK = U((1 << WORD_BITS) - 1)
 #: kind 0: tokens for a bucket; 1: a chunk's documents; 2: sums for a chunk; 3: unseen tokens; 4: unigram counts; 5: totals.
 ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in "abcdef")])
@@ -76,6 +79,7 @@ def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(x ^ U(0x3C6EF372FE94F82A)) % U(buckets)).astype(np.int32)
 
 
+@tidy
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each context in a piece."""
     for batch in pieces(batches, 0, CHUNK_BYTES):
@@ -88,6 +92,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _exact(hot):
     """Training counts of the frequent contexts' bigrams in a piece."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 0, CHUNK_BYTES):
             context, word, text = token_pairs(*all_words(batch.column(0), True))
@@ -103,6 +108,7 @@ def _exact(hot):
 
 
 def _send(hot_words, buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = hot_words.value[0]
         task, number = TaskContext.get().partitionId(), 0
@@ -153,11 +159,36 @@ class _Sums:
             doc, base, score, known = (np.concatenate(x) for x in zip(*parts, strict=True))
             used, at = np.unique(doc, return_inverse=True)
             sums = lambda x: np.bincount(at, x, minlength=len(used))  # noqa: B023, E731
-            yield {"bucket": 0, "kind": 2, "chunk": chunk, "a": _z(used.astype(np.uint32)), "b": sums(base).astype(np.float32).tobytes(), "c": sums(score).astype(np.float32).tobytes(), "d": _z(sums(known).astype(np.uint32))}
+            yield {"bucket": 0, "kind": 2, "chunk": chunk, "a": _z(used.astype(np.uint32)), "b": sums(base).tobytes(), "c": sums(score).astype(np.float32).tobytes(), "d": _z(sums(known).astype(np.uint32))}
 
 
-def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, hot_kinds: np.ndarray, buckets: int, sums: _Sums) -> Iterator[dict]:
-    """One bucket: build and map its trie, score its tokens, hand on unseen ones and the unigram counts."""
+class _Lost:
+    """Unseen tokens of a task by the bucket of their word: (word, chunk, document)."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.n = buckets, [], 0
+
+    def add(self, word: np.ndarray, chunk: int, doc: np.ndarray) -> None:
+        self.parts.append((word, np.full(len(word), chunk, np.int64), doc.astype(np.uint32)))
+        self.n += len(word)
+
+    def rows(self) -> Iterator[dict]:
+        """One row a bucket; afterwards nothing is held."""
+        if not self.n:
+            return
+        word, chunk, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.n = [], 0
+        to = _bucket(word, self.buckets)
+        order = np.lexsort((chunk, to))
+        word, chunk, doc, to = word[order], chunk[order], doc[order], to[order]
+        cuts = np.flatnonzero(np.diff(to, prepend=-1))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
+            chunks, n = np.unique(chunk[lo:hi], return_counts=True)
+            yield {"bucket": int(to[lo]), "kind": 3, "chunk": 0, "a": word[lo:hi].tobytes(), "b": _z(doc[lo:hi]), "c": _z(chunks), "d": _z(n)}
+
+
+def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, hot_kinds: np.ndarray, sums: _Sums, lost_ones: _Lost) -> dict:
+    """One bucket: build and map its trie, score its tokens, gather unseen ones, return the unigram counts."""
     bucket = rows[0]["bucket"]
     dicts = [_raw(r["a"], U) for r in rows]
     runs = [_un(r["b"], np.uint32) for r in rows]
@@ -183,7 +214,7 @@ def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, hot_kinds: np.
         trained = seen_n > 0
         score = np.log10((seen_n[trained] - DISCOUNT) / total[own_rank[trained]])
     trie = NGramTrie.build(contexts, backoff, own_rank[trained], own[trained] & WORD_MASK, score).mapped()
-    value, seen = trie.query(contexts[own_rank], own & WORD_MASK)
+    value, seen = trie.query(contexts, own_rank, own & WORD_MASK)
     back = np.empty(len(order), np.int64)
     back[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
     value, seen = value[back], seen[back]
@@ -198,37 +229,36 @@ def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, hot_kinds: np.
         if len(lost):
             held = np.cumsum(m % 2 == 0) - 1
             w = word[lo:hi][lost] | (_un(r["f"], np.uint32).astype(U)[held[lost]] << U(WORD_BITS))
-            to = _bucket(w, buckets)
-            by = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.diff(to[by], prepend=-1))
-            for x, y in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-                yield {"bucket": int(to[by[x]]), "kind": 3, "chunk": r["chunk"], "a": w[by[x:y]].tobytes(), "b": doc[lost[by[x:y]]].astype(np.uint32).tobytes()}
+            lost_ones.add(w, r["chunk"], doc[lost])
         lo = hi
     keep = (total > 0) & ~is_hot & (contexts != START)
-    yield {"bucket": bucket, "kind": 4, "chunk": 0, "a": contexts[keep].tobytes(), "b": _z(total[keep].astype(np.int64))}
+    return {"bucket": bucket, "kind": 4, "chunk": 0, "a": contexts[keep].tobytes(), "b": _z(total[keep].astype(np.int64))}
 
 
 def _first(hot_words, buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, hot_n, hot_kinds = hot_words.value
-        sums, held, out = _Sums(), [], []
+        sums, lost, held = _Sums(), _Lost(buckets), []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            yield _rows([_answer(held, hot, hot_n, hot_kinds, sums, lost)])
+            held.clear()
+            if lost.n >= LOST_TOKENS:
+                yield _rows(list(lost.rows()))
+
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] == 1:
                     yield _rows([row])
                     continue
                 if held and held[0]["bucket"] != row["bucket"]:
-                    for made in _answer(held, hot, hot_n, hot_kinds, buckets, sums):
-                        out.append(made)
-                        if len(out) >= 200:
-                            yield _rows(out)
-                            out = []
-                    held = []
+                    yield from close()
                 held.append(row)
         if held:
-            out += _answer(held, hot, hot_n, hot_kinds, buckets, sums)
-        if out:
-            yield _rows(out)
+            yield from close()
+        if lost.n:
+            yield _rows(list(lost.rows()))
         for row in sums.rows():
             yield _rows([row])
 
@@ -238,6 +268,7 @@ def _first(hot_words, buckets: int):
 def _second(hot_words, buckets: int):
     """Unigram counts of unseen tokens' words; everything else passes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, hot_n, _ = hot_words.value
         sums, held = _Sums(), []
@@ -250,11 +281,14 @@ def _second(hot_words, buckets: int):
             words, n = words[order], n[order]
             for r in held:
                 if r["kind"] == 3:
-                    w, doc = _raw(r["a"], U), _raw(r["b"], np.uint32).astype(np.int64)
+                    w, doc = _raw(r["a"], U), _un(r["b"], np.uint32).astype(np.int64)
                     at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
                     c = np.where(words[at] == w, n[at], 0) if len(words) else np.zeros(len(w))
-                    sums.add(r["chunk"], doc * 2, np.zeros(len(w)), np.log10(c + 1.0) * (w != END), np.zeros(len(w)))
-                    sums.add(r["chunk"], doc * 2 + 1, np.zeros(len(w)), (w == END).astype(float), np.ones(len(w)))
+                    value, end, upto = np.log10(c + 1.0) * (w != END), (w == END).astype(float), 0
+                    for chunk, count in zip(_un(r["c"], np.int64).tolist(), _un(r["d"], np.int64).tolist(), strict=True):
+                        own, upto, zero = slice(upto, upto + count), upto + count, np.zeros(count)
+                        sums.add(chunk, doc[own] * 2, zero, value[own], zero)
+                        sums.add(chunk, doc[own] * 2 + 1, zero, end[own], zero + 1)
             kinds = sum(len(_raw(r["a"], U)) for r in tables)
             held.clear()
             yield _rows([{"bucket": 0, "kind": 5, "chunk": -1, "a": np.array([kinds], np.int64).tobytes()}])
@@ -290,7 +324,7 @@ def _finish(key: tuple, table: pa.Table) -> pa.Table:
     for r in rows:
         if r["kind"] == 1:
             continue
-        doc, b, s, k = _un(r["a"], np.uint32), _raw(r["b"], np.float32), _raw(r["c"], np.float32), _un(r["d"], np.uint32)
+        doc, b, s, k = _un(r["a"], np.uint32), _raw(r["b"], np.float64), _raw(r["c"], np.float32), _un(r["d"], np.uint32)
         if r["kind"] == 2:
             base[doc] += b
             score[doc] += s
@@ -315,6 +349,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     Contexts with ``hot_tokens`` tokens or more, a quarter of a bucket unless
     given, are split. Other columns are ignored, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     count, size = text_bytes(docs, text_col)
     buckets = max(4, (size // 6 + count) // bucket_tokens + 1)

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Only a local session without the setting gets a temporary one."""
@@ -30,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Cap Arrow batches at BATCH_BYTES for this session, if it allows more: both ends of the pipe hold whole batches, and a text column may be long."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_bytes(df: DataFrame, text_col: str) -> tuple[int, int]:
     """(rows, UTF-8 bytes of the texts)."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col))).alias("b")).first()

@@ -1,12 +1,12 @@
 """Elias-Fano n-gram trie: contexts, and below each its successors with quantised scores.
 
 Level one is the rising sequence of context hashes, level two the rising sequence
-of (context rank, word) pairs. Both are Elias-Fano sequences: low bits packed at a
-fixed width, high bits in unary. A successor is searched among all pairs that
-share its high bits. The pointers from contexts to their successors are a third
-sequence, which queries do not read. Scores are 8-bit codes. The levels lie in
-one file that is memory-mapped; a directory of each level's high bits is kept in
-memory.
+of (context rank, word) pairs, and between them monotone pointers lead from a
+context to the range of its successors. All three are Elias-Fano sequences: low
+bits packed at a fixed width, high bits in unary. They stay packed: a value is
+read by a select on the unary bits, helped by one count for each 512 bits. A
+successor is searched between its context's two pointers only. Scores are 8-bit
+codes. The levels lie in one file that is memory-mapped.
 """
 
 from __future__ import annotations
@@ -17,25 +17,62 @@ import numpy as np
 
 U = np.uint64
 WORD_BITS = 40
+#: 64-bit words of one entry of a directory.
+_STEP = 8
+
+
+class Bits:
+    """A bit sequence in 64-bit words with a count of ones before each 512 bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        ones = np.bitwise_count(words).reshape(-1, _STEP).sum(1, dtype=np.int64)
+        self._ones = np.concatenate([[0], np.cumsum(ones)])
+        self._zeros = np.arange(len(self._ones)) * (64 * _STEP) - self._ones
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Bits:
+        wide = np.zeros(max(1, -(-len(bits) // (64 * _STEP))) * 64 * _STEP, np.uint8)
+        wide[: len(bits)] = bits
+        return cls(np.packbits(wide, bitorder="little").view(U))
+
+    def select(self, k: np.ndarray, ones: bool = True) -> np.ndarray:
+        """Place of the k-th one, or zero, counted from 0."""
+        before = self._ones if ones else self._zeros
+        block = np.searchsorted(before, k, "right") - 1
+        rest = k - before[block]
+        at = block * _STEP
+        word = self.words[at] if ones else ~self.words[at]
+        for _ in range(_STEP - 1):
+            n = np.bitwise_count(word).astype(np.int64)
+            on = rest >= n
+            if not on.any():
+                break
+            rest = np.where(on, rest - n, rest)
+            at = at + on
+            word = np.where(on, self.words[at] if ones else ~self.words[at], word)
+        place = at * 64
+        for half in (32, 16, 8, 4, 2, 1):
+            low = word & U((1 << half) - 1)
+            n = np.bitwise_count(low).astype(np.int64)
+            on = rest >= n
+            rest = np.where(on, rest - n, rest)
+            place = place + half * on
+            word = np.where(on, word >> U(half), low)
+        return place
 
 
 class EliasFano:
     """A rising sequence of unsigned 64-bit values."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little")[: self._high_len()]) if n else np.zeros(0, np.int64)
-        bucket = ones - np.arange(n)
-        self._starts = np.searchsorted(bucket, np.arange((int(bucket[-1]) if n else 0) + 2))
-
-    def _high_len(self) -> int:
-        return len(self.high) * 8
+        self.n, self.low_bits, self.low, self.high = n, low_bits, low, Bits(high)
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         if not n:
-            return cls(0, 0, np.zeros(1, U), np.zeros(1, np.uint8))
+            return cls(0, 0, np.zeros(1, U), np.zeros(_STEP, U))
         bits = max(0, int(values[-1]).bit_length() - n.bit_length())
         high = (values >> U(bits)).astype(np.int64)
         unary = np.zeros(n + int(high[-1]) + 1, np.uint8)
@@ -48,7 +85,7 @@ class EliasFano:
             np.bitwise_or.at(low, word, part << shift)
             over = shift + U(bits) > U(64)
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (U(64) - shift[over]))
-        return cls(n, bits, low, np.packbits(unary, bitorder="little"))
+        return cls(n, bits, low, Bits.of(unary).words)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -62,28 +99,31 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions."""
-        bucket = np.searchsorted(self._starts, i, "right") - 1
-        return (bucket.astype(U) << U(self.low_bits)) | self._low(i) if self.low_bits < 64 else self._low(i)
+        return ((self.high.select(i) - i).astype(U) << U(self.low_bits)) | self._low(i)
+
+    def _ranges(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Between which positions values with the high bits of x lie."""
+        h = np.minimum(x >> U(self.low_bits), U(len(self.high.words) * 64 - self.n - 1)).astype(np.int64)
+        ends = self.high.select(h, False) - h
+        return np.where(h > 0, self.high.select(np.maximum(h - 1, 0), False) - np.maximum(h - 1, 0), 0), ends
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Positions of values, -1 where absent: binary search among the values that share the high bits."""
+    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Positions of values, -1 where absent, by binary search between lo and hi or, without them, among those that share the high bits."""
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
-        high = x >> U(self.low_bits)
-        inside = np.flatnonzero(high < U(len(self._starts) - 1))
-        h = high[inside].astype(np.int64)
-        lo, hi = self._starts[h], self._starts[h + 1]
+        lo, hi = self._ranges(x) if lo is None else (lo.copy(), hi.copy())
         end = hi.copy()
-        want = x[inside] & U((1 << self.low_bits) - 1)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = open_ & (self._low(np.minimum(mid, self.n - 1)) < want)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        hit = lo < end
-        hit[hit] = self._low(lo[hit]) == want[hit]
-        out[inside[hit]] = lo[hit]
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
+            mid = (lo[todo] + hi[todo]) >> 1
+            less = self.get(mid) < x[todo]
+            lo[todo[less]] = mid[less] + 1
+            hi[todo[~less]] = mid[~less]
+            todo = todo[lo[todo] < hi[todo]]
+        hit = np.flatnonzero(lo < end)
+        hit = hit[self.get(lo[hit]) == x[hit]]
+        out[hit] = lo[hit]
         return out
 
 
@@ -121,7 +161,8 @@ class NGramTrie:
 
     def mapped(self) -> NGramTrie:
         """The same trie with its levels in a memory-mapped file, which has no name and goes with the process."""
-        arrays = [x for e in (self.contexts, self.pointers, self.successors) for x in (e.low, e.high)] + [self.backoff.codes, self.scores.codes]
+        levels = (self.contexts, self.pointers, self.successors)
+        arrays = [x for e in levels for x in (e.low, e.high.words)] + [self.backoff.codes, self.scores.codes]
         with tempfile.TemporaryFile() as f:
             places = []
             for a in arrays:
@@ -131,15 +172,18 @@ class NGramTrie:
             f.write(b"\0" * 64)
             f.flush()
             views = [np.memmap(f, a.dtype, "r", offset=p, shape=a.shape) if a.size else a for a, p in zip(arrays, places, strict=True)]
-        seqs = [EliasFano(e.n, e.low_bits, views[2 * i], views[2 * i + 1]) for i, e in enumerate((self.contexts, self.pointers, self.successors))]
+        seqs = [EliasFano(e.n, e.low_bits, views[2 * i], views[2 * i + 1]) for i, e in enumerate(levels)]
         return NGramTrie(*seqs, Codes(self.backoff.book, views[6]), Codes(self.scores.book, views[7]))
 
-    def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(score, seen): the successor's score, else the context's backoff score, else 0."""
+    def query(self, context: np.ndarray, of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score, seen) of each word after ``context[of]``: the successor's score, else the context's backoff score, else 0."""
         rank = self.contexts.find(context)
-        out, seen = np.zeros(len(context)), np.zeros(len(context), bool)
-        known = np.flatnonzero(rank >= 0)
-        at = self.successors.find((rank[known].astype(U) << U(WORD_BITS)) | word[known])
-        out[known] = np.where(at >= 0, self.scores.get(np.maximum(at, 0)), self.backoff.get(rank[known])) if self.successors.n else self.backoff.get(rank[known])
-        seen[known] = at >= 0
+        known = rank >= 0
+        first = np.where(known, rank, 0)
+        lo, hi = ((self.pointers.get(first + i).astype(np.int64) if self.contexts.n else np.zeros(len(context), np.int64)) * known for i in range(2))
+        below = self.backoff.get(first) * known if self.contexts.n else np.zeros(len(context))
+        at = self.successors.find((first[of].astype(U) << U(WORD_BITS)) | word, lo[of], hi[of])
+        out = below[of]
+        seen = at >= 0
+        out[seen] = self.scores.get(at[seen])
         return out, seen

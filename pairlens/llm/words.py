@@ -125,14 +125,25 @@ def blocks(column: pa.Array, lower: bool, size: int = BLOCK_BYTES, bare: bool =
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut to about ``size`` bytes in column number ``text``, to bound a worker's memory."""
+    """The rows again in batches of about ``size`` bytes in column number ``text``, whatever they came in: that bounds a worker's memory."""
+    held, filled = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
         _, off = texts_of(batch.column(text))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
-            yield batch.slice(at, end - at)
+            end = max(at + 1, int(np.searchsorted(off, off[at] + size - filled, "right")) - 1)
+            held.append(batch.slice(at, end - at))
+            filled += int(off[end] - off[at])
+            if end < batch.num_rows or filled >= size:
+                yield joined()
+                held, filled = [], 0
             at = end
+    if held:
+        yield joined()
 
 
 def all_words(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
