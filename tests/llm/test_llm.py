@@ -140,7 +140,7 @@ def test_estimate_is_close():
         assert abs(near_dedup.estimate(*keys, np.array([len(a)]), np.array([len(b)]))[0] - true) < 0.12
 
 
-@pytest.mark.parametrize("k", [3, 13])
+@pytest.mark.parametrize("k", [3, 13, 50])
 def test_substring_dedup(docs, rows, k):
     first, want = {}, {}
     for i, t in sorted(rows):
@@ -160,14 +160,39 @@ def test_substring_dedup(docs, rows, k):
     assert got == want
 
 
-def test_substring_dedup_awkward(odd, nothing):
+def test_substring_dedup_awkward(spark, odd, nothing):
     got = substring_dedup.remove_repeats(odd, min_words=3).collect()
     assert len(got) == odd.count() and sum(r.doc_id is None for r in got) == 2
     assert substring_dedup.remove_repeats(nothing, min_words=3).collect() == []
+    top = spark.createDataFrame([(2**63 - 1, "a b c d"), (None, "a b c d"), (-(2**63), "a b c")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.remove_repeats(top, min_words=3).collect()) == [(-(2**63), 0), (0, 3), (2**63 - 1, 3)]
+    clash = odd.selectExpr("*", "doc_id AS id", "1 AS key", "2 AS part", "text AS record", "map(1, 2) AS `a.b`")
+    assert substring_dedup.remove_repeats(clash, min_words=3, carry=True).select("record.*").columns == [c for c in clash.columns if c != "text"]
     carried = substring_dedup.remove_repeats(odd, min_words=3, carry=True)
     assert carried.count() == odd.count() and set(carried.select("record.*").columns) == {"doc_id", "lang", "source", "n_chars"}
 
 
+def test_suffix_order():
+    rnd = np.random.default_rng(8)
+    for n, width, kinds in ((0, 3, 2), (1, 3, 2), (400, 1, 5), (400, 5, 2), (300, 13, 2), (200, 4, 2**32)):
+        symbols = rnd.integers(0, kinds, (n, width)).astype(np.uint32)
+        ids = rnd.integers(0, 50, n)
+        order, lcp = substring_dedup.suffix_order(symbols)
+        assert order.tolist() == sorted(range(n), key=lambda i: (symbols[i].tolist(), i))
+        by_hand = [0] + [next((k for k in range(width) if symbols[a][k] != symbols[b][k]), width) for a, b in zip(order[1:], order[:-1], strict=True)]
+        assert lcp.tolist() == by_hand[:n]
+        assert substring_dedup.deep_leaves(symbols, ids).tolist() == [min(ids[j] for j in range(n) if (symbols[j] == symbols[i]).all()) for i in range(n)]
+
+
+def test_substring_plan_splits_large_groups():
+    counts = np.zeros((4, 16), np.int64)
+    counts[0, :3] = 900, 50, 50
+    counts[1, :] = 60
+    counts[2, :] = counts[3, :] = 10
+    to = substring_dedup.plan_groups(counts, 4)
+    assert to[0, 0] == -1 and (to[0, 1:3] >= 0).all() and (to[1] >= 0).all()
+
+
 def test_fingerprints(docs, rows, odd, nothing):
     order = sorted(((i, t or "") for i, t in rows), reverse=True)
     got = {r.doc_id: r for r in fp.fingerprint_documents(docs, bucket_rows=9).select("*", fp.as_hex(F.col("packed")).alias("hex")).collect()}
