@@ -11,9 +11,10 @@ to the bucket of their second word for the unigram count. Sums come back by
 document in packed records, one for each chunk of documents and task; unseen
 bigrams travel in one record for each task and bucket.
 
-A context that would overfill a bucket is dealt by context and word; which ones
-these are, their exact counts and their exact numbers of different successors
-are found in two passes before.
+A context that would overfill a bucket is dealt by context and word. Which ones
+these are and their exact counts are found in a pass before; the buckets that hold
+a part of such a context send how many different successors they have to the
+bucket where the context is a word, and it adds the backoff of the unseen tokens.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ CHUNK_BYTES = 6 << 20
 #: Unseen tokens that a task gathers before it sends them on.
 LOST_TOKENS = 2_000_000
 WORD_MASK = U((1 << WORD_BITS) - 1)
-#: kind 0: tokens for a bucket; 1: a chunk's documents; 2: sums for a chunk; 3: unseen tokens; 4: unigram counts; 5: totals.
+#: kind 0: tokens for a bucket; 1: a chunk's documents; 2: sums for a chunk; 3: unseen tokens; 4: unigram counts; 5: totals;
+#: 6: contexts of unseen tokens that were dealt by word; 7: successors of such contexts in a bucket.
 ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in "abcdef")])
 _ROW = "bucket int, kind int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
 
@@ -81,30 +83,13 @@ def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
 
 @tidy
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each context in a piece."""
+    """Tokens of each context in a piece, and those of them to learn from."""
     for batch in pieces(batches, 0, CHUNK_BYTES):
-        context, _, _ = token_pairs(*all_words(batch.column(0), True))
+        context, _, text = token_pairs(*all_words(batch.column(0), True))
         order, starts = grouped(context)
         n = np.diff(np.append(starts, len(order)))
-        yield pa.RecordBatch.from_arrays([pa.array(context[order[starts]].view(np.int64)), pa.array(n)], ["u", "n"])
-
-
-def _exact(hot):
-    """Training counts of the frequent contexts' bigrams in a piece."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 0, CHUNK_BYTES):
-            context, word, text = token_pairs(*all_words(batch.column(0), True))
-            at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-            use = np.flatnonzero((hot[at] == context) & np.asarray(batch.column(1))[text])
-            order = use[np.lexsort((word[use], at[use]))]
-            u, w = context[order], word[order]
-            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])[: len(u)])
-            n = np.diff(np.append(first, len(u)))
-            yield pa.RecordBatch.from_arrays([pa.array(u[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n.astype(np.int64))], ["u", "w", "n"])
-
-    return run
+        learn = np.add.reduceat(np.asarray(batch.column(1))[text[order]].astype(np.int64), starts)
+        yield pa.RecordBatch.from_arrays([pa.array(context[order[starts]].view(np.int64)), pa.array(n), pa.array(learn)], ["u", "n", "learn"])
 
 
 def _send(hot_words, buckets: int):
@@ -163,10 +148,10 @@ class _Sums:
 
 
 class _Lost:
-    """Unseen tokens of a task by the bucket of their word: (word, chunk, document)."""
+    """What a task asks the buckets of words: (word, chunk, document) in rows of one kind."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.n = buckets, [], 0
+    def __init__(self, buckets: int, kind: int):
+        self.buckets, self.kind, self.parts, self.n = buckets, kind, [], 0
 
     def add(self, word: np.ndarray, chunk: int, doc: np.ndarray) -> None:
         self.parts.append((word, np.full(len(word), chunk, np.int64), doc.astype(np.uint32)))
@@ -184,11 +169,11 @@ class _Lost:
         cuts = np.flatnonzero(np.diff(to, prepend=-1))
         for lo, hi in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
             chunks, n = np.unique(chunk[lo:hi], return_counts=True)
-            yield {"bucket": int(to[lo]), "kind": 3, "chunk": 0, "a": word[lo:hi].tobytes(), "b": _z(doc[lo:hi]), "c": _z(chunks), "d": _z(n)}
+            yield {"bucket": int(to[lo]), "kind": self.kind, "chunk": 0, "a": word[lo:hi].tobytes(), "b": _z(doc[lo:hi]), "c": _z(chunks), "d": _z(n)}
 
 
-def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, hot_kinds: np.ndarray, sums: _Sums, lost_ones: _Lost) -> dict:
-    """One bucket: build and map its trie, score its tokens, gather unseen ones, return the unigram counts."""
+def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, buckets: int, sums: _Sums, lost_ones: _Lost, below: _Lost) -> Iterator[dict]:
+    """One bucket: build and map its trie, score its tokens, gather unseen ones, yield the unigram counts."""
     bucket = rows[0]["bucket"]
     dicts = [_raw(r["a"], U) for r in rows]
     runs = [_un(r["b"], np.uint32) for r in rows]
@@ -208,9 +193,8 @@ def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, hot_kinds: np.
     is_hot = hot[at] == contexts if len(hot) else np.zeros(len(contexts), bool)
     if len(hot):
         total = np.where(is_hot, hot_n[at], total)
-        kinds = np.where(is_hot, hot_kinds[at], kinds)
     with np.errstate(divide="ignore", invalid="ignore"):
-        backoff = np.where((total > 0) & (kinds > 0), np.log10(np.minimum(1.0, DISCOUNT * kinds / total)), 0.0)
+        backoff = np.where((total > 0) & (kinds > 0) & ~is_hot, np.log10(np.minimum(1.0, DISCOUNT * kinds / total)), 0.0)
         trained = seen_n > 0
         score = np.log10((seen_n[trained] - DISCOUNT) / total[own_rank[trained]])
     trie = NGramTrie.build(contexts, backoff, own_rank[trained], own[trained] & WORD_MASK, score).mapped()
@@ -230,22 +214,32 @@ def _answer(rows: list[dict], hot: np.ndarray, hot_n: np.ndarray, hot_kinds: np.
             held = np.cumsum(m % 2 == 0) - 1
             w = word[lo:hi][lost] | (_un(r["f"], np.uint32).astype(U)[held[lost]] << U(WORD_BITS))
             lost_ones.add(w, r["chunk"], doc[lost])
+            spread = rank[lo:hi][lost]
+            spread_at = np.flatnonzero(is_hot[spread] & (total[spread] > 0))
+            if len(spread_at):
+                below.add(contexts[spread[spread_at]], r["chunk"], doc[lost[spread_at]])
         lo = hi
+    part = np.flatnonzero(is_hot & (kinds > 0))
+    to = _bucket(contexts[part], buckets)
+    for b in np.unique(to):
+        mine = part[to == b]
+        yield {"bucket": int(b), "kind": 7, "chunk": 0, "a": contexts[mine].tobytes(), "b": _z(kinds[mine].astype(np.int64))}
     keep = (total > 0) & ~is_hot & (contexts != START)
-    return {"bucket": bucket, "kind": 4, "chunk": 0, "a": contexts[keep].tobytes(), "b": _z(total[keep].astype(np.int64))}
+    yield {"bucket": bucket, "kind": 4, "chunk": 0, "a": contexts[keep].tobytes(), "b": _z(total[keep].astype(np.int64))}
 
 
 def _first(hot_words, buckets: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_n, hot_kinds = hot_words.value
-        sums, lost, held = _Sums(), _Lost(buckets), []
+        hot, hot_n = hot_words.value
+        sums, asked, held = _Sums(), (_Lost(buckets, 3), _Lost(buckets, 6)), []
 
         def close() -> Iterator[pa.RecordBatch]:
-            yield _rows([_answer(held, hot, hot_n, hot_kinds, sums, lost)])
+            yield _rows(list(_answer(held, hot, hot_n, buckets, sums, *asked)))
             held.clear()
-            if lost.n >= LOST_TOKENS:
-                yield _rows(list(lost.rows()))
+            for x in asked:
+                if x.n >= LOST_TOKENS:
+                    yield _rows(list(x.rows()))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -257,8 +251,9 @@ def _first(hot_words, buckets: int):
                 held.append(row)
         if held:
             yield from close()
-        if lost.n:
-            yield _rows(list(lost.rows()))
+        for x in asked:
+            if x.n:
+                yield _rows(list(x.rows()))
         for row in sums.rows():
             yield _rows([row])
 
@@ -270,9 +265,15 @@ def _second(hot_words, buckets: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_n, _ = hot_words.value
+        hot, hot_n = hot_words.value
         sums, held = _Sums(), []
 
+        def each(r: dict) -> Iterator[tuple[int, slice]]:
+            upto = 0
+            for chunk, count in zip(_un(r["c"], np.int64).tolist(), _un(r["d"], np.int64).tolist(), strict=True):
+                yield chunk, slice(upto, upto + count)
+                upto += count
+
         def close() -> Iterator[pa.RecordBatch]:
             tables = [r for r in held if r["kind"] == 4]
             words = np.concatenate([_raw(r["a"], U) for r in tables] + [hot])
@@ -284,11 +285,22 @@ def _second(hot_words, buckets: int):
                     w, doc = _raw(r["a"], U), _un(r["b"], np.uint32).astype(np.int64)
                     at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
                     c = np.where(words[at] == w, n[at], 0) if len(words) else np.zeros(len(w))
-                    value, end, upto = np.log10(c + 1.0) * (w != END), (w == END).astype(float), 0
-                    for chunk, count in zip(_un(r["c"], np.int64).tolist(), _un(r["d"], np.int64).tolist(), strict=True):
-                        own, upto, zero = slice(upto, upto + count), upto + count, np.zeros(count)
+                    value, end = np.log10(c + 1.0) * (w != END), (w == END).astype(float)
+                    for chunk, own in each(r):
+                        zero = np.zeros(own.stop - own.start)
                         sums.add(chunk, doc[own] * 2, zero, value[own], zero)
                         sums.add(chunk, doc[own] * 2 + 1, zero, end[own], zero + 1)
+            shares = [r for r in held if r["kind"] == 7]
+            if shares:
+                u, which = np.unique(np.concatenate([_raw(r["a"], U) for r in shares]), return_inverse=True)
+                followers = np.bincount(which, np.concatenate([_un(r["b"], np.int64) for r in shares]))
+                weight = np.log10(np.minimum(1.0, DISCOUNT * followers / hot_n[np.searchsorted(hot, u)]))
+                for r in held:
+                    if r["kind"] == 6:
+                        value, doc = weight[np.searchsorted(u, _raw(r["a"], U))], _un(r["b"], np.uint32).astype(np.int64)
+                        for chunk, own in each(r):
+                            zero = np.zeros(own.stop - own.start)
+                            sums.add(chunk, doc[own] * 2, zero, value[own], zero)
             kinds = sum(len(_raw(r["a"], U)) for r in tables)
             held.clear()
             yield _rows([{"bucket": 0, "kind": 5, "chunk": -1, "a": np.array([kinds], np.int64).tobytes()}])
@@ -354,17 +366,14 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     count, size = text_bytes(docs, text_col)
     buckets = max(4, (size // 6 + count) // bucket_tokens + 1)
     least = hot_tokens or bucket_tokens // 4
-    often = rows.select("text").mapInArrow(_frequent, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    hot = np.sort(np.array([r["u"] for r in often.collect()], np.int64).view(U))
-    sc = docs.sparkSession.sparkContext
-    bigrams = rows.select("text", "train").mapInArrow(_exact(hot), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
-    exact = {r["u"]: (r["n"], r["kinds"]) for r in bigrams.groupBy("u").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()} if len(hot) else {}
-    hot_n, hot_kinds = (np.array([exact.get(int(u), (0, 0))[i] for u in hot.view(np.int64)], np.int64) for i in range(2))
-    shared = sc.broadcast((hot, hot_n, hot_kinds))
+    often = rows.select("text", "train").mapInArrow(_frequent, "u long, n long, learn long").groupBy("u").agg(F.sum("n").alias("n"), F.sum("learn").alias("learn")).where(F.col("n") >= least)
+    found = sorted((int(np.int64(r["u"]).view(U)), r["learn"]) for r in often.collect())
+    hot, hot_n = np.array([u for u, _ in found], U), np.array([n for _, n in found], np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((hot, hot_n))
     dealt = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     sent = rows.mapInArrow(_send(shared, buckets), _ROW)
     answered = dealt(sent).mapInArrow(_first(shared, buckets), _ROW)
-    spread = answered.withColumn("bucket", F.when(F.col("kind").isin(3, 4), F.col("bucket")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(buckets)).cast("int")))
+    spread = answered.withColumn("bucket", F.when(F.col("kind").isin(3, 4, 6, 7), F.col("bucket")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(buckets)).cast("int")))
     settled = dealt(spread).mapInArrow(_second(shared, buckets), _ROW)
     by_doc = cut(settled.groupBy("chunk").applyInArrow(_finish, _DOC))
     totals = by_doc.agg(F.sum(F.when(F.col("train"), F.col("n_tokens"))).alias("tokens"), F.count_if("train").alias("texts"), F.sum(F.when(F.col("kinds") > 0, F.col("kinds"))).alias("kinds")).first()
