@@ -10,10 +10,10 @@ documents is a node of the suffix tree, that deep at least, with leaves in both.
    its windows of ``min_words`` words; those that stand in one part only are leaves
    right below the root path of no deep node, and are pruned. Chance agreements only
    keep a suffix that could have gone.
-3. Each part sorts the suffixes that are left by their words, takes its own deep
+3. Each part sorts the suffixes that are left by their symbols, takes its own deep
    nodes, and sends the suffixes of the smallest id of each node to their groups. A
-   suffix goes as a string of at most SYMBOLS symbols: its words or, where
-   ``min_words`` is larger, blocks of them by name.
+   suffix goes as a string of at most SYMBOLS symbols: blocks of consecutive words,
+   each by a 32-bit name, or the words themselves where ``min_words`` is no more.
 4. A bucket sorts its suffixes, computes the longest common prefix of neighbours,
    and finds the intervals that share all symbols: the internal nodes of depth
    ``min_words``. Leaves with an id above a node's smallest are marked.
@@ -42,7 +42,7 @@ PART_BYTES = 6 << 20
 #: Windows of one bucket of fingerprints.
 BUCKET_PRINTS = 2_500_000
 #: Symbols of a suffix at most.
-SYMBOLS = 13
+SYMBOLS = 4
 PRINTS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("low", pa.binary()), ("high", pa.binary())])
 SHARED = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("ranks", pa.binary())])
 SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("docs", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "windows", "symbols"))])
@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``record`` in place of the id.
 
     Fingerprints that prune have 32 bits beyond their bucket's number and decide
-    nothing else. Words are compared as 32-bit symbols, all of them.
+    nothing else. Suffixes are ordered and compared by all their symbols.
     """
     spark = docs.sparkSession
     bound_batches(spark)
