@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import bound_batches, cut
 from .words import U, mix
 
 WIDTH, FILTERS, CLASSES = 8, 16, 12
@@ -97,6 +97,7 @@ def _printer(rate: int, frame: int, hop: int):
 
 def fingerprint_audio(media: DataFrame, id_col: str, audio_col: str, rate: int = 4000, frame: int = 512, hop: int = 250) -> DataFrame:
     """(id, codes) by row; null, empty and too short recordings have no codes."""
+    bound_batches(media.sparkSession)
     return media.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio")).mapInArrow(_printer(rate, frame, hop), f"id {media.schema[id_col].dataType.simpleString()}, codes array<int>")
 
 

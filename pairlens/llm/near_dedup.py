@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import cut, tidy
+from .session import bound_batches, cut, tidy
 from .words import Runs, U, Words, blocks, mix, run_starts
 
 BANDS, ROWS, MANTISSA = 32, 5, 6
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null component, and are kept. Other columns are ignored, whatever their names.
     A pair of similarity 0.8 shares no band with a probability of 3e-6.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     every = cut(rows.mapInArrow(_sketcher(shingle_words), "id long, n long, hi long, lo long, bands array<long>"))
     sketches = every.where("n > 0 and id is not null")

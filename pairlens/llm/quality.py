@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import bound_batches, cut
 from .toxicity import logistic
 from .words import U, Words, blocks
 
@@ -86,6 +86,7 @@ def quality(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str =
     0.5 for all and everything is kept. Other columns are ignored, whatever their
     names.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(host_col).isNull().alias("no_host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(path_col).isNull().alias("no_path"), F.col(text_col).alias("text"))
     usable = labels.where(trainable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     part = min(1.0, sample_rows / max(usable.count(), 1))

@@ -1,11 +1,12 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Toxic and ordinary texts get a bigram model each. Bigram counts back off to the
-class's continuation counts of words (after how many different words one stands),
-these to the continuation counts of word stems (the first five bytes), and those
-to the counts of both classes together, which the two models share: an
-expression whose word and stem are rare in the sample says nothing about the
-class. A text is judged by its log-likelihood ratio, normalised by length, over
+Toxic and ordinary texts get an interpolated bigram model each. Bigram counts back
+off to the class's continuation counts of words (after how many different words
+one stands), these to the continuation counts of word stems (the first five
+bytes), and those to the counts of both classes together, which the two models
+share: an expression whose word and stem are rare in the sample says little about
+the class.
+Discounting is absolute. A text is judged by its log-likelihood ratio, normalised by length, over
 the whole text and over its most toxic stretch of 1, 2, 8 and 32 words. A
 logistic function fitted on out-of-fold ratios turns these into a probability.
 """
@@ -20,21 +21,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, tidy
+from .session import bound_batches, cut, tidy
 from .words import Runs, U, Words, blocks, grouped
 
 STRETCHES = (1, 2, 8, 32)
 FEATURES = len(STRETCHES) + 2
 STEM_BYTES = 5
-#: Taken from pair counts, and from word and stem counts; so many sightings of a word are no evidence yet.
-PAIR_DISCOUNT, DISCOUNT = 2.0, 3.0
+#: Taken from every count, or all of it: so many sightings of an expression in a class are no evidence yet.
+DISCOUNT = 3.0
 #: Counts of a class in fold 0, in fold 1 and in both: out-of-fold models use the other fold.
 MODELS = 3
 
 
 @dataclass
 class Ratios:
-    """log P(toxic) - log P(ordinary) by word and by bigram, one column a model."""
+    """log P(toxic) - log P(ordinary) by word and by bigram, one column a model.
+
+    A pair without a row of its own has its context's backoff weight times its
+    word's probability, a word without one its class's backoff weight times its
+    stem's, and a stem without one the same probability in both classes.
+    """
 
     words: np.ndarray
     word_ratio: np.ndarray
@@ -42,19 +48,23 @@ class Ratios:
     pair_ratio: np.ndarray
     stems: np.ndarray
     stem_ratio: np.ndarray
+    contexts: np.ndarray
+    context_ratio: np.ndarray
+    word_backoff: np.ndarray
 
     def of(self, w: Words, model: int) -> np.ndarray:
         """The ratio of each word of a block, given the word before."""
         out = _lookup(self.words, self.word_ratio[:, model], w.hashes, np.nan)
         rare = np.flatnonzero(np.isnan(out))
-        out[rare] = _lookup(self.stems, self.stem_ratio[:, model], w.stems(STEM_BYTES)[rare], 0.0)
+        stem = _lookup(self.stems, self.stem_ratio[:, model], w.stems(STEM_BYTES)[rare], np.nan)
+        out[rare] = np.where(np.isnan(stem), 0.0, stem + self.word_backoff[model])
         if len(w.hashes) > 1:
-            two = Runs(w.hashes).at(np.arange(len(w.hashes) - 1), 2)
-            found = _lookup(self.pairs, self.pair_ratio[:, model], two, np.nan)
             inner = np.ones(len(w.hashes), bool)
             inner[w.bounds[:-1][w.bounds[:-1] < len(inner)]] = False
-            at = np.flatnonzero(inner[1:] & ~np.isnan(found))
-            out[at + 1] = found[at]
+            at = np.flatnonzero(inner)
+            found = _lookup(self.pairs, self.pair_ratio[:, model], Runs(w.hashes).at(at - 1, 2), np.nan)
+            below = out[at] + _lookup(self.contexts, self.context_ratio[:, model], w.hashes[at - 1], 0.0)
+            out[at] = np.where(np.isnan(found), below, found)
         return out
 
 
@@ -84,61 +94,68 @@ def stretch_features(ratio: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of each class and fold a word pair stands; the text's first word follows word 0."""
+    """How often a word pair stands in each class and fold; a text's first word follows word 0."""
     for batch in batches:
         cell_of = batch.column(1).to_numpy()
-        for lo, hi, w in blocks(batch.column(0), True, 8 << 20, True):
+        for lo, hi, w in blocks(batch.column(0), True, 4 << 20, True):
             if not len(w.hashes):
                 continue
             before = np.concatenate([np.zeros(1, U), w.hashes[:-1]])
             before[w.bounds[:-1][w.bounds[:-1] < len(before)]] = 0
             two = np.concatenate([np.zeros(1, U), Runs(w.hashes).at(np.arange(len(w.hashes) - 1), 2)])
             two[before == 0] = w.hashes[before == 0]
-            text = w.text_of()
-            order, starts = grouped(two ^ (text.astype(U) * U(0x9E3779B97F4A7C15)))
-            once = order[starts]
-            cell = cell_of[lo:hi][text[once]]
-            order, starts = grouped(two[once])
+            cell = cell_of[lo:hi][w.text_of()]
+            order, starts = grouped(two)
             counts = np.stack([np.add.reduceat((cell == c)[order].astype(np.int64), starts) for c in range(4)])
-            at = once[order[starts]]
+            at = order[starts]
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (two[at], before[at], w.hashes[at], w.stems(STEM_BYTES)[at])] + [pa.array(c) for c in counts], ["pair", "u", "w", "stem", "c0", "c1", "c2", "c3"])
 
 
-def fit_ratios(sample: DataFrame, min_count: int) -> Ratios:
-    """Both models from (text, cell) with cell = 2 * toxic + fold. Pairs, words and stems seen under ``min_count`` times give no rows; a pair is seen once in a text, words and stems as often as their pairs."""
+def fit_ratios(sample: DataFrame) -> Ratios:
+    """Both models from (text, cell) with cell = 2 * toxic + fold.
+
+    No expression is cut: rows are left out only where they add nothing to what
+    the levels below give, which holds for counts up to DISCOUNT, as these go to
+    the backoff whole.
+    """
     pairs = cut(sample.mapInArrow(_count, "pair long, u long, w long, stem long, c0 long, c1 long, c2 long, c3 long").groupBy("pair", "u", "w", "stem").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]))
     cols = {"o0": "c0", "o1": "c1", "o2": "c0 + c1", "t0": "c2", "t1": "c3", "t2": "c2 + c3"}
     grid = [f"{c}{m}" for m in range(MODELS) for c in "ot"]
-    seen = [F.count(F.when(F.expr(f"{cols[g]} > 0"), 1)).alias(g) for g in grid]
-    words = cut(pairs.groupBy("w", "stem").agg(*seen, F.count(F.lit(1)).alias("all"), F.sum(F.expr("c0 + c1 + c2 + c3")).alias("seen")))
-    stems = words.groupBy("stem").agg(*[F.sum(g).alias(g) for g in grid], F.sum("all").alias("all"), F.sum("seen").alias("seen"))
-    left = lambda of: of.agg(*[F.sum(F.least(F.col(g), F.lit(DISCOUNT))).alias(g) for g in grid]).first()
-    sums = words.agg(*[F.sum(g).alias(g) for g in grid], F.sum("all").alias("all")).first()
-    word_left, stem_left = left(words), left(stems)
+    words = cut(pairs.groupBy("w", "stem").agg(*[F.count(F.when(F.expr(f"{cols[g]} > 0"), 1)).alias(g) for g in grid], F.count(F.lit(1)).alias("all")))
+    stems = words.groupBy("stem").agg(*[F.sum(g).alias(g) for g in grid], F.sum("all").alias("all"))
+
+    left = lambda of: of.agg(*[F.sum(g).alias(f"{g}_sum") for g in grid], *[F.sum(F.least(F.col(g).cast("double"), F.lit(DISCOUNT))).alias(f"{g}_left") for g in grid], F.sum("all").alias("all")).first()
+    word_n, stem_n = ({g: (max(row[f"{g}_sum"] or 0, 1), max(row[f"{g}_left"] or 0, 0.5), max(row["all"] or 0, 1)) for g in grid} for row in (left(words), left(stems)))
     ordered = lambda df, key: df.toPandas().sort_values(key, key=lambda s: s.to_numpy().view(U)).reset_index(drop=True)
-    stem_rows = ordered(stems.where(F.col("seen") >= min_count), "stem")
-    word_rows = ordered(words.where(F.col("seen") >= min_count).join(stems.select("stem", F.col("all").alias("stem_all")), "stem"), "w")
-    contexts = pairs.groupBy("u").agg(*[F.sum(F.expr(cols[g])).alias(f"n{g}") for g in grid], *[F.sum(F.least(F.expr(cols[g]), F.lit(PAIR_DISCOUNT))).alias(f"d{g}") for g in grid])
-    pair_rows = ordered(pairs.where(F.expr(f"c0 + c1 + c2 + c3 >= {min_count} and u <> 0")).join(contexts, "u"), "pair")
+    more = lambda count: " or ".join(f"{count(g)} > {DISCOUNT}" for g in ("o2", "t2"))
+    contexts = cut(pairs.where("u <> 0").groupBy("u").agg(*[F.sum(F.expr(cols[g])).alias(f"n{g}") for g in grid], *[F.sum(F.least(F.expr(f"double({cols[g]})"), F.lit(DISCOUNT))).alias(f"d{g}") for g in grid]))
+    kept = pairs.where(f"u <> 0 and ({more(lambda g: '(' + cols[g] + ')')})")
+    some = kept.select("w").distinct()
+    word_rows = ordered(words.where(more(lambda g: g)).union(words.join(some, "w", "left_semi").select(words.columns)).distinct().join(stems.select("stem", F.col("all").alias("stem_all")), "stem"), "w")
+    stem_rows, pair_rows, context_rows = ordered(stems, "stem"), ordered(kept, "pair"), ordered(contexts, "u")
 
     key = lambda rows, c: rows[c].to_numpy().view(U)
     of_stem = np.searchsorted(key(stem_rows, "stem"), key(word_rows, "stem"))
     of_word = np.searchsorted(key(word_rows, "w"), key(pair_rows, "w"))
-    ratio: dict[str, list] = {"stem": [], "word": [], "pair": []}
-    logs = {}
+    of_context = np.searchsorted(key(context_rows, "u"), key(pair_rows, "u"))
+    in_stem = (word_rows["all"] / word_rows["stem_all"]).to_numpy()
+    logs: dict[str, dict[str, np.ndarray]] = {}
     for g in grid:
-        n = max(sums[g] or 0, 1)
-        stem_p = np.maximum(stem_rows[g].to_numpy() - DISCOUNT, 0) / n + max(stem_left[g] or 0, 1) / n * stem_rows["all"].to_numpy() / max(sums["all"] or 0, 1)
-        in_stem = (word_rows["all"] / word_rows["stem_all"]).to_numpy()
-        word_p = np.maximum(word_rows[g].to_numpy() - DISCOUNT, 0) / n + max(word_left[g] or 0, 1) / n * stem_p[of_stem] * in_stem
-        total = pair_rows[f"n{g}"].to_numpy()
+        n, left, pooled = stem_n[g]
+        c = stem_rows[g].to_numpy()
+        stem_p = np.maximum(c - DISCOUNT, 0) / n + left / n * stem_rows["all"].to_numpy() / pooled
+        n, left, _ = word_n[g]
+        c = word_rows[g].to_numpy()
+        word_p = np.maximum(c - DISCOUNT, 0) / n + left / n * stem_p[of_stem] * in_stem
+        total = context_rows[f"n{g}"].to_numpy()
+        weight = np.where(total > 0, context_rows[f"d{g}"].to_numpy() / np.maximum(total, 1), 1.0)
         c = pair_rows.eval(cols[g]).to_numpy() if len(pair_rows) else np.zeros(0)
-        pair_p = np.where(total > 0, (np.maximum(c - PAIR_DISCOUNT, 0) + pair_rows[f"d{g}"].to_numpy() * word_p[of_word]) / np.maximum(total, 1), word_p[of_word])
-        logs[g] = {"stem": np.log(stem_p), "word": np.log(word_p), "pair": np.log(pair_p)}
-    for level in ratio:
-        ratio[level] = np.stack([logs[f"t{m}"][level] - logs[f"o{m}"][level] for m in range(MODELS)], 1)
-    return Ratios(key(word_rows, "w"), ratio["word"], key(pair_rows, "pair"), ratio["pair"], key(stem_rows, "stem"), ratio["stem"])
+        pair_p = np.maximum(c - DISCOUNT, 0) / np.maximum(total[of_context], 1) + weight[of_context] * word_p[of_word]
+        logs[g] = {"stem": np.log(stem_p), "word": np.log(word_p), "pair": np.log(pair_p), "context": np.log(np.maximum(weight, 1e-12)), "back": np.log(left / n)}
+    ratio = {level: np.stack([logs[f"t{m}"][level] - logs[f"o{m}"][level] for m in range(MODELS)], -1) for level in ("stem", "word", "pair", "context", "back")}
+    return Ratios(key(word_rows, "w"), ratio["word"], key(pair_rows, "pair"), ratio["pair"], key(stem_rows, "stem"), ratio["stem"], key(context_rows, "u"), ratio["context"], ratio["back"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +207,7 @@ def _scorer(ratios, fitted):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, min_count: int = 5, threshold: float = 0.3, carry: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, threshold: float = 0.3, carry: bool = False) -> DataFrame:
     """(id, score, predicted), one row for each input row.
 
     ``labels`` marks some ids 0 or 1; ``trainable``, a condition on its columns,
@@ -202,6 +219,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str
     whatever their names; with ``carry`` the result is all columns of ``docs`` as
     a struct ``record``, score and predicted.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     usable = labels.where(trainable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     total = usable.count()
@@ -215,7 +233,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str
     if sample.where("cell >= 2").isEmpty() or sample.where("cell < 2").isEmpty():
         return named(given.select(given.columns[0], F.lit(0.0).alias("score"), F.lit(0).alias("predicted")))
     sc = docs.sparkSession.sparkContext
-    ratios = sc.broadcast(fit_ratios(sample, min_count))
+    ratios = sc.broadcast(fit_ratios(sample))
     found = sample.mapInArrow(_features(ratios), "cell int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toPandas().sort_values(["cell", *(f"f{i}" for i in range(FEATURES))])
     fitted = logistic(found[[f"f{i}" for i in range(FEATURES)]].to_numpy(), (found["cell"].to_numpy() >= 2).astype(float))
     scored = given.mapInArrow(_scorer(ratios, fitted), given.select(given.columns[0]).schema.add("score", "double"))

@@ -36,7 +36,7 @@ def _texts() -> list[str | None]:
             out.append(" ".join(v))
     passage = make(60)
     out += [f"{make(10)} {passage}\n{make(5)}" for _ in range(4)] + [passage]
-    out += [None, "", "   \t\n", "one", "One", "two words", "TWO words", base[0], base[0], base[0].upper(), "x" * 30_000, make(9000), "a " * 300, "\x0b\x1fodd space here", "'s 're  \n\n don't  "]
+    out += [None, "", "   \t\n", "one", "One", "two words", "TWO words", base[0], base[0], base[0].upper(), "x" * 30_000, make(9000), "a " * 300, "\x0b\x1fodd space here", "'s 're  \n\n don't  ", "a <|endoftext|> b<|endoftext|>"]
     return out
 
 
@@ -216,9 +216,8 @@ def test_packing(docs, rows, odd, nothing):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_file("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    got = packing.pack_documents(docs, group_rows=30).toPandas()
-    plain = packing.pack_documents(docs, digest=True, group_rows=30).toPandas().set_index(["doc_id", "piece"])
+    got = packing.pack_documents(docs, group_pieces=30).toPandas()
+    plain = packing.pack_documents(docs, digest=True, group_pieces=30).toPandas().set_index(["doc_id", "piece"])
     for i, t in rows:
         mine = got[got.doc_id == i].sort_values("piece")
         ids = (tokenizer.encode(t, add_special_tokens=False).ids if t else []) + [2]
@@ -399,14 +398,53 @@ def test_toxicity(spark, docs, labels, odd, nothing):
 
 
 def test_toxicity_fixed_wording(spark):
-    """Words that always follow the same word keep their rows, and so do their pairs."""
+    """Words that always follow the same word are judged by their pairs."""
     rows = [(f"w{i % 7} w{i % 5} you vile nasty foul thing w{i % 3}" if i % 4 == 0 else f"w{i % 7} w{i % 5} you w{i % 3}", 2 * (i % 4 == 0) + i // 4 % 2) for i in range(160)]
-    ratios = toxicity.fit_ratios(spark.createDataFrame(rows, "text string, cell int"), 5)
+    ratios = toxicity.fit_ratios(spark.createDataFrame(rows, "text string, cell int"))
     w = next(words.blocks(pa.array(["you vile nasty foul thing"]), True, bare=True))[2]
-    assert np.isin(w.hashes, ratios.words).all()
     assert (ratios.of(w, 2)[2:] > 1).all()
 
 
+def test_toxicity_likelihoods(spark):
+    """log P(toxic) - log P(ordinary) of every word after every other, against interpolated Kneser-Ney models by hand."""
+    rnd = random.Random(6)
+    vocabulary = [f"{a}{'xyzvw'[k % 5] * 5}{k}" for k, a in enumerate("abcdefghijkl")]
+    rows = [(" ".join(rnd.choice(vocabulary[: 6 + 3 * (i % 3)]) for _ in range(40)), 2 * (i % 3 == 2) + i % 2) for i in range(60)]
+    ratios = toxicity.fit_ratios(spark.createDataFrame(rows, "text string, cell int"))
+    d, both = toxicity.DISCOUNT, [Counter(), Counter()]
+    for text, cell in rows:
+        w = text.split()
+        both[cell // 2].update(zip(["", *w[:-1]], w, strict=True))
+    stem = lambda w: w[: toxicity.STEM_BYTES]
+
+    def model(pairs):
+        after = Counter(w for _, w in pairs)
+        pooled = Counter(w for _, w in {*both[0], *both[1]})
+        stems, all_stems = Counter(), Counter()
+        for w, n in after.items():
+            stems[stem(w)] += n
+        for w, n in pooled.items():
+            all_stems[stem(w)] += n
+        taken = lambda c: sum(min(x, d) for x in c.values())
+        n = sum(after.values())
+        p_stem = lambda s: max(stems[s] - d, 0) / n + taken(stems) / n * all_stems[s] / sum(all_stems.values())
+        p_word = lambda w: max(after[w] - d, 0) / n + taken(after) / n * p_stem(stem(w)) * pooled[w] / all_stems[stem(w)]
+
+        def p(u, w):
+            under = {x: c for x, c in pairs.items() if x[0] == u}
+            total = sum(under.values())
+            return (max(pairs[u, w] - d, 0) + taken(under) * p_word(w)) / total if total else p_word(w)
+
+        return p
+
+    ordinary, toxic = map(model, both)
+    for u in vocabulary:
+        texts = pa.array([f"{u} {w}" for w in vocabulary])
+        block = next(words.blocks(texts, True, bare=True))[2]
+        got = ratios.of(block, 2)[1::2]
+        assert got == pytest.approx([math.log(toxic(u, w) / ordinary(u, w)) if w in {x for _, x in {*both[0], *both[1]}} else 0.0 for w in vocabulary], abs=1e-9)
+
+
 def test_quality(spark, docs, labels, odd, nothing):
     d, l = _toy(spark)
     junk = d.withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.repeat(F.lit("SAME!! "), 30)).otherwise(F.col("text")))
@@ -467,24 +505,115 @@ def test_audio_repeated_parts(spark):
     assert audio.voted_offsets(same, same[:40]).tolist() == list(range(8 - 60 + 1, 40 - 8))
 
 
-def test_pipeline(spark, rows, tmp_path):
-    import corpus_pipeline as cp
-
+@pytest.fixture
+def corpus(spark, rows, tmp_path):
+    """Documents and labels on disk: ordinary rows, toxic ones, repeated ids, null ids and clashing columns."""
     extra = [(1000 + i, f"{t} you vile nasty foul thing", "en", "s1", 1) for i, (_, t) in enumerate(rows[:40])]
     base = [(i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in rows]
-    d = spark.createDataFrame(base + extra, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = [(5, "another text under the id five altogether", "en", None, 41), (None, "no id here but words", None, "s1", None), (None, "no id here but words", None, "s1", None), (None, None, None, None, None)]
+    d = spark.createDataFrame(base + extra + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, name in enumerate(("k", "i", "copies", "row", "record", "id", "component_id", "a.b")):
+        d = d.withColumn(name, F.lit(i))
     l = spark.createDataFrame([(i, 1, 0) for i, *_ in base] + [(i, 1, 1) for i, *_ in extra], "doc_id long, quality int, toxic int")
     d.write.parquet(str(tmp_path / "documents.parquet"))
     l.write.parquet(str(tmp_path / "labels.parquet"))
-    docs, columns = spark.read.parquet(str(tmp_path / "documents.parquet")), d.columns
-    seen = {}
+    return str(tmp_path), base + odd, extra
+
+
+def test_pipeline(spark, corpus):
+    """Each stage against what plain Python makes of the rows that the stage before kept."""
+    import corpus_pipeline as cp
+
+    folder, clean, toxic = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, seen = docs.columns, {}
     for n, (name, stage) in enumerate(cp.STAGES):
-        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out{n}"))
-        docs = seen[name] = spark.read.parquet(str(tmp_path / f"out{n}"))
+        stage(spark, docs, folder).write.parquet(f"{folder}/out{n}")
+        docs = spark.read.parquet(f"{folder}/out{n}")
+        seen[name] = docs.collect()
         assert n == len(cp.STAGES) - 1 or docs.columns == columns
-    kept = {r.doc_id for r in seen["toxicity"].collect()}
-    assert sum(i in kept for i, *_ in extra) <= 4 and sum(i in kept for i, *_ in base) >= len(base) - 2
-    groups = {r.doc_id: r.kept for r in near_dedup.near_duplicates(seen["toxicity"]).collect()}
-    assert sorted(r.doc_id for r in seen["near_dedup"].collect()) == sorted(i for i, k in groups.items() if k)
-    assert seen["substring_dedup"].count() <= seen["near_dedup"].count()
-    assert seen["packing"].where("length > 1024").isEmpty()
+    ids = Counter(r.doc_id for r in seen["toxicity"])
+    assert sum(ids[i] for i, *_ in toxic) <= 4 and sum(ids[i] for i in {i for i, *_ in clean}) >= len(clean) - 2
+
+    docs_in = list(dict.fromkeys((r.doc_id, r.text) for r in seen["toxicity"]))
+    sets, parent = [shingle_set(t, 5) for _, t in docs_in], list(range(len(docs_in)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                parent[root(a)] = root(b)
+    groups: dict[int, list] = {}
+    for i, d in enumerate(docs_in):
+        groups.setdefault(root(i), []).append(d)
+    kept = [(r.doc_id, r.text) for r in seen["near_dedup"]]
+    assert len(kept) == len(groups)
+    for group in groups.values():
+        mine = [d for d in kept if d in group]
+        assert len(mine) == 1 and (mine[0][0] is None) <= all(i is None for i, _ in group) and (mine[0][0] is None or mine[0][0] == min(i for i, _ in group if i is not None))
+
+    key = lambda i: (i is None, i or 0)
+    first: dict[tuple, tuple] = {}
+    windows = [(i, t, WORD.findall(t or "")) for i, t in kept]
+    for i, _, w in windows:
+        for p in range(len(w) - 49):
+            s = tuple(w[p : p + 50])
+            first[s] = min(first.get(s, key(i)), key(i))
+    want = []
+    for i, t, w in windows:
+        gone = {q for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < key(i) for q in range(p, p + 50)}
+        if len(gone) < len(w) or not w:
+            want.append((i, " ".join(x for q, x in enumerate(w) if q not in gone) if gone else t))
+    got = [(r.doc_id, r.text) for r in seen["substring_dedup"]]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) < len(kept) + 1
+    assert all(r.n_chars == len(r.text) for r in seen["substring_dedup"] if r.text is not None and r.n_chars is not None and r.doc_id is not None and r.doc_id < 1000)
+
+    size = lambda t: len(WORD.findall(t or ""))
+    copies = Counter((r.doc_id, r.text) for r in seen["mixing"])
+    assert set(copies) <= set(got) and all(copies[d] <= 2 * got.count(d) for d in copies)
+    total = sum(size(t) for _, t in got)
+    assert abs(sum(size(t) * n for (_, t), n in copies.items()) - 1.5 * total) <= 0.1 * total
+
+    pieces: dict[int, list] = {}
+    for r in seen["packing"]:
+        pieces.setdefault(r.sequence_id, []).append(r)
+    for s in pieces.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == [0, *np.cumsum([r.length for r in s])[:-1]] and sum(r.length for r in s) <= 1024
+    assert sum(r.ids[-1] == 2 and r.start + r.length >= 1 and len(r.ids) == r.length for r in seen["packing"]) >= len(seen["mixing"])
+
+
+def test_pipeline_run_resumes(spark, corpus, monkeypatch):
+    import corpus_pipeline as cp
+
+    folder, _, _ = corpus
+    calls = []
+
+    def stage(name, fails):
+        def run(spark, docs, sf_dir):
+            calls.append(name)
+            if fails and calls.count(name) == 1:
+                raise RuntimeError("lost")
+            return docs.withColumn(name, F.lit(name))
+
+        return name, run
+
+    monkeypatch.setattr(cp, "STAGES", [stage("one", False), stage("two", True), stage("three", False)])
+    name = f"test-{folder.rsplit('/', 1)[1]}"
+    with pytest.raises(RuntimeError):
+        cp.run(spark, folder, name)
+    assert {"one", "two", "three"} <= set(cp.run(spark, folder, name).columns) and calls == ["one", "two", "two", "three"]
+
+
+def test_pipeline_stages_on_nothing(spark, corpus):
+    import corpus_pipeline as cp
+
+    folder, _, _ = corpus
+    empty = spark.read.parquet(f"{folder}/documents.parquet").where("false")
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, folder).collect() == []
