@@ -73,6 +73,12 @@ def normalize_answer(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(t.split()).casefold())
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalize_answers(lists: pd.Series) -> pd.Series:
+    """normalize_answer of every member; nulls stay."""
+    return lists.map(lambda ts: None if ts is None else [None if t is None else " ".join(t.split()).casefold() for t in ts])
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """Sorted keys, no spaces, UTF-8 kept; null where the text is not strict JSON."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.jsonstrict import iso_date, normalize_answer, strict_json
+from pairlens.functions.jsonstrict import iso_date, normalize_answer, normalize_answers, strict_json
 
 OUTCOMES = ("2xx", "429", "other_4xx", "5xx", "timeout", "transport_error")
 #: Names fixed by the result contract.
@@ -64,12 +64,11 @@ def evaluate_lookup(answers: DataFrame, text: str, accepted: str) -> DataFrame:
     value = F.get_json_object("_json.canonical", "$.answer")
     shape = F.col("_json.ok") & (F.col("_json.kind") == "object")
     valid = shape & (F.concat_ws(",", "_json.keys") == "answer") & (F.element_at("_json.kinds", F.lit("answer")) == "string")
-    wanted = F.explode_outer(accepted)
-    norm = parsed.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_value", normalize_answer(value)).withColumn("_want", wanted).withColumn("_want", normalize_answer(F.col("_want")))
-    return norm.groupBy("_rid", *[F.col(f"`{c}`") for c in answers.columns if c != accepted]).agg(F.first("_json").alias("_json"), F.max(F.coalesce(F.col("_value") == F.col("_want"), F.lit(False))).alias("_hit"), F.first(valid).alias("_valid"), F.first(shape).alias("_shape")).select(
-        *[F.col(f"`{c}`") for c in answers.columns if c != accepted], F.coalesce("_valid", F.lit(False)).alias("schema_valid"), (F.coalesce("_valid", F.lit(False)) & F.col("_hit")).alias("correct"),
-        F.when(~F.col("_json.ok"), "malformed_json").when(~F.col("_shape"), "schema_invalid").when(~F.array_contains("_json.keys", "answer"), "missing_required_field").when(~F.col("_valid"), "schema_invalid").alias("error_type"),
-    )
+    hit = F.coalesce(F.array_contains(normalize_answers(F.col(accepted)), normalize_answer(value)), F.lit(False))
+    kept = [F.col(f"`{c}`") for c in answers.columns if c != accepted]
+    valid, shape = F.coalesce(valid, F.lit(False)), F.coalesce(shape, F.lit(False))
+    error = F.when(~F.col("_json.ok"), "malformed_json").when(~shape, "schema_invalid").when(~F.array_contains("_json.keys", "answer"), "missing_required_field").when(~valid, "schema_invalid")
+    return parsed.select(*kept, valid.alias("schema_valid"), (valid & hit).alias("correct"), error.alias("error_type"))
 
 
 def evaluate_ticket(answers: DataFrame, text: str, category: str, priority: str) -> DataFrame:

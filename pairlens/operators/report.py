@@ -33,7 +33,7 @@ def report(name: str, ranked: DataFrame, wins: DataFrame, pairs: DataFrame) -> s
     excluded = ranked.where("not eligible").orderBy("provider").select("provider", F.array_join("ineligibility_reasons", ", ").alias("why"))
     parts += ["## Not eligible", markdown(excluded, {"provider": "Provider", "why": "Reasons"})]
     parts += ["## Fastest in a round", markdown(wins.orderBy(F.desc("credit"), "provider"), {"provider": "Provider", "credit": "Credit", "outright": "Outright", "tied": "Tied", "win_rate": "Rate"})]
-    parts += ["## Paired differences", markdown(pairs.orderBy("provider_a", "provider_b"), {"provider_a": "A", "provider_b": "B", "paired_count": "Pairs", "coverage": "Coverage", "difference_p50": "A - B p50"})]
+    parts += ["## Paired differences", markdown(pairs.orderBy("provider_a", "provider_b"), {"provider_a": "A", "provider_b": "B", "paired_count": "Pairs", "coverage_rate": "Coverage", "difference_p50": "A - B p50"})]
     return "\n\n".join(parts) + "\n"
 
 

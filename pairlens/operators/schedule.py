@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pairlens.functions.stats import short_id
 
 
+#: Fixed value: a part of every id and seed.
+SCHEDULE_VERSION = "micro-single-task-paired-round-robin-sha256-v1"
+
+
 def round_index(item_index: Column, families: int, family_ord: Column) -> Column:
     return item_index * families + family_ord
 
@@ -23,12 +27,31 @@ def launch_index(provider_ord: Column, round_: Column, providers: int) -> Column
     return F.pmod(provider_ord - round_, F.lit(providers))
 
 
-def with_ids(units: DataFrame, slug: str) -> DataFrame:
-    return units.withColumn("round_id", short_id("round-", F.lit(slug), F.col("family").cast("string"), F.col("item_id").cast("string"))).withColumn("request_id", short_id("req-", F.col("round_id"), F.col("provider")))
+def with_ids(units: DataFrame, version: str = SCHEDULE_VERSION) -> DataFrame:
+    """Adds round_id and request_id to units with round_index, family, item_id, provider and, unless there are no attempts, attempt."""
+    text = lambda c: F.col(c).cast("string")
+    attempt = F.coalesce(text("attempt"), F.lit("0")) if "attempt" in units.columns else F.lit("0")
+    place = [text("round_index"), text("family"), text("item_id"), attempt]
+    return units.withColumn("round_id", short_id("round-", F.lit(version), *place)).withColumn("request_id", short_id("req-", F.lit(version), text("provider"), *place))
+
+
+def build_schedule(selection: DataFrame, families: list[str], providers: list[str], per_family: int, attempt: int | None = None) -> DataFrame:
+    """The units of ``per_family`` rounds of each family, in turn by family, with providers rotated by one a round.
+
+    ``selection`` has family, item_id and order_index. Raises when it runs if a
+    family has fewer items.
+    """
+    order = F.create_map(*[x for i, f in enumerate(families) for x in (F.lit(f), F.lit(i))])
+    chosen = selection.where(F.col("order_index") < per_family).withColumn("round_index", round_index(F.col("order_index"), len(families), order[F.col("family")]).cast("long"))
+    short = chosen.agg(F.when(F.count(F.lit(1)) != per_family * len(families), F.raise_error(F.lit("a family has too few items")).cast("boolean")).alias("bad"))
+    names = F.explode(F.transform(F.array(*[F.lit(p) for p in providers]), lambda p, i: F.struct(p.alias("provider"), i.alias("ordinal"))))
+    units = chosen.crossJoin(F.broadcast(short)).where(F.coalesce("bad", F.lit(True))).select("round_index", "family", "item_id", names.alias("p"))
+    placed = units.select("round_index", "family", "item_id", F.col("p.provider").alias("provider"), launch_index(F.col("p.ordinal"), F.col("round_index"), len(providers)).cast("int").alias("launch_index"), F.lit(attempt).cast("int").alias("attempt"))
+    return with_ids(placed)
 
 
-def selection_seed(slug: str, release_hash: str, family: str) -> int:
-    return int.from_bytes(hashlib.sha256("\0".join((slug, release_hash, family)).encode()).digest(), "big")
+def selection_seed(slug: str, release_hash: str, family: str, version: str = SCHEDULE_VERSION) -> int:
+    return int.from_bytes(hashlib.sha256("\0".join((slug, release_hash, family, version)).encode()).digest(), "big")
 
 
 def shuffled_order(items: DataFrame, slug: str, release_hash: str) -> DataFrame:

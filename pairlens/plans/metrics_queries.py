@@ -50,7 +50,7 @@ combined AS (SELECT c0.*, s.missing_families, s.balanced, list_filter([CASE WHEN
 
 
 def _combined(spark, sf_dir):
-    return metrics.combined_metrics(request_facts(spark, sf_dir), list(FAMILIES), 0.90, 0.01)
+    return metrics.combined_metrics(request_facts(spark, sf_dir), list(FAMILIES))
 
 
 @query("family_metrics", f"{FACT} SELECT provider, family, {AGG} FROM fact GROUP BY provider, family")
@@ -104,12 +104,12 @@ def balance_check(spark, sf_dir):
     return metrics.combined_metrics(request_facts(spark, sf_dir, balanced=False), list(FAMILIES)).select("provider", "balanced")
 
 
-@query("eligibility_reasons", COMBINED.replace("success_rate < 0.95", "success_rate < 0.90") + "SELECT provider, array_to_string(why, ',') AS reasons, len(why) = 0 AS eligible FROM combined")
+@query("eligibility_reasons", COMBINED + "SELECT provider, array_to_string(why, ',') AS reasons, len(why) = 0 AS eligible FROM combined")
 def eligibility_reasons(spark, sf_dir):
     return _combined(spark, sf_dir).select("provider", F.array_join("ineligibility_reasons", ",").alias("reasons"), "eligible")
 
 
-@query("provider_rank", COMBINED.replace("success_rate < 0.95", "success_rate < 0.90") + "SELECT provider, e2e_ms_p99, CASE WHEN len(why) = 0 THEN row_number() OVER (PARTITION BY len(why) = 0 ORDER BY CASE WHEN e2e_ms_p99 = 0 THEN 'inf'::DOUBLE ELSE e2e_ms_p99 END, provider) END AS rank FROM combined")
+@query("provider_rank", COMBINED + "SELECT provider, e2e_ms_p99, CASE WHEN len(why) = 0 THEN row_number() OVER (PARTITION BY len(why) = 0 ORDER BY CASE WHEN e2e_ms_p99 = 0 THEN 'inf'::DOUBLE ELSE e2e_ms_p99 END, provider) END AS rank FROM combined")
 def provider_rank(spark, sf_dir):
     return metrics.ranked(_combined(spark, sf_dir)).select("provider", "e2e_ms_p99", F.col("rank").cast("long").alias("rank"))
 
@@ -121,15 +121,15 @@ def grouping_sets_rollup(spark, sf_dir):
 
 
 WINS = f"""{FACT}, b AS (SELECT provider, round_id, e2e_ms, min(e2e_ms) OVER (PARTITION BY round_id) AS best FROM fact WHERE e2e_ms IS NOT NULL),
-t AS (SELECT *, count(*) OVER (PARTITION BY round_id) AS k FROM b WHERE e2e_ms = best),
+t AS (SELECT *, count(*) OVER (PARTITION BY round_id) AS k FROM b WHERE e2e_ms = best), sm AS (SELECT provider, count(e2e_ms) AS samples FROM fact GROUP BY 1),
 w AS (SELECT provider, round(sum(1e0 / k), 9) AS credit, count_if(k = 1) AS outright, count_if(k > 1) AS tied FROM t GROUP BY provider),
-r AS (SELECT count(DISTINCT round_id) AS rounds FROM b), p AS (SELECT DISTINCT provider FROM fact)
+r AS (SELECT count(DISTINCT round_id) FILTER (WHERE e2e_ms IS NOT NULL) AS rounds, count(DISTINCT round_id) AS total_rounds FROM fact), p AS (SELECT DISTINCT provider FROM fact)
 """
 
 
-@query("fastest_wins", WINS + "SELECT provider, coalesce(credit, 0) AS credit, coalesce(outright, 0) AS outright, coalesce(tied, 0) AS tied, rounds FROM p LEFT JOIN w USING (provider), r")
+@query("fastest_wins", WINS + "SELECT provider, coalesce(credit, 0) AS credit, coalesce(outright, 0) AS outright, coalesce(tied, 0) AS tied, rounds, samples, total_rounds - samples AS missing, total_rounds FROM p LEFT JOIN w USING (provider) JOIN sm USING (provider), r")
 def fastest_wins(spark, sf_dir):
-    return paired.fastest_wins(request_facts(spark, sf_dir), "e2e_ms").drop("eligible", "win_rate")
+    return paired.fastest_wins(request_facts(spark, sf_dir), "e2e_ms").drop("eligible", "exclusion_reasons", "win_rate")
 
 
 @query("win_rate", WINS + "SELECT provider, round(coalesce(credit, 0) / rounds, 9) AS win_rate FROM p LEFT JOIN w USING (provider), r")
@@ -137,32 +137,32 @@ def win_rate(spark, sf_dir):
     return paired.fastest_wins(request_facts(spark, sf_dir), "e2e_ms").select("provider", F.round("win_rate", 9).alias("win_rate"))
 
 
-ELIGIBLE = "e AS (SELECT provider, bool_and(NOT (provider = 'arm7' AND k = 0)) AS compatible, bool_and(NOT (provider = 'arm8' AND outcome = '5xx')) AS complete, count(DISTINCT round_id) AS rounds FROM fact GROUP BY provider)"
+ELIGIBLE = "e AS (SELECT provider, bool_and(NOT (provider = 'arm7' AND k = 0)) AS compatible, bool_and(NOT (provider = 'arm8' AND outcome = '5xx')) AND count(DISTINCT round_id) = (SELECT count(DISTINCT round_id) FROM fact) AS complete, count(DISTINCT round_id) AS rounds FROM fact GROUP BY provider)"
 
 
 def _eligible(fact):
     return paired.paired_eligibility(fact, ~((F.col("provider") == "arm7") & (F.col("k") == 0)), ~((F.col("provider") == "arm8") & (F.col("outcome") == "5xx")))
 
 
-@query("paired_eligibility", f"{FACT}, {ELIGIBLE} SELECT provider, compatible, complete, rounds, compatible AND complete AND rounds = (SELECT count(DISTINCT round_id) FROM fact) AS eligible FROM e")
+@query("paired_eligibility", f"{FACT}, {ELIGIBLE} SELECT provider, compatible, complete, rounds, compatible AND complete AS eligible, array_to_string(list_filter([CASE WHEN NOT compatible THEN 'incompatible model or request configuration' END, CASE WHEN NOT complete THEN 'incomplete or internally inconsistent local artifact graph' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM e")
 def paired_eligibility(spark, sf_dir):
-    return _eligible(request_facts(spark, sf_dir)).drop("reasons")
+    return _eligible(request_facts(spark, sf_dir)).withColumn("reasons", F.array_join("exclusion_reasons", "; ")).drop("exclusion_reasons")
 
 
 PAIRS = FACT + """, j AS (SELECT a.provider AS provider_a, b.provider AS provider_b, a.e2e_ms - b.e2e_ms AS d FROM fact a JOIN fact b ON a.round_id = b.round_id AND a.provider < b.provider {more})"""
 
 
-@query("pairwise_diff", PAIRS.format(more="") + f" SELECT provider_a, provider_b, count(d) AS paired_count, count(*) AS shared_rounds, count(*) - count(d) AS missing_count, count(d) / count(*) AS coverage, {percentiles_sql('d', 'difference')} FROM j GROUP BY ALL")
+@query("pairwise_diff", PAIRS.format(more="") + f" SELECT provider_a, provider_b, true AS eligible_comparison, count(d) AS paired_count, any_value(total) AS total_round_count, any_value(total) - count(d) AS missing_pair_count, count(d) / any_value(total) AS coverage_rate, {percentiles_sql('d', 'difference')} FROM j, (SELECT count(DISTINCT round_id) AS total FROM fact) GROUP BY ALL")
 def pairwise_diff(spark, sf_dir):
-    return paired.pairwise(request_facts(spark, sf_dir), "e2e_ms")
+    return paired.pairwise(request_facts(spark, sf_dir), "e2e_ms").drop("exclusion_reasons")
 
 
 @query("pair_coverage_empty_pairs", f"{FACT}, {ELIGIBLE}, p AS (SELECT DISTINCT provider FROM fact), g AS (SELECT provider FROM e WHERE compatible AND complete), "
        "j AS (SELECT a.provider AS provider_a, b.provider AS provider_b, count(a.e2e_ms - b.e2e_ms) AS n FROM fact a JOIN fact b ON a.round_id = b.round_id AND a.provider < b.provider WHERE a.provider IN (SELECT provider FROM g) AND b.provider IN (SELECT provider FROM g) GROUP BY ALL) "
-       "SELECT x.provider AS provider_a, y.provider AS provider_b, coalesce(n, 0) AS paired_count FROM p x JOIN p y ON x.provider < y.provider LEFT JOIN j ON j.provider_a = x.provider AND j.provider_b = y.provider")
+       "SELECT x.provider AS provider_a, y.provider AS provider_b, coalesce(n, 0) AS paired_count, (SELECT count(DISTINCT round_id) FROM fact) - coalesce(n, 0) AS missing_pair_count, x.provider IN (SELECT provider FROM g) AND y.provider IN (SELECT provider FROM g) AS eligible_comparison FROM p x JOIN p y ON x.provider < y.provider LEFT JOIN j ON j.provider_a = x.provider AND j.provider_b = y.provider")
 def pair_coverage(spark, sf_dir):
     fact = request_facts(spark, sf_dir)
-    return paired.pairwise(fact, "e2e_ms", _eligible(fact)).select("provider_a", "provider_b", "paired_count")
+    return paired.pairwise(fact, "e2e_ms", _eligible(fact)).select("provider_a", "provider_b", "paired_count", "missing_pair_count", "eligible_comparison")
 
 
 @query("token_cost", f"{FACT} SELECT provider, round(sum(cost_usd), 6) AS cost_usd, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM fact GROUP BY provider")
@@ -181,9 +181,9 @@ def launch_skew(spark, sf_dir):
     return schedule.launch_skew(a.select(F.col("round_index").alias("round_id"), (F.col("seq") * 1000 + F.col("k")).alias("start_ns")))
 
 
-@query("budget_running_total", f"{FACT} SELECT provider, seq, sum(k) OVER (PARTITION BY provider ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM attempts WHERE round_index < 50")
+@query("budget_running_total", f"{FACT} SELECT provider, seq, sum(k) OVER (PARTITION BY provider ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM attempts")
 def budget_running_total(spark, sf_dir):
-    return schedule.running_total(attempts(spark, sf_dir).where("round_index < 50"), "seq", "k", "provider").select("provider", "seq", "running")
+    return schedule.running_total(attempts(spark, sf_dir), "seq", "k", "provider").select("provider", "seq", "running")
 
 
 @query("eta_summary", f"{FACT} SELECT provider, round(sum(e2e_ms) / 1000, 6) AS elapsed_s, round(avg(e2e_ms) / 1000 * count_if(e2e_ms IS NULL), 6) AS remaining_s FROM fact GROUP BY provider")

@@ -79,10 +79,11 @@ def deadline(spark, sf_dir):
     return st.within_deadline(stream_events(spark, sf_dir), limit=3.0).select("request_id", "event_index")
 
 
-@query("sse_framing", "SELECT conv_id AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame, md5(text) AS data_md5, 1 AS comments FROM conversations WHERE text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%' || chr(13) || '%' AND text <> ''")
+@query("sse_framing", "SELECT conv_id AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame, md5(text) AS data_md5, 1 AS comments FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def sse_framing(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("not contains(text, char(10)) and not contains(text, char(13)) and text <> ''")
-    lines = c.select(F.col("conv_id").alias("request_id"), (F.col("turn") * 3).alias("b"), F.array(F.lit(": ping"), F.concat(F.lit("data: "), F.col("text")), F.lit("")).alias("l")).select("request_id", F.posexplode("l"), "b").select("request_id", (F.col("b") + F.col("pos")).alias("line_no"), F.col("col").alias("line"))
+    said = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("data: "), x))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), "turn", F.posexplode(F.concat(F.array(F.lit(": ping")), said, F.array(F.lit("")))).alias("pos", "line"))
+    lines = c.select("request_id", F.struct("turn", "pos").alias("line_no"), "line")
     return st.frames(lines).select("request_id", F.col("frame").cast("long").alias("frame"), F.md5(F.col("data").cast("binary")).alias("data_md5"), F.col("comments").cast("int").alias("comments"))
 
 

@@ -24,7 +24,7 @@ def frames(lines: DataFrame) -> DataFrame:
     """
     by = Window.partitionBy("request_id").orderBy("line_no")
     numbered = lines.withColumn("frame", F.coalesce(F.sum((F.col("line") == "").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    parts = F.array_sort(F.collect_list(F.when(F.col("line").startswith("data:"), F.struct("line_no", F.regexp_replace("line", "^data: ?", "").alias("d")))))
+    parts = F.array_sort(F.collect_list(F.when(F.col("line").startswith("data:"), F.struct("line_no", F.expr("substring(line, if(startswith(line, 'data: '), 7, 6))").alias("d")))))
     grouped = numbered.where("line <> ''").groupBy("request_id", "frame").agg(parts.alias("p"), F.count_if(F.col("line").startswith(":")).alias("comments"))
     data = F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: x["d"]), "\n"))
     return grouped.select("request_id", "frame", data.alias("data"), "comments", (data == "[DONE]").alias("done"))

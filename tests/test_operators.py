@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -99,13 +100,28 @@ def test_paired_ties_and_coverage(spark):
     wins = {r["provider"]: r["credit"] for r in paired.fastest_wins(fact, "e2e_ms").collect()}
     assert wins == {"a": 2.5, "b": 0.5}
     p = paired.pairwise(fact, "e2e_ms").first()
-    assert (p.paired_count, p.missing_count, p.difference_p50) == (2, 1, -20.0) and p.coverage == pytest.approx(2 / 3)
+    assert (p.paired_count, p.missing_pair_count, p.difference_p50) == (2, 1, -20.0) and p.coverage_rate == pytest.approx(2 / 3)
     eligible = paired.paired_eligibility(fact, F.col("provider") != "b", F.lit(True))
     q = paired.pairwise(fact, "e2e_ms", eligible).first()
-    assert (q.paired_count, q.coverage) == (0, 0.0)
+    assert (q.paired_count, q.missing_pair_count, q.coverage_rate, q.eligible_comparison, q.exclusion_reasons) == (0, 3, 0.0, False, ["b: " + paired.INCOMPATIBLE])
     assert {r["provider"]: r["win_rate"] for r in paired.fastest_wins(fact, "e2e_ms", eligible).collect()} == {"a": 1.0, "b": None}
 
 
+def test_paired_coverage_counts_all_rounds(spark):
+    """a in rounds 1 and 2, b in round 1 only: b is incomplete, and coverage is 1 of 2."""
+    fact = spark.createDataFrame([(1, "a", 10.0), (2, "a", 20.0), (1, "b", 15.0)], "round_id long, provider string, e2e_ms double")
+    p = paired.pairwise(fact, "e2e_ms").first()
+    assert (p.paired_count, p.total_round_count, p.missing_pair_count, p.coverage_rate) == (1, 2, 1, 0.5)
+    e = {r.provider: r for r in paired.paired_eligibility(fact, F.lit(None).cast("boolean")).collect()}
+    assert e["a"].eligible and (e["b"].compatible, e["b"].complete, e["b"].exclusion_reasons) == (True, False, [paired.INCOMPLETE])
+    flags = spark.createDataFrame([("a", None, True)], "provider string, compatible boolean, complete boolean")
+    assert paired.paired_eligibility(fact, flags=flags).where("provider = 'a'").first().exclusion_reasons == [paired.INCOMPATIBLE]
+    wins = {r.provider: (r.credit, r.samples, r.missing, r.win_rate) for r in paired.fastest_wins(fact, "e2e_ms", paired.paired_eligibility(fact)).collect()}
+    assert wins == {"a": (2.0, 2, 0, 1.0), "b": (0.0, 0, 2, None)}
+    with pytest.raises(Exception, match="twice in round 1"):
+        paired.pairwise(fact.union(fact), "e2e_ms").collect()
+
+
 def test_immutable_upsert(spark):
     old = spark.createDataFrame([(1, "x")], "k int, v string")
     same = reconcile.immutable_upsert(old, spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), "k", F.col("v"))
@@ -156,12 +172,33 @@ def test_lookup_eval_asks_for_whole_texts(spark, monkeypatch):
 def test_rotation_and_selection(spark):
     got = spark.range(3).select(schedule.launch_index(F.col("id"), F.lit(1), 3)).collect()
     assert [r[0] for r in got] == [2, 0, 1]
-    items = spark.createDataFrame([("f", f"i{k}") for k in range(20)], "family string, item_id string")
-    want = sorted(f"i{k}" for k in range(20))
-    random.Random(schedule.selection_seed("s", "r", "f")).shuffle(want)
+    items = spark.createDataFrame([("f", f"i{k:02}") for k in range(20)], "family string, item_id string")
+    material = b"s\0r\0f\0micro-single-task-paired-round-robin-sha256-v1"
+    assert hashlib.sha256(material).hexdigest() == f"{schedule.selection_seed('s', 'r', 'f'):064x}"
+    want = [f"i{k:02}" for k in range(20)]
+    random.Random(int(hashlib.sha256(material).hexdigest(), 16)).shuffle(want)
     assert [r.item_id for r in schedule.shuffled_order(items, "s", "r").orderBy("order_index").collect()] == want
 
 
+def test_schedule_of_600_rounds(spark):
+    families, providers = ["x", "y", "z"], [f"p{i}" for i in range(10)]
+    selection = spark.range(600).selectExpr("element_at(array('x', 'y', 'z'), int(id % 3) + 1) AS family", "concat('item', id) AS item_id", "int(id / 3) AS order_index")
+    units = schedule.build_schedule(selection, families, providers, 200).collect()
+    assert len(units) == 6000 and len({u.request_id for u in units}) == 6000 and len({u.round_id for u in units}) == 600
+    assert {u.round_index for u in units} == set(range(600))
+    for r in (0, 1, 13):
+        mine = sorted((u.launch_index, u.provider) for u in units if u.round_index == r)
+        assert [p for _, p in mine] == providers[r % 10 :] + providers[: r % 10]
+    u = next(u for u in units if u.round_index == 7 and u.provider == "p3")
+    version = "micro-single-task-paired-round-robin-sha256-v1"
+    name = lambda kind, *parts: f"{kind}-" + hashlib.sha256("\0".join(map(str, parts)).encode()).hexdigest()[:24]
+    assert u.round_id == name("round", version, 7, u.family, u.item_id, 0) and u.request_id == name("req", version, "p3", 7, u.family, u.item_id, 0)
+    again = schedule.build_schedule(selection, families, providers, 1, attempt=2)
+    assert again.where("round_index = 0").first().round_id == name("round", version, 0, "x", "item0", 2)
+    with pytest.raises(Exception, match="too few items"):
+        schedule.build_schedule(selection, families, providers, 201).collect()
+
+
 def test_sse_frames(spark):
     lines = [": ping", "data: a", "data:b", "", "data: [DONE]"]
     df = spark.createDataFrame([("r", i, x) for i, x in enumerate(lines)], "request_id string, line_no long, line string")
