@@ -128,34 +128,29 @@ def fit_ratios(sample: DataFrame) -> Ratios:
 
     left = lambda of: of.agg(*[F.sum(g).alias(f"{g}_sum") for g in grid], *[F.sum(F.least(F.col(g).cast("double"), F.lit(DISCOUNT))).alias(f"{g}_left") for g in grid], F.sum("all").alias("all")).first()
     word_n, stem_n = ({g: (max(row[f"{g}_sum"] or 0, 1), max(row[f"{g}_left"] or 0, 0.5), max(row["all"] or 0, 1)) for g in grid} for row in (left(words), left(stems)))
-    ordered = lambda df, key: df.toPandas().sort_values(key, key=lambda s: s.to_numpy().view(U)).reset_index(drop=True)
     more = lambda count: " or ".join(f"{count(g)} > {DISCOUNT}" for g in ("o2", "t2"))
-    contexts = cut(pairs.where("u <> 0").groupBy("u").agg(*[F.sum(F.expr(cols[g])).alias(f"n{g}") for g in grid], *[F.sum(F.least(F.expr(f"double({cols[g]})"), F.lit(DISCOUNT))).alias(f"d{g}") for g in grid]))
+    above = lambda count: F.greatest(F.expr(f"double({count})") - DISCOUNT, F.lit(0.0))
+
+    def own(g: str, of: dict, under: Column) -> Column:
+        n, left, _ = of[g]
+        return above(g) / n + left / n * under
+
+    stem_p = stems.select("stem", F.col("all").alias("stem_all"), *[own(g, stem_n, F.col("all") / stem_n[g][2]).alias(f"s{g}") for g in grid])
+    word_p = words.join(stem_p, "stem").select("w", *[F.col(g) for g in grid], *[own(g, word_n, F.col(f"s{g}") * F.col("all") / F.col("stem_all")).alias(f"w{g}") for g in grid])
+    contexts = pairs.where("u <> 0").groupBy("u").agg(*[F.sum(F.expr(cols[g])).alias(f"n{g}") for g in grid], *[F.sum(F.least(F.expr(f"double({cols[g]})"), F.lit(DISCOUNT))).alias(f"d{g}") for g in grid])
+    weighed = cut(contexts.select("u", *[f"n{g}" for g in grid], *[F.when(F.col(f"n{g}") > 0, F.col(f"d{g}") / F.col(f"n{g}")).otherwise(1.0).alias(f"l{g}") for g in grid]).where(" or ".join(f"l{g} < 1" for g in grid)))
     kept = pairs.where(f"u <> 0 and ({more(lambda g: '(' + cols[g] + ')')})")
-    some = kept.select("w").distinct()
-    word_rows = ordered(words.where(more(lambda g: g)).union(words.join(some, "w", "left_semi").select(words.columns)).distinct().join(stems.select("stem", F.col("all").alias("stem_all")), "stem"), "w")
-    stem_rows, pair_rows, context_rows = ordered(stems, "stem"), ordered(kept, "pair"), ordered(contexts, "u")
-
-    key = lambda rows, c: rows[c].to_numpy().view(U)
-    of_stem = np.searchsorted(key(stem_rows, "stem"), key(word_rows, "stem"))
-    of_word = np.searchsorted(key(word_rows, "w"), key(pair_rows, "w"))
-    of_context = np.searchsorted(key(context_rows, "u"), key(pair_rows, "u"))
-    in_stem = (word_rows["all"] / word_rows["stem_all"]).to_numpy()
-    logs: dict[str, dict[str, np.ndarray]] = {}
-    for g in grid:
-        n, left, pooled = stem_n[g]
-        c = stem_rows[g].to_numpy()
-        stem_p = np.maximum(c - DISCOUNT, 0) / n + left / n * stem_rows["all"].to_numpy() / pooled
-        n, left, _ = word_n[g]
-        c = word_rows[g].to_numpy()
-        word_p = np.maximum(c - DISCOUNT, 0) / n + left / n * stem_p[of_stem] * in_stem
-        total = context_rows[f"n{g}"].to_numpy()
-        weight = np.where(total > 0, context_rows[f"d{g}"].to_numpy() / np.maximum(total, 1), 1.0)
-        c = pair_rows.eval(cols[g]).to_numpy() if len(pair_rows) else np.zeros(0)
-        pair_p = np.maximum(c - DISCOUNT, 0) / np.maximum(total[of_context], 1) + weight[of_context] * word_p[of_word]
-        logs[g] = {"stem": np.log(stem_p), "word": np.log(word_p), "pair": np.log(pair_p), "context": np.log(np.maximum(weight, 1e-12)), "back": np.log(left / n)}
-    ratio = {level: np.stack([logs[f"t{m}"][level] - logs[f"o{m}"][level] for m in range(MODELS)], -1) for level in ("stem", "word", "pair", "context", "back")}
-    return Ratios(key(word_rows, "w"), ratio["word"], key(pair_rows, "pair"), ratio["pair"], key(stem_rows, "stem"), ratio["stem"], key(context_rows, "u"), ratio["context"], ratio["back"])
+    pair_p = kept.join(weighed, "u").join(word_p.select("w", *[f"w{g}" for g in grid]), "w").select("pair", *[(above(cols[g]) / F.greatest(F.col(f"n{g}"), F.lit(1)) + F.col(f"l{g}") * F.col(f"w{g}")).alias(f"p{g}") for g in grid])
+
+    def table(df: DataFrame, key: str, of: str) -> tuple[np.ndarray, np.ndarray]:
+        """Rising keys and a row of log ratios each."""
+        found = df.select(F.col(key), *[(F.log(f"{of}t{m}") - F.log(f"{of}o{m}")).alias(f"r{m}") for m in range(MODELS)]).toArrow()
+        keys = found.column(0).to_numpy().view(U)
+        order = np.argsort(keys)
+        return keys[order], np.stack([found.column(m + 1).to_numpy()[order] for m in range(MODELS)], 1)
+
+    back = np.array([np.log(word_n[f"t{m}"][1] / word_n[f"t{m}"][0]) - np.log(word_n[f"o{m}"][1] / word_n[f"o{m}"][0]) for m in range(MODELS)])
+    return Ratios(*table(word_p.where(more(lambda g: g)), "w", "w"), *table(pair_p, "pair", "p"), *table(stem_p, "stem", "s"), *table(weighed, "u", "l"), back)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
