@@ -86,7 +86,7 @@ def recent_failures(spark, sf_dir):
 def terminal_outcome(spark, sf_dir):
     a = attempts(spark, sf_dir)
     status = F.when(F.col("outcome") == "2xx", 200 + F.col("k")).when(F.col("outcome") == "429", 429).when(F.col("outcome") == "5xx", 503)
-    return a.select("seq", outcomes.terminal_outcome(status, F.col("outcome") == "timeout", F.col("outcome") == "transport_error", F.lit(None).cast("string")).alias("outcome"))
+    return a.select("seq", outcomes.terminal_outcome(status, F.when(F.col("outcome").isin("timeout", "transport_error"), F.col("outcome"))).alias("outcome"))
 
 
 @query("combined_pooled", f"{COMBINED} SELECT * EXCLUDE (why, missing_families), len(missing_families) AS missing_families FROM combined")

@@ -59,12 +59,16 @@ def test_iso_date(spark):
 
 
 def test_outcomes(spark):
-    rows = [(200, False, False, "2xx"), (429, False, False, "429"), (404, False, False, "other_4xx"), (503, False, False, "5xx"), (200, True, False, "timeout"), (None, False, True, "transport_error")]
-    df = spark.createDataFrame(rows, "s int, t boolean, x boolean, want string")
-    got = df.select("want", outcomes.terminal_outcome(F.col("s"), F.col("t"), F.col("x"), F.lit(None).cast("string")).alias("got")).collect()
+    rows = [
+        (200, None, False, "2xx"), (200, "completed", False, "2xx"), (429, "http_error", False, "429"), (404, "http_error", False, "other_4xx"), (503, None, False, "5xx"), (200, "timeout", False, "timeout"), (None, "timed_out", False, "timeout"),
+        (None, "transport-error", False, "transport_error"), (None, "runner_error", True, "transport_error"), (None, "http_2xx", False, "2xx"), (None, "http_429", False, "429"), (None, "http_other_4xx", False, "other_4xx"), (None, "http_5xx", False, "5xx"), (None, "completed", False, "2xx"),
+    ]
+    df = spark.createDataFrame(rows, "s int, l string, k boolean, want string")
+    got = df.select("want", outcomes.terminal_outcome(F.col("s"), F.col("l"), F.col("k")).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in got)
-    with pytest.raises(Exception, match="no outcome"):
-        spark.createDataFrame([(301,)], "s int").select(outcomes.terminal_outcome(F.col("s"), F.lit(False), F.lit(False), F.lit(None).cast("string"))).collect()
+    for status, label, why in ((301, None, "no outcome"), (None, "runner_error", "run-invalidating"), (None, "evaluator_error", "run-invalidating"), (200, "http_error", "status of success"), (None, "http_error", "without an outcome"), (None, None, "without an outcome")):
+        with pytest.raises(Exception, match=why):
+            spark.createDataFrame([(status, label)], "s int, l string").select(outcomes.terminal_outcome(F.col("s"), F.col("l"))).collect()
 
 
 def _events(spark, rows):
