@@ -1,8 +1,10 @@
 """Family and pooled provider metrics, eligibility and ranks from one fact frame.
 
-Fact columns: provider, family, outcome, correct, invalid, ttfa_ms, e2e_ms, speed,
-cost_usd, tokens_in, tokens_out. Failed requests stay in every denominator of a
-rate; times that are null leave the latency populations only.
+Fact columns: provider, family, outcome, correct, invalid, ttfo_ms, ttfa_ms,
+pre_answer_reasoning_tokens, reasoning_emitted, e2e_ms, speed, cost_usd, tokens_in,
+tokens_out. Failed requests stay in every denominator of a rate; times that are null
+leave the latency populations only. Measures and costs that are no finite numbers
+of at least 0 raise.
 """
 
 from __future__ import annotations
@@ -10,15 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions.stats import percentiles, ratio, reasons
+from pairlens.functions.stats import finite, percentiles, ratio, reasons
 
-MEASURES = {"e2e_ms": False, "ttfa_ms": False, "speed": True}
+#: Measures, and whether their percentiles are those of the lower tail.
+MEASURES = {"ttfo_ms": False, "ttfa_ms": False, "pre_answer_reasoning_tokens": False, "e2e_ms": False, "speed": True}
+#: Names of the failure rates by outcome.
+FAILURES = {"timeout": "timeout", "429": "http_429", "other_4xx": "other_http_4xx", "5xx": "http_5xx", "transport_error": "transport_error"}
 
 
 def _aggregates() -> list[Column]:
     one = F.count(F.lit(1))
     failed = ~F.col("outcome").eqNullSafe(F.lit("2xx"))
     out = [one.alias("submitted"), F.count_if(F.col("correct")).alias("correct_count"), F.count_if(failed).alias("failed_count"), F.count_if(F.col("invalid")).alias("invalid_count")]
+    out += [F.count_if(~failed & ~F.coalesce("invalid", F.lit(False)) & ~F.coalesce("correct", F.lit(False))).alias("incorrect_count"), F.count_if("reasoning_emitted").alias("reasoning_count")]
+    out += [F.count_if(F.col("outcome") == o).alias(f"{n}_count") for o, n in FAILURES.items()]
     for m, lower in MEASURES.items():
         out += [F.count(m).alias(f"{m}_population"), *percentiles(m, m, lower)]
     known = F.col("tokens_in").isNotNull() & F.col("tokens_out").isNotNull()
@@ -27,21 +34,24 @@ def _aggregates() -> list[Column]:
 
 def _rates(df: DataFrame) -> DataFrame:
     n = F.col("submitted")
-    return df.withColumns({"success_rate": ratio(F.col("correct_count"), n), "failure_rate": ratio(F.col("failed_count"), n), "invalid_rate": ratio(F.col("invalid_count"), n), "total_cost_usd": F.when(F.col("cost_rows") == n, F.col("known_cost_usd"))})
+    return df.withColumns({"success_rate": ratio(F.col("correct_count"), n), "failure_rate": ratio(F.col("failed_count"), n), "invalid_rate": ratio(F.col("invalid_count"), n), "reasoning_emission_rate": ratio(F.col("reasoning_count"), F.col("ttfa_ms_population")), **{f"{f}_rate": ratio(F.col(f"{f}_count"), n) for f in FAILURES.values()}, "total_cost_usd": F.when(F.col("cost_rows") == n, F.col("known_cost_usd"))})
+
+
+def _checked(fact: DataFrame) -> DataFrame:
+    return fact.withColumns({m: finite(F.col(m), m) for m in (*MEASURES, "cost_usd")})
 
 
 def family_metrics(fact: DataFrame) -> DataFrame:
-    return _rates(fact.groupBy("provider", "family").agg(*_aggregates()))
+    return _rates(_checked(fact).groupBy("provider", "family").agg(*_aggregates()))
 
 
 def combined_metrics(fact: DataFrame, families: list, min_success: float = 0.95, max_failure: float = 0.01) -> DataFrame:
     """Pooled over families: percentiles rank the raw samples of all of them again."""
-    pooled = _rates(fact.groupBy("provider").agg(*_aggregates()))
-    counts = fact.groupBy("provider", "family").agg(F.count(F.lit(1)).alias("n"))
-    expected = F.array(*[F.lit(f) for f in families])
-    shape = counts.groupBy("provider").agg(F.sort_array(F.collect_set("family")).alias("seen"), F.min("n").alias("least"), F.max("n").alias("most"))
-    shape = shape.select("provider", F.array_except(expected, "seen").alias("missing_families"), ((F.size(F.array_except(expected, "seen")) == 0) & (F.col("least") == F.col("most"))).alias("balanced"))
-    joined = pooled.join(shape, "provider")
+    sizes = [F.count_if(F.col("family").eqNullSafe(F.lit(f))).alias(f"_n{i}") for i, f in enumerate(families)]
+    pooled = _rates(_checked(fact).groupBy("provider").agg(*_aggregates(), *sizes, F.count_if(~F.coalesce(F.col("family").isin(*families), F.lit(False))).alias("_other")))
+    n = F.array(*[F.col(f"_n{i}") for i in range(len(families))])
+    missing = F.filter(F.array(*[F.when(F.col(f"_n{i}") == 0, F.lit(f)) for i, f in enumerate(families)]), lambda x: x.isNotNull())
+    joined = pooled.withColumn("missing_families", missing).withColumn("balanced", (F.array_min(n) > 0) & (F.array_min(n) == F.array_max(n)) & (F.col("_other") == 0)).drop("_other", *[f"_n{i}" for i in range(len(families))])
     why = reasons((F.col("success_rate") < min_success, "success_rate_below_minimum"), (F.col("failure_rate") > max_failure, "failure_rate_above_maximum"), (~F.col("balanced"), "unbalanced_families"))
     return joined.withColumn("ineligibility_reasons", why).withColumn("eligible", F.size("ineligibility_reasons") == 0)
 

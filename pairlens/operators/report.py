@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = {"provider": "Provider", "rank": "Rank", "eligible": "Eligible", "submitted": "Requests", "e2e_ms_p50": "E2E p50 (ms)", "e2e_ms_p99": "E2E p99 (ms)", "ttfa_ms_p50": "TTFA p50 (ms)", "speed_p50": "Tokens/s p50", "speed_p95": "Tokens/s p95 floor", "success_rate": "Success", "failure_rate": "Failures"}
-RATES = ("success_rate", "failure_rate")
+#: The metric columns of a report: percentiles of five measures and eight rates.
+METRICS = [f"{m}_{p}" for m in ("ttfo_ms", "ttfa_ms", "pre_answer_reasoning_tokens") for p in ("p50", "p95", "p99")] + ["reasoning_emission_rate"] + [f"{m}_{p}" for m in ("e2e_ms", "speed") for p in ("p50", "p95", "p99")]
+METRICS += ["success_rate", "failure_rate", "timeout_rate", "http_429_rate", "other_http_4xx_rate", "http_5xx_rate", "transport_error_rate"]
+COLUMNS = {"provider": "Provider", "rank": "Rank", "eligible": "Eligible", "submitted": "Requests"} | {c: c for c in METRICS}
+_FORMATS = {"rate": lambda v: format(v, ".2%"), "double": lambda v: format(v, ".2f"), "boolean": lambda v: ("no", "yes")[v], "array<string>": ", ".join}
 
 
-def text_of(value, column: str = "") -> str:
-    """Numbers with two places, rates as percent, yes or no, and unavailable for null."""
-    if value is None:
-        return "unavailable"
-    if isinstance(value, bool):
-        return "yes" if value else "no"
-    if isinstance(value, float):
-        return f"{100 * value:.2f}%" if column in RATES else f"{value:.2f}"
-    return ", ".join(map(str, value)) if isinstance(value, (list, tuple)) else str(value)
+def text_of(value, kind: str = "string") -> str:
+    """A value by the kind of its column: rates as percent, numbers with two places, yes or no; unavailable for null."""
+    return "unavailable" if value is None else _FORMATS.get(kind, str)(value)
 
 
 def markdown(df: DataFrame, columns: dict[str, str]) -> str:
+    kinds = {c: "rate" if c.endswith("_rate") else k for c, k in df.dtypes}
     rows = df.select(*columns).collect()
     lines = ["| " + " | ".join(columns.values()) + " |", "|" + "---|" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(text_of(r[c], c) for c in columns) + " |" for r in rows])
+    return "\n".join(lines + ["| " + " | ".join(text_of(r[c], kinds[c]) for c in columns) + " |" for r in rows])
 
 
 def report(name: str, ranked: DataFrame, wins: DataFrame, pairs: DataFrame) -> str:

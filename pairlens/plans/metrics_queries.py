@@ -17,7 +17,7 @@ WITH a0 AS (SELECT event_id AS seq, event_id // 10 AS round_index, 'arm' || CAST
 attempts AS (SELECT *, CASE WHEN event_type = 'error' AND k < 4 THEN ['timeout','429','5xx','transport_error'][k + 1] ELSE '2xx' END AS outcome
   FROM a0 WHERE round_index < 3 * ((SELECT count(*) FROM events) // 30)),
 f0 AS (SELECT seq, round_index, round_index AS round_id, provider, family, outcome, k, outcome = '2xx' AS ok, value FROM attempts),
-fact AS (SELECT seq, round_index, round_id, provider, family, outcome, k, CASE WHEN ok THEN value END AS e2e_ms, CASE WHEN ok THEN value * 0.5e0 END AS ttfa_ms,
+fact AS (SELECT seq, round_index, round_id, provider, family, outcome, k, CASE WHEN ok THEN value END AS e2e_ms, CASE WHEN ok THEN value * 0.5e0 END AS ttfa_ms, CASE WHEN ok THEN value * 0.25e0 END AS ttfo_ms, CASE WHEN ok THEN CAST(k % 3 AS BIGINT) END AS pre_answer_reasoning_tokens, CASE WHEN ok THEN k % 3 > 0 END AS reasoning_emitted,
   CASE WHEN ok AND value > value * 0.5e0 THEN CAST(k + 1 AS DOUBLE) / ((value - value * 0.5e0) / 1000e0) END AS speed,
   ok AND k >= 5 AS correct, ok AND k = 4 AS invalid, CASE WHEN ok THEN CAST(k + 20 AS BIGINT) END AS tokens_in, CASE WHEN ok THEN CAST(k AS BIGINT) END AS tokens_out,
   CASE WHEN ok THEN ((k + 20) * (CASE WHEN provider = 'arm3' THEN 0.45e0 ELSE 0.15e0 END) + k * (CASE WHEN provider = 'arm3' THEN 1.5e0 ELSE 0.5e0 END)) / 1e6 END AS cost_usd FROM f0)
@@ -33,7 +33,9 @@ def percentiles_sql(x: str, name: str, lower: bool = False) -> str:
     return ", ".join(f"{rank_sql(x, p)} AS {name}_{k}" for k, p in at.items())
 
 
-AGG = f"""count(*) AS submitted, count_if(correct) AS correct_count, count_if(outcome <> '2xx') AS failed_count, count_if(invalid) AS invalid_count,
+AGG = f"""count(*) AS submitted, count_if(correct) AS correct_count, count_if(outcome <> '2xx') AS failed_count, count_if(invalid) AS invalid_count, count_if(outcome = '2xx' AND NOT invalid AND NOT correct) AS incorrect_count, count_if(reasoning_emitted) AS reasoning_count,
+{", ".join(f"count_if(outcome = '{o}') AS {n}_count, count_if(outcome = '{o}') / count(*) AS {n}_rate" for o, n in metrics.FAILURES.items())}, count_if(reasoning_emitted) / nullif(count(ttfa_ms), 0) AS reasoning_emission_rate,
+count(ttfo_ms) AS ttfo_ms_population, {percentiles_sql('ttfo_ms', 'ttfo_ms')}, count(pre_answer_reasoning_tokens) AS pre_answer_reasoning_tokens_population, {percentiles_sql('pre_answer_reasoning_tokens', 'pre_answer_reasoning_tokens')},
 count(e2e_ms) AS e2e_ms_population, {percentiles_sql('e2e_ms', 'e2e_ms')}, count(ttfa_ms) AS ttfa_ms_population, {percentiles_sql('ttfa_ms', 'ttfa_ms')},
 count(speed) AS speed_population, {percentiles_sql('speed', 'speed', True)}, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
 count(tokens_in) AS usage_rows, count(cost_usd) AS cost_rows, round(sum(cost_usd), 6) AS known_cost_usd,

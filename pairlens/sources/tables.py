@@ -74,6 +74,7 @@ def request_facts(spark: SparkSession, sf_dir: str, balanced: bool = True) -> Da
     return a.select(
         "seq", "round_index", F.col("round_index").alias("round_id"), "provider", "family", "outcome", "k",
         F.when(ok, F.col("value")).alias("e2e_ms"), F.when(ok, F.col("value") * 0.5).alias("ttfa_ms"),
+        F.when(ok, F.col("value") * 0.25).alias("ttfo_ms"), F.when(ok, F.col("k").cast("long") % 3).alias("pre_answer_reasoning_tokens"), F.when(ok, F.col("k") % 3 > 0).alias("reasoning_emitted"),
         output_speed(F.col("k") + 2, F.col("value") * 0.5, F.col("value"), ok).alias("speed"),
         (ok & (F.col("k") >= 5)).alias("correct"), (ok & (F.col("k") == 4)).alias("invalid"),
         F.when(ok, F.col("k").cast("long") + 20).alias("tokens_in"), F.when(ok, F.col("k").cast("long")).alias("tokens_out"),

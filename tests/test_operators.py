@@ -91,7 +91,12 @@ def test_pooled_rank_and_failure_denominator(spark):
             rows.append((p, f, "2xx", True, False, base + f, base + f, 5.0, 0.1, 1, 1))
     rows += [("bad", f, "429" if f == 1 else "2xx", f != 1, False, None if f == 1 else 1.0, None if f == 1 else 1.0, None, None, None, None) for f in range(3)]
     fact = spark.createDataFrame(rows, "provider string, family int, outcome string, correct boolean, invalid boolean, ttfa_ms double, e2e_ms double, speed double, cost_usd double, tokens_in long, tokens_out long")
+    fact = fact.withColumns({"ttfo_ms": F.col("ttfa_ms") / 2, "pre_answer_reasoning_tokens": F.when(F.col("ttfa_ms").isNotNull(), F.col("family").cast("long")), "reasoning_emitted": F.col("ttfa_ms").isNotNull() & (F.col("family") > 0)})
     got = {r["provider"]: r for r in metrics.ranked(metrics.combined_metrics(fact, [0, 1, 2])).collect()}
+    assert (got["fast"].reasoning_emission_rate, got["bad"].reasoning_emission_rate, got["bad"].http_429_count, got["bad"].incorrect_count, got["fast"].pre_answer_reasoning_tokens_p99) == (2 / 3, 0.5, 1, 0, 2)
+    assert got["fast"].missing_families == [] and not metrics.combined_metrics(fact, [0, 1, 2, 3]).where("provider = 'fast'").first().balanced
+    with pytest.raises(Exception, match="e2e_ms is not a finite"):
+        metrics.family_metrics(fact.withColumn("e2e_ms", F.lit(-1.0))).collect()
     assert (got["fast"].ttfa_ms_p99, got["slow"].e2e_ms_p99) == (102, 202)
     assert (got["fast"]["rank"], got["slow"]["rank"], got["bad"]["rank"]) == (1, 2, None)
     assert got["bad"].success_rate == pytest.approx(2 / 3) and got["bad"].failure_rate == pytest.approx(1 / 3) and got["bad"].e2e_ms_population == 2
@@ -244,7 +249,7 @@ def test_artifacts(spark, tmp_path):
 def test_report(spark):
     from pairlens.operators import report
 
-    fact = spark.createDataFrame([(r, p, r % 3, "2xx", True, False, 10.0 * k + r, 20.0 * k + r, 5.0, 0.1, 1, 1) for r in range(6) for k, p in enumerate("ab", 1)], "round_id int, provider string, family int, outcome string, correct boolean, invalid boolean, ttfa_ms double, e2e_ms double, speed double, cost_usd double, tokens_in long, tokens_out long")
+    fact = spark.createDataFrame([(r, p, r % 3, "2xx", True, False, 10.0 * k + r, 20.0 * k + r, 5.0, 0.1, 1, 1) for r in range(6) for k, p in enumerate("ab", 1)], "round_id int, provider string, family int, outcome string, correct boolean, invalid boolean, ttfa_ms double, e2e_ms double, speed double, cost_usd double, tokens_in long, tokens_out long").withColumns({"ttfo_ms": F.col("ttfa_ms"), "pre_answer_reasoning_tokens": F.lit(0), "reasoning_emitted": F.lit(False)})
     ranked = metrics.ranked(metrics.combined_metrics(fact, [0, 1, 2]))
     text = report.report("Run", ranked, paired.fastest_wins(fact, "e2e_ms"), paired.pairwise(fact, "e2e_ms"))
     assert text.index("| a | 1 | yes |") < text.index("| b | 2 | yes |") and "-20.00" in text
