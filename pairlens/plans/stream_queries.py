@@ -96,7 +96,7 @@ def _stream(spark, sf_dir, name):
 def stream_windowed(spark, sf_dir):
     """Tumbling windows of a stream, as complete results."""
     out = st.windowed_rates(_stream(spark, sf_dir, "events"), F.col("ts").cast("timestamp"), "1 hour", "1 day")
-    got = st.run_to_memory(out, f"w{uuid.uuid4().hex}", "complete")
+    got = st.run_to_files(out, f"w{uuid.uuid4().hex}", "complete")
     return got.select(F.unix_timestamp("window.start").alias("start_s"), "event_type", "n", "total")
 
 
@@ -104,23 +104,32 @@ def stream_windowed(spark, sf_dir):
 def round_barrier(spark, sf_dir):
     events = _stream(spark, sf_dir, "events")
     records = events.select(((F.col("event_id") - F.col("event_id") % 10) / 10).cast("long").alias("round_id"), (F.col("event_id") % 10).cast("string").alias("provider"))
-    return st.run_to_memory(st.barrier(records, 10), f"b{uuid.uuid4().hex}")
+    return st.run_to_files(st.barrier(records, 10), f"b{uuid.uuid4().hex}")
 
 
 @query("event_dedup_stream", "SELECT DISTINCT conv_id AS request_id, turn AS event_index FROM conversations")
 def event_dedup(spark, sf_dir):
     c = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("event_index"))
-    return st.run_to_memory(c.union(c).dropDuplicates(["request_id", "event_index"]), f"d{uuid.uuid4().hex}")
+    return st.run_to_files(c.union(c).dropDuplicates(["request_id", "event_index"]), f"d{uuid.uuid4().hex}")
 
 
 @query("incremental_timing_stream", f"{TIMED} SELECT request_id, ttfo_ms, ttfa_ms, last_ms, n_events FROM timing")
 def incremental(spark, sf_dir):
     c = _stream(spark, sf_dir, "conversations")
     e = c.select(F.col("conv_id").alias("request_id"), F.col("turn").cast("double").alias("offset_ms"), F.when(F.col("role") == "assistant", F.col("text")).alias("answer"), F.when(F.col("role") == "user", F.col("text")).alias("reasoning"))
-    return st.run_to_memory(st.incremental_timing(e), f"i{uuid.uuid4().hex}", "complete")
+    return st.run_to_files(st.incremental_timing(e), f"i{uuid.uuid4().hex}", "complete")
 
 
 @query("watcher_snapshot", f"{FACT} SELECT count(*) AS finished, count_if(outcome <> '2xx') AS failed, count(DISTINCT round_index) AS rounds, max(seq) AS last_seq FROM attempts")
 def watcher(spark, sf_dir):
     a = attempts(spark, sf_dir)
     return a.agg(F.count(F.lit(1)).alias("finished"), F.count_if(F.col("outcome") != "2xx").alias("failed"), F.count_distinct("round_index").alias("rounds"), F.max("seq").alias("last_seq"))
+
+
+@query("request_deadlines_stream", "WITH e AS (SELECT conv_id, turn, turn * 7000.0 AS ms, turn = max(turn) OVER (PARTITION BY conv_id) AS done FROM conversations) SELECT conv_id::VARCHAR AS request_id, CASE WHEN max(ms) < 20000 THEN 'completed' ELSE 'timeout' END AS outcome, count_if(ms < 20000) AS events FROM e GROUP BY 1")
+def request_deadlines(spark, sf_dir):
+    """Turns as events seven seconds apart, the last of a conversation as its end."""
+    last = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
+    c = _stream(spark, sf_dir, "conversations").join(last, F.col("conv_id") == F.col("c"))
+    events = c.select(F.col("conv_id").cast("string").alias("request_id"), (F.col("turn") * 7000.0).alias("offset_ms"), (F.col("turn") == F.col("last")).alias("done"))
+    return st.run_to_files(st.deadlines(events), f"t{uuid.uuid4().hex}")

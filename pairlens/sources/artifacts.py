@@ -9,13 +9,14 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.functions.jsonstrict import canonical
+from pairlens.functions.jsonstrict import canonical, canonical_json
 from pairlens.operators.reconcile import immutable_upsert
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Rows as JSON with columns in name order; Spark's commit makes the folder appear whole."""
-    df.select(*sorted(df.columns)).write.mode(mode).json(path)
+    """Rows as canonical JSON lines: keys sorted at every depth, no spaces, nulls kept. Spark's commit makes the folder appear whole."""
+    rows = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    df.select(canonical_json(rows).alias("value")).write.mode(mode).text(path)
 
 
 def write_document(path: str, value) -> None:
@@ -54,6 +55,12 @@ def append_terminal(existing: DataFrame, records: DataFrame, path: str, attempt:
     fresh.withColumn("record_hash", F.sha2(content, 256)).withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt").parquet(path)
 
 
+def append_evaluations(existing: DataFrame, evaluations: DataFrame, path: str) -> None:
+    """Appends evaluations that are new by request_id; a changed one raises."""
+    content = F.to_json(F.struct(*[F.col(c) for c in sorted(evaluations.columns)]))
+    immutable_upsert(existing, evaluations, "request_id", content).write.mode("append").parquet(path)
+
+
 def attempt_views(schedule: DataFrame, records: DataFrame, evaluations: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
     """The views of an attempt: results in schedule order with their evaluation, requests, events, answers, evaluations and failures."""
     order = schedule.select("request_id", "seq")

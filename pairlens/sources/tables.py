@@ -30,8 +30,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document a file, with its name in ``file``."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(path).withColumn("file", F.col("_metadata.file_name"))
+    """One JSON document a file, with its name in ``file``, in the order of names."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(path).withColumn("file", F.col("_metadata.file_name")).orderBy("file")
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +40,10 @@ def read_template(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below ``path`` but hidden ones."""
+    """(path, bytes, sha256) of every file below ``path`` but hidden ones and those in hidden folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(~F.col("path").rlike("/\\.[^/]*$")).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    below = F.substring_index("path", "/" + path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    return files.where(~F.concat(F.lit("/"), below).contains("/.")).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def release_hash(files: DataFrame) -> DataFrame:

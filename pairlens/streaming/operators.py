@@ -6,6 +6,7 @@ Micro-batches do not keep arrival order, so state is keyed and re-ordered by
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,24 +35,54 @@ def within_deadline(events: DataFrame, offset: str = "offset_ms", limit: float =
     return events.where(F.col(offset) < limit)
 
 
-def capture(events: DataFrame, path: str, checkpoint: str):
-    """Writes events once by (request_id, event_index), as Parquet in append mode; the query can be restarted."""
-    return events.dropDuplicates(["request_id", "event_index"]).withColumn("durability", F.lit("arrival")).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def capture(events: DataFrame, path: str, checkpoint: str, late: str = "1 hour"):
+    """Writes events once by (request_id, event_index), as Parquet in append mode; the query can be restarted.
+
+    A copy is known for as long as ``late`` behind the latest arrival, which bounds
+    the state. A negative or missing index raises.
+    """
+    bad = F.coalesce(F.col("event_index") < 0, F.lit(True))
+    checked = events.withColumn("event_index", F.when(bad, F.raise_error(F.lit("event_index is not an integer of at least 0")).cast("bigint")).otherwise(F.col("event_index")))
+    timed = checked.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", late)
+    once = timed.dropDuplicatesWithinWatermark(["request_id", "event_index"]).withColumn("durability", F.lit("arrival_atomic"))
+    return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def barrier(records: DataFrame, arms: int) -> DataFrame:
-    """(round_id, arms): emits a round once, when its last arm has a terminal record, whatever batches these come in."""
+    """(round_id, arms): emits a round once, when its last arm has a terminal record, whatever batches these come in. A finished round keeps no names."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0].split(",")) - {""} if state.exists else set()
-        before = len(seen)
-        for pdf in batches:
-            seen |= set(pdf["provider"])
-        state.update((",".join(sorted(seen)),))
-        if before < arms <= len(seen):
+        seen, done = state.get if state.exists else ([], False)
+        seen = set(seen).union(*[pdf["provider"] for pdf in batches])
+        if not done and len(seen) >= arms:
+            done = True
             yield pd.DataFrame({"round_id": [key[0]], "arms": [len(seen)]})
+        state.update(([] if done else sorted(seen), done))
+
+    return records.groupBy("round_id").applyInPandasWithState(step, "round_id long, arms int", "seen array<string>, done boolean", "append", GroupStateTimeout.NoTimeout)
 
-    return records.groupBy("round_id").applyInPandasWithState(step, "round_id long, arms int", "seen string", "append", GroupStateTimeout.NoTimeout)
+
+def deadlines(events: DataFrame, limit_ms: float = DEADLINE_MS) -> DataFrame:
+    """(request_id, outcome, events): a request's end once, as ``completed`` when its [DONE] event comes in time, else as ``timeout``.
+
+    ``events`` has request_id, offset_ms and done. An event at or past the limit
+    ends its request as a timeout, and later ones are rejected.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, ended = state.get if state.exists else (0, False)
+        rows = pd.concat(list(batches)).sort_values("offset_ms", kind="stable")
+        for offset, done in zip(rows["offset_ms"], rows["done"], strict=True):
+            if ended:
+                break
+            in_time = offset < limit_ms
+            n += int(in_time)
+            if done or not in_time:
+                ended = True
+                yield pd.DataFrame({"request_id": [key[0]], "outcome": ["completed" if in_time else "timeout"], "events": [n]})
+        state.update((n, ended))
+
+    return events.groupBy("request_id").applyInPandasWithState(step, "request_id string, outcome string, events long", "n long, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def incremental_timing(events: DataFrame) -> DataFrame:
@@ -66,12 +97,26 @@ def windowed_rates(events: DataFrame, time: Column, width: str, late: str, slide
     return timed.groupBy(F.window("event_time", width, slide) if slide else F.window("event_time", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns what it emitted."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder for a stream's files: in the cluster's shared folder, or a temporary one in a local session without that."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        named = tempfile.mkdtemp(prefix="stream-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
+    return f"{named.rstrip('/')}/{name}"
+
+
+def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there and returns what it emitted, by way of files; in complete mode the last result counts."""
     spark: SparkSession = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    folder = scratch(spark, name)
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{folder}/rows").start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def upsert_batches(write: Callable[[DataFrame], None], key: list[str]) -> Callable[[DataFrame, int], None]:
