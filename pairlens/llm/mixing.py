@@ -36,7 +36,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: in
 
 
 def _newton(strata: DataFrame, sources: DataFrame, most: int, steps: int) -> DataFrame:
-    """Adds lambda to sources."""
+    """Adds lambda to sources; raises if a source's words are still off by more than a millionth of its target."""
     free = F.least(F.lit(float(most)), F.exp(F.col("lam") * F.col("size") / F.col("mean")))
     state = sources.select("*", F.lit(0.0).alias("lam"), F.lit(-700.0).alias("lo"), (F.log(F.lit(float(most))) * F.col("mean") / F.col("least") + 1).alias("hi"))
     for step in range(steps):
@@ -50,7 +50,10 @@ def _newton(strata: DataFrame, sources: DataFrame, most: int, steps: int) -> Dat
         moved = moved.withColumn("lam", F.when(near | F.col("got").isNull(), F.col("lam")).when(F.col("slope").isNotNull() & (to > F.col("lo")) & (to < F.col("hi")), to).otherwise((F.col("lo") + F.col("hi")) / 2))
         state = cut(moved.drop("got", "slope"))
         if step % 4 == 3 and moved.where(~near).isEmpty():
-            break
+            return state.withColumn("lam", F.round("lam", 12))
+    off = moved.where(F.abs(F.col("got") - F.col("target")) > 1e-6 * F.col("target")).select(*KEY, "got", "target").take(5)
+    if off:
+        raise RuntimeError(f"entropy balancing did not reach its targets in {steps} steps: {off}")
     return state.withColumn("lam", F.round("lam", 12))
 
 

@@ -257,12 +257,12 @@ def test_sum_of_squares_rule():
 
 
 def test_sharding(docs, rows, odd, nothing):
-    got = sharding.shard_rows(docs, "doc_id", 4, bucket_rows=5).select("record.doc_id", "record.text", "shard", "slot", "grown_shard").toPandas()
+    got = sharding.shard_rows(docs, "doc_id", 4, bucket_bytes=9000).select("record.doc_id", "record.text", "shard", "slot", "grown_shard").toPandas()
     assert sorted(got.doc_id) == [i for i, _ in rows] and dict(zip(got.doc_id, got.text, strict=True))[rows[0][0]] == rows[0][1]
     for _, s in got.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
     assert ((got.grown_shard == got.shard) | (got.grown_shard == 4)).all() and (got.grown_shard == 4).any()
-    again = sharding.shard_rows(docs, "doc_id", 4, bucket_rows=5).select("record.doc_id", "slot").toPandas()
+    again = sharding.shard_rows(docs, "doc_id", 4, bucket_bytes=9000).select("record.doc_id", "slot").toPandas()
     assert dict(zip(got.doc_id, got.slot, strict=True)) == dict(zip(again.doc_id, again.slot, strict=True))
     order = got[got.shard == 0].sort_values("slot").doc_id.tolist()
     assert order != sorted(order)
@@ -270,9 +270,21 @@ def test_sharding(docs, rows, odd, nothing):
 
 
 def test_write_shards(docs, rows, spark, tmp_path):
-    sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "s"), "doc_id", 3)
+    sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "s"), "doc_id", 3, bucket_bytes=40_000)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted(r.doc_id for r in back.collect()) == [i for i, _ in rows]
+    assert max(len(list((tmp_path / "s" / f"_shard={k}").glob("*.parquet"))) for k in range(3)) > 1
+    want = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_rows(docs.select("doc_id", "text"), "doc_id", 3, bucket_bytes=40_000).select("record.doc_id", "shard", "slot").collect()}
+    assert {r.doc_id: (r._shard, r._slot) for r in back.collect()} == want
+    for file in (tmp_path / "s").rglob("*.parquet"):
+        slots = [r._slot for r in spark.read.parquet(str(file)).collect()]
+        assert slots == sorted(slots)
+
+
+def test_sharding_spreads_null_keys(spark):
+    d = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    got = sharding.shard_rows(d, "doc_id", 3, bucket_bytes=500).toPandas()
+    assert got["shard"].nunique() == 1 and got["bucket"].nunique() > 5 and sorted(got["slot"]) == list(range(500))
 
 
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 9], [0, 1, 2, 3], [2**64 - 1], [1, 2**40, 2**63, 2**64 - 2]])
@@ -455,6 +467,28 @@ def test_quality(spark, docs, labels, odd, nothing):
         assert out.count() == frame.count() and out.where("score is null or isnan(score)").isEmpty()
 
 
+def test_quality_borrows_from_sites(spark):
+    """Where text says little, a site's other documents correct it, and a site with one document says nothing."""
+    rnd = random.Random(12)
+    rows, labels = [], []
+    for i in range(1500):
+        host = i % 30
+        good = rnd.random() < (0.05 if host < 15 else 0.95)
+        marks = sum(rnd.random() < (0.10 if good else 0.16) for _ in range(60))
+        rows.append((i, " ".join(["word!" if k < marks else f"word{k}" for k in range(60)]), f"h{host}", f"p{i % 2}"))
+        labels.append((i, int(good)))
+    rows.append((5000, rows[0][1], "alone", "p0"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    l = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality.quality(d, l, F.col("doc_id") % 4 != 2).toPandas().set_index("doc_id")
+    held = [(got.loc[i], y) for i, y in labels if i % 4 == 2]
+    by_text = np.mean([(r.evidence >= 0.5) == y for r, y in held])
+    by_site = np.mean([(r.score >= 0.5) == y for r, y in held])
+    assert by_site > by_text + 0.03 and by_site > 0.8
+    assert abs(got.loc[5000].score - got.loc[5000].evidence) < 0.1 < max(abs(r.score - r.evidence) for r, _ in held)
+    assert got.loc[[i for i, y in labels if i % 30 < 15]].host_posterior.max() < got.loc[[i for i, y in labels if i % 30 >= 15]].host_posterior.min()
+
+
 def test_audio(spark):
     rnd = np.random.default_rng(7)
     tones = [rnd.integers(0, 48, 80) for _ in range(30)]
