@@ -16,6 +16,7 @@ STRICT = T.StructType(
     [
         T.StructField("ok", T.BooleanType()), T.StructField("kind", T.StringType()), T.StructField("canonical", T.StringType()),
         T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("kinds", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("values", T.MapType(T.StringType(), T.StringType())),
     ]
 )
 
@@ -54,17 +55,17 @@ def canonical(value) -> str:
 
 @F.pandas_udf(STRICT)
 def strict_json(texts: pd.Series) -> pd.DataFrame:
-    """ok is false where the text is not exactly one JSON value; integer kinds read ``integer``."""
+    """ok is false where the text is not exactly one JSON value; integer kinds read ``integer``. keys, kinds and values (canonical JSON) are those of an object's members."""
     rows = []
     for t in texts:
         try:
             v = parse_strict(t)
         except (ValueError, RecursionError):
-            rows.append((False, None, None, None, None))
+            rows.append((False, None, None, None, None, None))
             continue
         members = v if isinstance(v, dict) else {}
-        rows.append((True, kind_of(v), canonical(v), sorted(members), {k: "integer" if kind_of(x) == "number" and isinstance(x, int) else kind_of(x) for k, x in members.items()}))
-    return pd.DataFrame(rows, columns=["ok", "kind", "canonical", "keys", "kinds"])
+        rows.append((True, kind_of(v), canonical(v), sorted(members), {k: "integer" if kind_of(x) == "number" and isinstance(x, int) else kind_of(x) for k, x in members.items()}, {k: canonical(x) for k, x in members.items()}))
+    return pd.DataFrame(rows, columns=["ok", "kind", "canonical", "keys", "kinds", "values"])
 
 
 @F.pandas_udf(T.StringType())

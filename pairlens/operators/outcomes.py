@@ -84,47 +84,46 @@ def evaluate_lookup(answers: DataFrame, text: str, accepted: str) -> DataFrame:
 def evaluate_ticket(answers: DataFrame, text: str, category: str, priority: str) -> DataFrame:
     """Adds schema_valid, correct, error_type for an object of exactly category and priority from their lists."""
     p = answers.withColumn("_json", strict_json(F.col(text)))
-    got = lambda k: F.get_json_object("_json.canonical", f"$.{k}")
-    is_text = lambda k: F.coalesce(F.element_at("_json.kinds", F.lit(k)) == "string", F.lit(False))
+    got = lambda k: F.element_at("_json.values", F.lit(k))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     object_ = F.coalesce(F.col("_json.kind") == "object", F.lit(False))
     missing = object_ & (F.size(F.array_except(F.array(F.lit("category"), F.lit("priority")), "_json.keys")) > 0)
-    valid = object_ & ~missing & (F.size("_json.keys") == 2) & is_text("category") & is_text("priority") & F.coalesce(got("category").isin(*CATEGORIES) & got("priority").isin(*PRIORITIES), F.lit(False))
-    out = p.withColumn("schema_valid", valid).withColumn("correct", valid & F.coalesce((got("category") == F.col(category)) & (got("priority") == F.col(priority)), F.lit(False)))
+    listed = got("category").isin(*[f'"{c}"' for c in CATEGORIES]) & got("priority").isin(*[f'"{x}"' for x in PRIORITIES])
+    valid = object_ & ~missing & (F.size("_json.keys") == 2) & F.coalesce(listed, F.lit(False))
+    out = p.withColumn("schema_valid", valid).withColumn("correct", F.col("schema_valid") & F.coalesce((got("category") == quoted(F.col(category))) & (got("priority") == quoted(F.col(priority))), F.lit(False)))
     return out.withColumn("error_type", F.when(~F.col("_json.ok"), "malformed_json").when(missing, "missing_required_field").when(~F.col("schema_valid"), "schema_invalid")).drop("_json")
 
 
-def _field_valid(name: str, kind: str, kinds: Column, doc: Column) -> Column:
-    got = F.element_at(kinds, F.lit(name))
-    if kind == "date":
-        return F.coalesce((got == "string") & iso_date(F.get_json_object(doc, f"$.{name}")), F.lit(False))
-    allowed = [kind.rstrip("?")] + (["null"] if kind.endswith("?") else [])
-    return F.coalesce(got.isin(*allowed), F.lit(False))
+def _field_valid(name: str, form: str) -> Column:
+    kind, value = F.element_at("_json.kinds", F.lit(name)), F.element_at("_json.values", F.lit(name))
+    if form == "date":
+        return F.coalesce((F.length(value) == 12) & iso_date(F.substring(value, 2, 10)), F.lit(False))
+    return F.coalesce(kind.isin(*[form.rstrip("?")] + (["null"] if form.endswith("?") else [])), F.lit(False))
 
 
 def evaluate_contract(answers: DataFrame, text: str, gold: str) -> DataFrame:
-    """Adds field_correct, correct_field_count, schema_valid, correct, error_type; gold is canonical JSON of the ten fields.
+    """Adds field_correct, correct_field_count, schema_valid, correct, error_type; gold is JSON of the ten fields.
 
-    Fields are compared even where the schema is invalid: of one kind (numbers are one kind) and equal.
+    Fields are compared even where the schema is invalid: of one kind (numbers are
+    one kind) and equal. Both texts are parsed once.
     """
     p = answers.withColumn("_json", strict_json(F.col(text))).withColumn("_gold", strict_json(F.col(gold)))
-    kinds, doc = F.col("_json.kinds"), F.col("_json.canonical")
-    plain = lambda c, n: F.regexp_replace(F.element_at(c, F.lit(n)), "integer", "number")
-    value = lambda c, n: F.get_json_object(c, f"$.{n}")
+    of = lambda side, part, n: F.element_at(F.col(f"{side}.{part}"), F.lit(n))
+    plain = lambda side, n: F.regexp_replace(of(side, "kinds", n), "integer", "number")
 
     def same(n: str) -> Column:
-        a, b = value(doc, n), value(F.col("_gold.canonical"), n)
-        equal = F.when(plain(kinds, n) == "number", a.cast("double") == b.cast("double")).otherwise(a.eqNullSafe(b))
-        return F.coalesce((plain(kinds, n) == plain(F.col("_gold.kinds"), n)) & equal, F.lit(False))
+        a, b = of("_json", "values", n), of("_gold", "values", n)
+        equal = (a == b) | ((plain("_json", n) == "number") & (a.try_cast("double") == b.try_cast("double")))
+        return F.coalesce((plain("_json", n) == plain("_gold", n)) & equal, F.lit(False))
 
     object_ = F.coalesce(F.col("_json.kind") == "object", F.lit(False))
     names = F.array(*[F.lit(n) for n in CONTRACT_FIELDS])
     missing = object_ & (F.size(F.array_except(names, "_json.keys")) > 0)
-    valid = object_ & (F.size("_json.keys") == len(CONTRACT_FIELDS))
-    valid = valid & F.coalesce(F.get_json_object(doc, "$.agreement_type").isin(*AGREEMENTS), F.lit(False))
-    for n, kind in CONTRACT_FIELDS.items():
-        valid = valid & _field_valid(n, kind, kinds, doc)
+    valid = object_ & ~missing & (F.size("_json.keys") == len(CONTRACT_FIELDS)) & F.coalesce(of("_json", "values", "agreement_type").isin(*[f'"{a}"' for a in AGREEMENTS]), F.lit(False))
+    for n, form in CONTRACT_FIELDS.items():
+        valid = valid & _field_valid(n, form)
     out = p.withColumn("field_correct", F.map_from_arrays(names, F.array(*[object_ & same(n) for n in CONTRACT_FIELDS])))
-    out = out.withColumn("correct_field_count", F.size(F.filter(F.map_values("field_correct"), lambda x: x))).withColumn("schema_valid", valid & ~missing)
+    out = out.withColumn("correct_field_count", F.size(F.filter(F.map_values("field_correct"), lambda x: x))).withColumn("schema_valid", valid)
     out = out.withColumn("correct", F.col("schema_valid") & (F.col("correct_field_count") == len(CONTRACT_FIELDS)))
     return out.withColumn("error_type", F.when(~F.col("_json.ok"), "malformed_json").when(missing, "missing_required_field").when(~F.col("schema_valid"), "schema_invalid")).drop("_json", "_gold")
 
