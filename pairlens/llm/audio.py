@@ -170,28 +170,47 @@ def _verify(max_error: float, min_overlap: int):
     return run
 
 
+def _classes(prints: DataFrame, is_query: Column) -> tuple[DataFrame, DataFrame]:
+    """(recordings with their codes' hashes, classes of equal codes)."""
+    full = prints.where("size(codes) > 0")
+    keyed = full.select("id", "codes", F.xxhash64("codes").alias("h1"), F.sha2(F.array_join("codes", ",").cast("binary"), 256).alias("h2"), is_query.alias("q"))
+    return keyed, cut(keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.bool_or("q").alias("asked"), F.any_value("codes").alias("codes")))
+
+
+def _links(classes: DataFrame, max_error: float, min_overlap: int) -> DataFrame:
+    if min_overlap <= WIDTH:
+        raise ValueError(f"min_overlap must be more than {WIDTH}")
+    kind = classes.schema["class_id"].dataType.simpleString()
+    keys_of = lambda df, s: df.select("class_id", "codes").mapInArrow(_keys, f"class_id {kind}, key long").select(F.col("class_id").alias(s), "key")
+    pairs = keys_of(classes.where("asked"), "a").join(keys_of(classes, "b"), "key").where("a <> b").select("a", "b").distinct()
+    codes_of = lambda s: classes.select(F.col("class_id").alias(s), F.col("codes").alias(f"codes_{s}"), F.col("members").alias(f"members_{s}"))
+    pair = pairs.join(codes_of("a"), "a").join(codes_of("b"), "b").select("a", "b", "members_b", "codes_a", "codes_b")
+    return pair.mapInArrow(_verify(max_error, min_overlap), f"a {kind}, b {kind}, members_b long, offset int, error double")
+
+
+def recording_links(prints: DataFrame, is_query: Column, max_error: float = 0.06, min_overlap: int = 16) -> DataFrame:
+    """(a, b, members_b, offset, error): the classes b that a class a with a query among its recordings is linked with, by the smallest ids of both.
+
+    Rows of (id, codes) with a null id or without codes are in no class.
+    """
+    return _links(_classes(cut(prints.where("id is not null")), is_query)[1], max_error, min_overlap)
+
+
 def align_recordings(prints: DataFrame, is_query: Column, max_error: float = 0.06, min_overlap: int = 16) -> DataFrame:
-    """(id, n_codes, class_id, is_query, n_links, best_match, best_offset, best_error) of each row of (id, codes).
+    """(id, n_codes, class_id, is_query, n_links, best_match, best_offset, best_error) of each row of (id, codes) with an id.
 
     A query is linked with every other recording whose codes, at an offset between
     positions of a shared key, differ in at most ``max_error`` of the bits over at
     least ``min_overlap`` positions, and with the other recordings of its own class.
     best_match is the class it aligns with best, its own if that has others.
     Recordings without codes and those that are no query have no links (null).
-    Keys span two windows, so ``min_overlap`` must be more than WIDTH.
+    Rows with a null id are left out; of rows with one id and the same codes each
+    comes back. Other columns are ignored. An empty table gives no rows. Keys span
+    two windows, so ``min_overlap`` must be more than WIDTH.
     """
-    if min_overlap <= WIDTH:
-        raise ValueError(f"min_overlap must be more than {WIDTH}")
     prints = cut(prints.where("id is not null"))
-    full = prints.where("size(codes) > 0")
-    keyed = full.select("id", "codes", F.xxhash64("codes").alias("h1"), F.sha2(F.array_join("codes", ",").cast("binary"), 256).alias("h2"), is_query.alias("q"))
-    classes = cut(keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.bool_or("q").alias("asked"), F.any_value("codes").alias("codes")))
-    kind = classes.schema["class_id"].dataType.simpleString()
-    keys_of = lambda df, s: df.select("class_id", "codes").mapInArrow(_keys, f"class_id {kind}, key long").select(F.col("class_id").alias(s), "key")
-    pairs = keys_of(classes.where("asked"), "a").join(keys_of(classes, "b"), "key").where("a <> b").select("a", "b").distinct()
-    codes_of = lambda s: classes.select(F.col("class_id").alias(s), F.col("codes").alias(f"codes_{s}"), F.col("members").alias(f"members_{s}"))
-    pair = pairs.join(codes_of("a"), "a").join(codes_of("b"), "b").select("a", "b", "members_b", "codes_a", "codes_b")
-    linked = pair.mapInArrow(_verify(max_error, min_overlap), f"a {kind}, b {kind}, members_b long, offset int, error double")
+    keyed, classes = _classes(prints, is_query)
+    linked = _links(classes, max_error, min_overlap)
     per = linked.groupBy("a").agg(F.sum("members_b").alias("others"), F.min(F.struct("error", "b", "offset")).alias("near"))
     asked = classes.join(per, classes["class_id"] == per["a"], "left").select("h1", "h2", "class_id", "members", "others", "near")
     out = keyed.select("id", "h1", "h2", "q").join(asked, ["h1", "h2"])
