@@ -122,7 +122,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The next document is the one with the next smaller id, after the smallest id
     the largest; rows with one id follow each other by a hash of their texts, and
-    null ids come last. The edited text has the last third of its characters
+    null ids come last, with the smallest long. The edited text has the last third of its characters
     (rounded down) replaced by as many first characters of the next document, or
     all if it has fewer. Returns (id, n_chars, edited_text, next_text, packed,
     edited_packed, next_packed, near_edited, near_next), one row for each input
@@ -131,7 +131,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     missing = -(2**63)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(missing)).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    rows = docs.select(F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(missing)).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     n = docs.count()
     if not n:
         numbered = rows.withColumn("bucket", F.lit(0))
@@ -147,9 +147,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     by = Window.partitionBy("bucket").orderBy(F.desc("id"), F.desc("tie"))
     printed = numbered.withColumn("packed", fingerprint(F.col("text"), shingle_words))
-    ahead = printed.select("id", "bucket", "text", "packed", F.lead("text").over(by).alias("lead_text"), F.lead("packed").over(by).alias("lead_packed"))
+    ahead = printed.select("id", "own", "bucket", "text", "packed", F.lead("text").over(by).alias("lead_text"), F.lead("packed").over(by).alias("lead_packed"))
     joined = ahead.join(after, (F.col("bucket") == F.col("b")) & F.col("lead_packed").isNull(), "left")
-    whole = joined.select("id", "text", "packed", F.coalesce("lead_text", "after_text").alias("next_text"), F.coalesce("lead_packed", "after_packed").alias("next_packed"))
+    whole = joined.select("own", "text", "packed", F.coalesce("lead_text", "after_text").alias("next_text"), F.coalesce("lead_packed", "after_packed").alias("next_packed"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 3) as int))"))
     out = whole.select("*", edited.alias("edited_text")).withColumn("edited_packed", fingerprint(F.col("edited_text"), shingle_words))
-    return out.select(F.expr(f"nullif(id, {missing})").alias(id_col), F.length("text").cast("long").alias("n_chars"), "edited_text", "next_text", "packed", "edited_packed", "next_packed", likeness(F.col("packed"), F.col("edited_packed")).alias("near_edited"), likeness(F.col("packed"), F.col("next_packed")).alias("near_next"))
+    return out.select(F.col("own").alias(id_col), F.length("text").cast("long").alias("n_chars"), "edited_text", "next_text", "packed", "edited_packed", "next_packed", likeness(F.col("packed"), F.col("edited_packed")).alias("near_edited"), likeness(F.col("packed"), F.col("next_packed")).alias("near_next"))

@@ -209,6 +209,8 @@ def test_fingerprints(docs, rows, odd, nothing):
     by_text = {}
     for i, t in order:
         assert by_text.setdefault(t, got[i].hex) == got[i].hex
+    top = odd.sparkSession.createDataFrame([(-(2**63), "a b c d e f"), (None, "x"), (7, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_chars) for r in fp.fingerprint_documents(top).collect()} == {(-(2**63), 11), (None, 1), (7, 0)}
     assert fp.fingerprint_documents(odd).count() == odd.count() and fp.fingerprint_documents(nothing).count() == 0
 
 
