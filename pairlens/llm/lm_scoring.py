@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import bound_batches, cut, text_bytes, tidy
+from .session import bound_batches, cut, text_bytes, tidy, tidy_group
 from .trie import WORD_BITS, NGramTrie
 from .words import U, all_words, grouped, mix, pieces
 
@@ -324,6 +324,7 @@ def _second(hot_words, buckets: int):
 _DOC = "id long, train boolean, n_tokens long, n_known long, base double, score double, unseen long, unseen_ends long, kinds long"
 
 
+@tidy_group
 def _finish(key: tuple, table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     heads = [r for r in rows if r["kind"] == 1]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bound_batches, text_bytes, tidy
+from .session import bound_batches, text_bytes, tidy, tidy_group
 
 #: The one added token of the vocabulary.
 END_OF_TEXT = "<|endoftext|>"
@@ -111,6 +111,7 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _packer(length: int):
+    @tidy_group
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.drop_columns(["group"]).sort_by([("id", "ascending"), ("salt", "ascending"), ("piece", "ascending")]).drop_columns(["salt"])
         sequence, offset, _ = sum_of_squares(rows.column("length").to_numpy(), length)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import _powers
+
 #: Bytes of an Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 4 << 20
 
@@ -46,14 +48,42 @@ def text_bytes(df: DataFrame, text_col: str) -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
+def release() -> None:
+    """Give freed memory and kept tables back to the system: Python workers live on to serve other tasks, beside a JVM that keeps its heap."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run):
-    """A mapInArrow function that gives freed memory back to the system when it ends: Python workers live on to serve other tasks."""
+    """A mapInArrow function that releases when it ends."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        release()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """A function of (key, rows) for applyInArrow that releases after each group."""
+
+    def wrapped(key, rows):
+        out = run(key, rows)
+        release()
+        return out
+
+    return wrapped
+
+
+def tidy_cogroup(run):
+    """A function of (key, left, right) for applyInArrow on a cogroup that releases after each group."""
+
+    def wrapped(key, left, right):
+        out = run(key, left, right)
+        release()
+        return out
 
     return wrapped

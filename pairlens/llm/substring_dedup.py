@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bound_batches, text_bytes, tidy
+from .session import bound_batches, text_bytes, tidy, tidy_cogroup, tidy_group
 from .words import Runs, U, Words, all_words, blocks, run_starts
 
 LEVELS = (1, 2, 4, 8)
@@ -206,6 +206,7 @@ def _prints(part: _Part, bits: int) -> tuple[Runs, np.ndarray, np.ndarray, np.nd
 def _printer(length: int, bits: int):
     """Distinct fingerprints of a part's windows: 32 bits each, beyond those that number the bucket."""
 
+    @tidy_group
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         found = np.unique(_prints(_Part(docs, length), bits)[3])
         bucket = (found >> U(32)).astype(np.int64)
@@ -251,6 +252,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sender(length: int, bits: int, to, buckets: int):
     """Suffixes of a part for buckets, and with bucket -1 - part the part's own marks."""
 
+    @tidy_cogroup
     def send(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
         part, number = _Part(docs, length), key[0].as_py()
         runs, at, doc, prints = _prints(part, bits)
@@ -318,7 +320,8 @@ def _settle(width: int):
 def _cleaner(length: int, text_too: bool):
     """The rows of a part without the words under marks."""
 
-    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    @tidy_cogroup
+    def run(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
         part = _Part(docs, length)
         found = [_unrising(r["windows"], r["n"]) for r in marks.to_pylist()]
         gone_at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
