@@ -211,6 +211,13 @@ def assistant_content(doc: Column) -> Column:
     return F.when(alias.isNotNull(), text(alias)).otherwise(text(F.try_variant_get(body, "$.choices[0].message.content", "variant")))
 
 
+def aliases_of(v: Column) -> Column:
+    """Accepted answers beside the gold as an array of strings: from an array, a single string, or either under ``answer``."""
+    inner = F.when(is_object(v), member(v, "answer")).otherwise(v)
+    many = F.filter(F.transform(F.try_variant_get(inner, "$", "array<variant>"), text), lambda x: x.isNotNull())
+    return F.when(kind(inner) == "STRING", F.array(text(inner))).when(kind(inner).startswith("ARRAY"), many).otherwise(F.array().cast("array<string>"))
+
+
 def evaluate_records(items: DataFrame, saved: DataFrame, families: tuple[str, str, str]) -> DataFrame:
     """(request_id, family, outcome, classification, error_type, schema_valid, correct, correct_field_count) of saved records (request_id, item_id, record).
 

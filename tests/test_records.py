@@ -11,7 +11,7 @@ from pairlens.operators import records
 
 
 def docs(spark, *values):
-    rows = [(f"r{i}", v if isinstance(v, str) else json.dumps(v)) for i, v in enumerate(values)]
+    rows = [(f"r{i}", json.dumps(v)) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "request_id string, j string").select("request_id", F.parse_json("j").alias("record"))
 
 
@@ -97,6 +97,10 @@ def test_evaluate_records(spark):
             records.evaluate_records(items, docs(spark, bad).withColumn("item_id", F.lit("a")), families).collect()
 
 
+def test_aliases(spark):
+    assert each(docs(spark, ["a", 1, "b"], "one", {"answer": ["c"]}, {"answer": "d"}, {"other": 1}, 5), records.aliases_of(R())) == [["a", "b"], ["one"], ["c"], ["d"], [], []]
+
+
 def test_compatibility(spark):
     d = docs(spark, {}, {"configuration_compatible": None, "provider_configuration_compatible": True}, {"provider_configuration_compatible": True, "model_identity": {"matches": False}}, {"model_identity": {"matches": None}}, {"model_identity": {}}, {"adapter_compatibility": {"status": "unsupported"}}, {"configuration_checks": {"a": True, "b": 1}}, {"configuration_checks": {"a": True}})
     assert each(d, records.record_compatible(R())) == [True, False, True, False, True, False, False, True]
