@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .audio import align_recordings, fingerprint_audio, render_tones
+from .collocations import collocations
+from .conversation_trie import conversation_trie
 from .fingerprints import as_hex, fingerprint_documents
 from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pieces import decode_pieces, encode_pieces
 from .quality import quality
 from .sharding import shard_rows
 from .substring_dedup import remove_repeats
@@ -91,6 +94,22 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_recordings(fingerprint_audio(audio, "id", "audio"), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
 
+@_query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir), max_words=3, min_count=10, inside_percent=50, top=2000)
+
+
+@_query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = decode_pieces(encode_pieces(_documents(spark, sf_dir), packed=True))
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@_query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("position", "end_position")
+
+
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES["op1_near_dedup"] = f"""
@@ -113,3 +132,37 @@ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos
 kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.pos) AS t, count(*) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos WHERE gone.pos IS NULL GROUP BY 1)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k))),
+f AS (SELECT lang, k, g, count(*)::BIGINT AS f FROM g GROUP BY ALL HAVING f >= 10),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+cuts AS (SELECT c.lang, c.k, c.g, c.f AS a, j, l.f AS l, r.f AS r, (c.f::HUGEINT * c.f * 1000000 // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:j] JOIN f r ON r.lang = c.lang AND r.g = c.g[j + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+longer AS (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, f FROM f WHERE k = 3),
+kept AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM best WHERE NOT EXISTS (SELECT 1 FROM longer WHERE longer.lang = best.lang AND longer.g = best.g AND 100 * longer.f >= 50 * best.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+#: CRC-32 of a decimal number s, a bit at a time.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(s) + 1), lambda i: ord(s[i])::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)))"
+
+ORACLES["op13_conversation_trie"] = f"""
+WITH t AS (SELECT conv_id, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS key, length(coalesce(text, '')) AS len, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'key': key, 'len': len}} ORDER BY turn NULLS FIRST, key) AS own FROM t GROUP BY 1),
+h AS (SELECT o.conv_id AS c, o.own, b.own AS start, {_CRC} % 6 AS h FROM (SELECT *, conv_id::VARCHAR AS s FROM o) o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100),
+r AS (SELECT c, list_concat(CASE WHEN h > 0 THEN coalesce(start, [])[1:h] ELSE [] END, own[h + 1:]) AS turns FROM h),
+walks AS (SELECT c, d, turns[1:d] AS path, d = len(turns) AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+nodes AS (SELECT path, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM walks GROUP BY path),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * CASE WHEN depth > 0 THEN path[depth].len ELSE 0 END AS saved FROM nodes LEFT JOIN kids USING (path)),
+sums AS (SELECT path, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT path[1:d] AS path, (n_children = 0)::INT AS leaf, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM own)) GROUP BY path)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+FROM own JOIN sums ON sums.path = own.path LEFT JOIN nodes up ON own.depth > 0 AND up.path = own.path[1:own.depth - 1]
+"""
