@@ -102,8 +102,9 @@ def test_nothing_has_no_collocations(spark):
 
 
 def spans(model_file, text):
-    made = sentencepiece.SentencePieceProcessor(model_file=model_file).encode(text, add_bos=True, add_eos=True, return_type="proto").pieces
-    return [p.id for p in made], [p.begin for p in made], [p.end for p in made]
+    made = sentencepiece.SentencePieceProcessor(model_file=model_file).encode(text, return_type="proto").pieces
+    size = len(text.encode())
+    return [1, *(p.id for p in made), 2], [0, *(p.begin for p in made), size], [0, *(p.end for p in made), size]
 
 
 @pytest.mark.parametrize("packed", [False, True])
