@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,12 +75,6 @@ def normalize_answer(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(t.split()).casefold())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def normalize_answers(lists: pd.Series) -> pd.Series:
-    """normalize_answer of every member; nulls stay."""
-    return lists.map(lambda ts: None if ts is None else [None if t is None else " ".join(t.split()).casefold() for t in ts])
-
-
 @F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """Sorted keys, no spaces, UTF-8 kept; null where the text is not strict JSON."""
@@ -143,3 +138,13 @@ def token_count(encoding: str | None = None) -> Callable[[Column], Column]:
 def iso_date(c: Column) -> Column:
     """Whether a text is a real date written as exactly YYYY-MM-DD, years 0001 to 9999."""
     return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.length(c) == 10) & F.try_to_date(c, "yyyy-MM-dd").isNotNull() & (c >= "0001"), F.lit(False))
+
+
+def is_iso_date(text: str) -> bool:
+    """iso_date of a Python string."""
+    if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text) is None:
+        return False
+    try:
+        return date.fromisoformat(text).isoformat() == text
+    except ValueError:
+        return False

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = {"p50": "0.5D", "p95": "0.95D", "p99": "0.99D"}
@@ -47,3 +47,13 @@ def token_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_ou
 def short_id(prefix: str, *parts: Column) -> Column:
     """Prefix and 24 hex characters of the SHA-256 of the NUL-joined parts."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 24))
+
+
+def guarded(df: DataFrame, problem: Column) -> DataFrame:
+    """df; a row whose problem is not null raises it, whatever columns are used afterwards.
+
+    A check in a column goes with the column. This one is in a filter that reads a
+    nondeterministic column, which Spark neither drops nor moves.
+    """
+    seen = df.withColumn("_problem", F.when(F.spark_partition_id() >= 0, problem))
+    return seen.where(F.when(F.col("_problem").isNotNull(), F.raise_error(F.col("_problem")).cast("boolean")).otherwise(F.lit(True))).drop("_problem")

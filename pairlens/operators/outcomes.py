@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairlens.functions.jsonstrict import iso_date, normalize_answer, normalize_answers, strict_json
+from pairlens.functions.jsonstrict import canonical, is_iso_date, kind_of, parse_strict
 
 OUTCOMES = ("2xx", "429", "other_4xx", "5xx", "timeout", "transport_error")
 #: Names fixed by the result contract.
@@ -54,78 +56,119 @@ def rate_limit_headers(headers: Column) -> Column:
     return F.map_filter(headers, lambda k, v: (low(k) == "retry-after") | low(k).contains("ratelimit") | low(k).contains("rate-limit") | low(k).contains("quota"))
 
 
-def channel_error(event_class_: Column, reasoning: Column, answer: Column, has_reasoning: Column, has_answer: Column) -> Column:
-    """Why an event's presence flags, class and channels contradict each other, or null."""
-    r, a = F.coalesce(reasoning, F.lit("")) != "", F.coalesce(answer, F.lit("")) != ""
-    return (
-        F.when(~has_reasoning.eqNullSafe(r), "reasoning presence differs").when(~has_answer.eqNullSafe(a), "answer presence differs")
-        .when(event_class_.isin("reasoning", "reasoning_and_answer") != r, "class and reasoning differ").when(event_class_.isin("answer", "reasoning_and_answer") != a, "class and answer differ")
-    )
-
-
 def failed_checks(checks: dict[str, Column]) -> Column:
     """Names of the checks that are not true, in the order given."""
     return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
 
 
+JUDGED = T.StructType([T.StructField("schema_valid", T.BooleanType()), T.StructField("correct", T.BooleanType()), T.StructField("error_type", T.StringType()), T.StructField("fields", T.ArrayType(T.BooleanType()))])
+
+
+def _folded(text: str) -> str:
+    return " ".join(text.split()).casefold()
+
+
+def _lookup(value, wanted: list) -> tuple:
+    if not isinstance(value, dict):
+        return False, False, "schema_invalid", None
+    if "answer" not in value:
+        return False, False, "missing_required_field", None
+    if len(value) > 1 or not isinstance(value["answer"], str):
+        return False, False, "schema_invalid", None
+    return True, _folded(value["answer"]) in {_folded(w) for w in wanted if w is not None}, None, None
+
+
+def _triage(value, wanted: list) -> tuple:
+    if not isinstance(value, dict):
+        return False, False, "schema_invalid", None
+    if not {"category", "priority"} <= value.keys():
+        return False, False, "missing_required_field", None
+    said = [value["category"], value["priority"]]
+    if len(value) > 2 or said[0] not in CATEGORIES or said[1] not in PRIORITIES:
+        return False, False, "schema_invalid", None
+    return True, said == list(wanted), None, None
+
+
+def _is(value, form: str) -> bool:
+    kind = kind_of(value)
+    if form == "string":
+        return kind == "string" and value in AGREEMENTS
+    if form == "date":
+        return kind == "string" and is_iso_date(value)
+    if form == "boolean":
+        return kind == "boolean"
+    return isinstance(value, int) and kind == "number" or kind == "null" and form.endswith("?")
+
+
+def _same(a, b) -> bool:
+    """Of one kind, where all numbers are one, and equal."""
+    kind = kind_of(a)
+    return kind == kind_of(b) and (canonical(a) == canonical(b) or kind == "number" and float(a) == float(b))
+
+
+def _contract(value, wanted: list, golds: dict) -> tuple:
+    gold = golds.get(wanted[0])
+    if gold is None:
+        try:
+            gold = parse_strict(wanted[0])
+        except (ValueError, RecursionError):
+            gold = {}
+        if len(golds) >= 4096:
+            golds.clear()
+        golds[wanted[0]] = gold = gold if isinstance(gold, dict) else {}
+    if not isinstance(value, dict):
+        return False, False, "schema_invalid", [False] * len(CONTRACT_FIELDS)
+    fields = [n in value and n in gold and _same(value[n], gold[n]) for n in CONTRACT_FIELDS]
+    if not CONTRACT_FIELDS.keys() <= value.keys():
+        return False, False, "missing_required_field", fields
+    valid = len(value) == len(CONTRACT_FIELDS) and all(_is(value[n], form) for n, form in CONTRACT_FIELDS.items())
+    return valid, valid and all(fields), None if valid else "schema_invalid", fields
+
+
+@F.pandas_udf(JUDGED)
+def judged(kinds: pd.Series, texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+    """One answer against what its kind wants: ``lookup`` accepted answers, ``triage`` category and priority, ``contract`` the gold as JSON. Each text is parsed once, a gold once for all its answers; null for other kinds."""
+    golds: dict = {}
+    rows = []
+    for kind, t, w in zip(kinds, texts, wanted, strict=True):
+        if kind is None:
+            rows.append((None, None, None, None))
+            continue
+        try:
+            value = parse_strict(t)
+        except (ValueError, RecursionError):
+            rows.append((False, False, "malformed_json", [False] * len(CONTRACT_FIELDS) if kind == "contract" else None))
+            continue
+        w = [] if w is None else w
+        rows.append(_lookup(value, w) if kind == "lookup" else _triage(value, w) if kind == "triage" else _contract(value, w, golds))
+    return pd.DataFrame(rows, columns=["schema_valid", "correct", "error_type", "fields"])
+
+
+def field_count(fields: Column) -> Column:
+    return F.size(F.filter(fields, lambda x: x))
+
+
 def evaluate_lookup(answers: DataFrame, text: str, accepted: str) -> DataFrame:
     """Adds schema_valid, correct, error_type: an object of one string ``answer`` that matches an accepted one, white space and case aside."""
-    parsed = answers.withColumn("_json", strict_json(F.col(text)))
-    value = F.get_json_object("_json.canonical", "$.answer")
-    shape = F.col("_json.ok") & (F.col("_json.kind") == "object")
-    valid = shape & (F.concat_ws(",", "_json.keys") == "answer") & (F.element_at("_json.kinds", F.lit("answer")) == "string")
-    hit = F.coalesce(F.array_contains(normalize_answers(F.col(accepted)), normalize_answer(value)), F.lit(False))
     kept = [F.col(f"`{c}`") for c in answers.columns if c != accepted]
-    valid, shape = F.coalesce(valid, F.lit(False)), F.coalesce(shape, F.lit(False))
-    error = F.when(~F.col("_json.ok"), "malformed_json").when(~shape, "schema_invalid").when(~F.array_contains("_json.keys", "answer"), "missing_required_field").when(~valid, "schema_invalid")
-    return parsed.select(*kept, valid.alias("schema_valid"), (valid & hit).alias("correct"), error.alias("error_type"))
+    return answers.withColumn("_j", judged(F.lit("lookup"), F.col(text), F.col(accepted))).select(*kept, "_j.schema_valid", "_j.correct", "_j.error_type")
 
 
 def evaluate_ticket(answers: DataFrame, text: str, category: str, priority: str) -> DataFrame:
     """Adds schema_valid, correct, error_type for an object of exactly category and priority from their lists."""
-    p = answers.withColumn("_json", strict_json(F.col(text)))
-    got = lambda k: F.element_at("_json.values", F.lit(k))
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    object_ = F.coalesce(F.col("_json.kind") == "object", F.lit(False))
-    missing = object_ & (F.size(F.array_except(F.array(F.lit("category"), F.lit("priority")), "_json.keys")) > 0)
-    listed = got("category").isin(*[f'"{c}"' for c in CATEGORIES]) & got("priority").isin(*[f'"{x}"' for x in PRIORITIES])
-    valid = object_ & ~missing & (F.size("_json.keys") == 2) & F.coalesce(listed, F.lit(False))
-    out = p.withColumn("schema_valid", valid).withColumn("correct", F.col("schema_valid") & F.coalesce((got("category") == quoted(F.col(category))) & (got("priority") == quoted(F.col(priority))), F.lit(False)))
-    return out.withColumn("error_type", F.when(~F.col("_json.ok"), "malformed_json").when(missing, "missing_required_field").when(~F.col("schema_valid"), "schema_invalid")).drop("_json")
-
-
-def _field_valid(name: str, form: str) -> Column:
-    kind, value = F.element_at("_json.kinds", F.lit(name)), F.element_at("_json.values", F.lit(name))
-    if form == "date":
-        return F.coalesce((F.length(value) == 12) & iso_date(F.substring(value, 2, 10)), F.lit(False))
-    return F.coalesce(kind.isin(*[form.rstrip("?")] + (["null"] if form.endswith("?") else [])), F.lit(False))
+    found = answers.withColumn("_j", judged(F.lit("triage"), F.col(text), F.array(category, priority)))
+    return found.select(*answers.columns, "_j.schema_valid", "_j.correct", "_j.error_type")
 
 
 def evaluate_contract(answers: DataFrame, text: str, gold: str) -> DataFrame:
     """Adds field_correct, correct_field_count, schema_valid, correct, error_type; gold is JSON of the ten fields.
 
     Fields are compared even where the schema is invalid: of one kind (numbers are
-    one kind) and equal. Both texts are parsed once.
+    one kind) and equal.
     """
-    p = answers.withColumn("_json", strict_json(F.col(text))).withColumn("_gold", strict_json(F.col(gold)))
-    of = lambda side, part, n: F.element_at(F.col(f"{side}.{part}"), F.lit(n))
-    plain = lambda side, n: F.regexp_replace(of(side, "kinds", n), "integer", "number")
-
-    def same(n: str) -> Column:
-        a, b = of("_json", "values", n), of("_gold", "values", n)
-        equal = (a == b) | ((plain("_json", n) == "number") & (a.try_cast("double") == b.try_cast("double")))
-        return F.coalesce((plain("_json", n) == plain("_gold", n)) & equal, F.lit(False))
-
-    object_ = F.coalesce(F.col("_json.kind") == "object", F.lit(False))
+    found = answers.withColumn("_j", judged(F.lit("contract"), F.col(text), F.array(gold)))
     names = F.array(*[F.lit(n) for n in CONTRACT_FIELDS])
-    missing = object_ & (F.size(F.array_except(names, "_json.keys")) > 0)
-    valid = object_ & ~missing & (F.size("_json.keys") == len(CONTRACT_FIELDS)) & F.coalesce(of("_json", "values", "agreement_type").isin(*[f'"{a}"' for a in AGREEMENTS]), F.lit(False))
-    for n, form in CONTRACT_FIELDS.items():
-        valid = valid & _field_valid(n, form)
-    out = p.withColumn("field_correct", F.map_from_arrays(names, F.array(*[object_ & same(n) for n in CONTRACT_FIELDS])))
-    out = out.withColumn("correct_field_count", F.size(F.filter(F.map_values("field_correct"), lambda x: x))).withColumn("schema_valid", valid)
-    out = out.withColumn("correct", F.col("schema_valid") & (F.col("correct_field_count") == len(CONTRACT_FIELDS)))
-    return out.withColumn("error_type", F.when(~F.col("_json.ok"), "malformed_json").when(missing, "missing_required_field").when(~F.col("schema_valid"), "schema_invalid")).drop("_json", "_gold")
+    return found.select(*answers.columns, F.map_from_arrays(names, "_j.fields").alias("field_correct"), field_count(F.col("_j.fields")).alias("correct_field_count"), "_j.schema_valid", "_j.correct", "_j.error_type")
 
 
 def classification(outcome: Column, schema_valid: Column, correct: Column) -> Column:

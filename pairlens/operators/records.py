@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pairlens.functions.stats import output_speed
-from pairlens.operators import outcomes, timing
+from pairlens.functions.stats import guarded, output_speed, token_cost
+from pairlens.operators import outcomes
 
 OFFSETS = ("monotonic_offset_ms", "offset_ms", "elapsed_ms", "arrival_offset_ms")
 ANSWERS = ("reconstructed_answer", "assistant_content", "response_content", "answer")
@@ -171,37 +171,88 @@ def events_of(saved: DataFrame) -> DataFrame:
 TIMES = ("source", "ttfo_ms", "ttfa_ms", "pre_answer_reasoning_tokens", "reasoning_emitted", "e2e_ms", "last_ms", "answer_tokens", "speed", "answer", "reasoning", "complete")
 
 
-def record_timing(saved: DataFrame, count_tokens: Callable[[Column], Column]) -> DataFrame:
-    """(request_id, *TIMES) of saved records: from their events or, without any, from their saved times.
+def number_problem(v: Column, name: str) -> Column:
+    """Why a value is neither null nor a finite number of at least 0, or NULL."""
+    k, n = kind(v), F.try_variant_get(v, "$", "double")
+    good = ((k == "BIGINT") | (k == "DOUBLE") | k.startswith("DECIMAL")) & (n >= 0) & ~F.isnan(n) & (n != float("inf"))
+    return F.when(given(v).isNotNull() & ~F.coalesce(good, F.lit(False)), F.lit(f"{name} is not a finite non-negative number"))
+
+
+def count_problem(v: Column, name: str) -> Column:
+    """Why a value is neither null nor an integer of at least 0, or NULL."""
+    return F.when(given(v).isNotNull() & ~F.coalesce(integer(v) >= 0, F.lit(False)), F.lit(f"{name} is not a non-negative integer"))
+
+
+def folded_events(saved: DataFrame) -> DataFrame:
+    """saved with ``_e``: what the events of each record give, in order of offset, folded within the record.
 
-    Raises where events do not give the saved answer or reasoning.
+    A struct of n, problem, answer, reasoning, ttfo, ttfa, last and before (the
+    reasoning up to the first answer). Nothing is exploded or shuffled.
     """
-    doc = F.col("record")
-    by_events = timing.request_timing(events_of(saved), count_tokens).withColumnsRenamed({c: f"_{c}" for c in ("answer", "reasoning", "ttfo_ms", "ttfa_ms", "last_ms", "answer_tokens")})
-    joined = saved.join(by_events, "request_id", "left")
-    none = F.col("n_events").isNull()
-    ok = record_outcome(doc) == "2xx"
-    value = lambda n: number(F.coalesce(F.try_variant_get(doc, f"$.timings.{n}", "variant"), member(doc, n)), n)
-    whole = lambda v: F.coalesce(integer(v), F.when(given(v).isNotNull(), F.raise_error(F.lit("a token count is not an integer")).cast("bigint")))
-    answer = F.coalesce(text(member(doc, "reconstructed_answer", "answer")), F.lit(""))
-    tokens = F.coalesce(whole(member(doc, "visible_answer_token_count")), whole(F.try_variant_get(doc, "$.timings.visible_answer_token_count", "variant")), F.when(answer != "", count_tokens(answer).cast("bigint")))
+
+    def one(e: Column, i: Column) -> Column:
+        at = member(e, *OFFSETS)
+        reasoning, answer = delta(e)
+        why = F.coalesce(F.when(~is_object(e), F.lit("stream_events must contain objects")), F.when(given(at).isNull(), F.lit("stream event without an offset")), number_problem(at, "stream event offset"))
+        return F.struct(F.try_variant_get(at, "$", "double").alias("at"), i.alias("i"), reasoning.alias("r"), answer.alias("a"), why.alias("why"))
+
+    events = F.try_variant_get("record", "$.stream_events", "array<variant>")
+    rows = saved.withColumn("_rows", F.array_sort(F.transform(events, one)))
+    has = lambda *names: lambda e: F.greatest(*[F.length(e[n]) for n in names]) > 0 if len(names) > 1 else F.length(e[names[0]]) > 0
+    rows = rows.withColumns({"_says": F.filter("_rows", has("a")), "_any": F.filter("_rows", has("a", "r"))})
+    first, whole = F.get("_says", F.lit(0)), lambda part, n: F.array_join(F.transform(part, lambda e: e[n]), "")
+    before = F.filter("_any", lambda e: (e["at"] < first["at"]) | ((e["at"] == first["at"]) & (e["i"] <= first["i"])))
+    found = F.struct(
+        F.coalesce(F.size("_rows"), F.lit(0)).alias("n"), F.get(F.filter(F.transform("_rows", lambda e: e["why"]), lambda w: w.isNotNull()), F.lit(0)).alias("problem"), whole("_says", "a").alias("answer"), whole("_any", "r").alias("reasoning"),
+        F.when(F.size("_says") > 0, F.get("_any", F.lit(0))["at"]).alias("ttfo"), first["at"].alias("ttfa"), F.when(F.size("_says") > 0, F.element_at("_says", F.greatest(F.size("_says"), F.lit(1)))["at"]).alias("last"), F.when(F.size("_says") > 0, whole(before, "r")).alias("before"),
+    )
+    return rows.select(*saved.columns, found.alias("_e"))
+
+
+def with_timing(saved: DataFrame, count_tokens: Callable[[Column], Column]) -> DataFrame:
+    """saved (request_id, record, ...) with TIMES: from the events of each record or, without any, from its saved times.
+
+    Raises, whatever columns are used, where events do not give the saved answer or
+    reasoning, a number is none or negative, or the record has no outcome.
+    """
+    doc, e = F.col("record"), lambda n: F.col(f"_e.{n}")
+    none = ~F.coalesce(e("n") > 0, F.lit(False))
+    timed = lambda n: F.try_variant_get(doc, f"$.timings.{n}", "variant")
+    held = lambda n: F.coalesce(timed(n), member(doc, n))
+    counted = lambda n: F.coalesce(member(doc, n), timed(n))
+    numbers = ("ttfo_ms", "ttfa_ms", "first_answer_token_ms", "last_answer_token_ms", "e2e_latency_ms", "output_tokens_per_second")
+    counts = ("visible_answer_token_count", "pre_answer_reasoning_tokens")
+    told = lambda n, got: F.when(F.coalesce(text(member(doc, n)) != e(got), F.lit(False)), F.lit(f"stream events do not give the saved {n}"))
+    problem = F.when(none, F.coalesce(*[number_problem(held(n), n) for n in numbers], *[count_problem(counted(n), n) for n in counts])).otherwise(F.coalesce(e("problem"), told("reconstructed_answer", "answer"), told("reconstructed_reasoning", "reasoning")))
+    shown = folded_events(saved).withColumn("_outcome", record_outcome(doc))
+    shown = guarded(shown, F.when(F.col("_outcome").isNull(), F.lit("no outcome")).otherwise(F.concat(problem, F.lit(" in "), F.col("request_id").cast("string"))))
+    value = lambda n: F.try_variant_get(held(n), "$", "double")
+    given_count = lambda n: integer(counted(n))
+    own_text = lambda *names: F.coalesce(text(member(doc, *names)), F.lit(""))
     first, last = F.coalesce(value("first_answer_token_ms"), value("ttfa_ms")), F.coalesce(value("last_answer_token_ms"), value("e2e_latency_ms"))
-    thought = F.coalesce(text(member(doc, "reconstructed_reasoning")), F.lit(""))
-    before = F.coalesce(whole(member(doc, "pre_answer_reasoning_tokens")), whole(F.try_variant_get(doc, "$.timings.pre_answer_reasoning_tokens", "variant")), F.when(first.isNotNull(), F.when(thought != "", count_tokens(thought).cast("bigint")).otherwise(F.lit(0))))
-    done = ok & (answer != "")
-    saved_speed = F.coalesce(value("output_tokens_per_second"), output_speed(tokens, first, last, F.lit(True)))
-    fallback = {
-        "source": F.lit("persisted_timings"), "ttfo_ms": F.when(first.isNotNull(), F.coalesce(value("ttfo_ms"), first)), "ttfa_ms": first, "pre_answer_reasoning_tokens": before,
-        "reasoning_emitted": F.when(first.isNotNull(), F.coalesce(before, F.lit(0)) > 0), "e2e_ms": F.when(done, value("e2e_latency_ms")), "last_ms": last, "answer_tokens": tokens, "speed": F.when(done, saved_speed), "answer": answer, "reasoning": thought, "complete": done,
-    }
-    told = lambda name, got: F.when(text(member(doc, name)) != F.col(got), F.raise_error(F.concat(F.lit(f"stream events do not give the saved {name} of "), F.col("request_id"))).cast("string")).otherwise(F.col(got))
-    streamed = ok & (F.col("_answer") != "")
-    count = F.when(F.col("_ttfa_ms").isNotNull(), F.when(F.col("pre_answer_reasoning") != "", count_tokens(F.col("pre_answer_reasoning")).cast("bigint")).otherwise(F.lit(0)))
-    events = {
-        "source": F.lit("stream_events"), "ttfo_ms": F.col("_ttfo_ms"), "ttfa_ms": F.col("_ttfa_ms"), "pre_answer_reasoning_tokens": count, "reasoning_emitted": count > 0, "e2e_ms": F.when(streamed, F.col("_last_ms")), "last_ms": F.col("_last_ms"),
-        "answer_tokens": F.col("_answer_tokens"), "speed": output_speed(F.col("_answer_tokens"), F.col("_ttfa_ms"), F.col("_last_ms"), streamed), "answer": told("reconstructed_answer", "_answer"), "reasoning": told("reconstructed_reasoning", "_reasoning"), "complete": streamed,
-    }
-    return joined.select("request_id", *[F.when(none, fallback[c]).otherwise(events[c]).alias(c) for c in TIMES])
+    shown = shown.withColumns({
+        "_none": none, "answer": F.when(none, own_text("reconstructed_answer", "answer")).otherwise(e("answer")), "reasoning": F.when(none, own_text("reconstructed_reasoning")).otherwise(e("reasoning")),
+        "_first": F.when(none, first).otherwise(e("ttfa")), "last_ms": F.when(none, last).otherwise(e("last")),
+    }).withColumn("_before", F.when(F.col("_none"), F.col("reasoning")).otherwise(e("before")))
+    tokens = lambda c: F.when(F.col(c) != "", count_tokens(F.col(c)).cast("bigint"))
+    started, ok = F.col("_first").isNotNull(), F.col("_outcome") == "2xx"
+    shown = shown.withColumns({"_said": tokens("answer"), "_thought": F.when(started, F.coalesce(tokens("_before"), F.lit(0)))})
+    shown = shown.withColumns({
+        "answer_tokens": F.when(F.col("_none"), F.coalesce(given_count("visible_answer_token_count"), F.col("_said"))).otherwise(F.coalesce("_said", F.lit(0))),
+        "pre_answer_reasoning_tokens": F.when(F.col("_none"), F.coalesce(given_count("pre_answer_reasoning_tokens"), F.col("_thought"))).otherwise(F.col("_thought")),
+        "complete": ok & (F.col("answer") != ""),
+    })
+    speed = output_speed(F.col("answer_tokens"), F.col("_first"), F.col("last_ms"), F.lit(True))
+    return shown.select(
+        *saved.columns, F.when(F.col("_none"), "persisted_timings").otherwise("stream_events").alias("source"), F.when(started, F.when(F.col("_none"), F.coalesce(value("ttfo_ms"), F.col("_first"))).otherwise(e("ttfo"))).alias("ttfo_ms"), F.col("_first").alias("ttfa_ms"),
+        "pre_answer_reasoning_tokens", F.when(started, F.coalesce(F.col("pre_answer_reasoning_tokens") > 0, F.lit(False))).alias("reasoning_emitted"), F.when(F.col("complete"), F.when(F.col("_none"), value("e2e_latency_ms")).otherwise(F.col("last_ms"))).alias("e2e_ms"), "last_ms", "answer_tokens",
+        F.when(F.col("complete"), F.when(F.col("_none"), F.coalesce(value("output_tokens_per_second"), speed)).otherwise(speed)).alias("speed"), "answer", "reasoning", "complete",
+    )
+
+
+def record_timing(saved: DataFrame, count_tokens: Callable[[Column], Column]) -> DataFrame:
+    """(request_id, *TIMES) of saved records (request_id, record); see with_timing."""
+    return with_timing(saved.select("request_id", "record"), count_tokens).select("request_id", *TIMES)
 
 
 def assistant_content(doc: Column) -> Column:
@@ -218,32 +269,80 @@ def aliases_of(v: Column) -> Column:
     return F.when(kind(inner) == "STRING", F.array(text(inner))).when(kind(inner).startswith("ARRAY"), many).otherwise(F.array().cast("array<string>"))
 
 
-def evaluate_records(items: DataFrame, saved: DataFrame, families: tuple[str, str, str]) -> DataFrame:
-    """(request_id, family, outcome, classification, error_type, schema_valid, correct, correct_field_count) of saved records (request_id, item_id, record).
+JUDGEMENT = ("classification", "error_type", "schema_valid", "correct", "correct_field_count")
+
+
+def with_evaluation(saved: DataFrame, items: DataFrame, families: tuple[str, str, str]) -> DataFrame:
+    """saved (request_id, item_id, record, ...) with family, outcome and JUDGEMENT, in one pass over records and items.
 
     ``items`` has item_id, family, gold (canonical JSON) and aliases (array of
     strings); ``families`` names lookup, triage and extraction. A record of another
-    family or without a provider raises; one whose request failed has its error
-    type and no evaluation.
+    family or without a provider raises, whatever columns are used; one whose
+    request failed has its error type and no evaluation. Records without an item
+    and items of other families are left out.
     """
     doc = F.col("record")
+    joined = saved.join(items.where(F.col("family").isin(*families)).select("item_id", "family", "gold", "aliases"), "item_id")
     own, by = text(member(doc, "task_family")), F.coalesce(text(member(doc, "provider")), F.lit(""))
-    # The partition's number keeps the check where it is: filters on the family would else move it below the join.
-    odd = F.when(F.spark_partition_id() >= 0, F.when(~own.eqNullSafe(F.col("family")), "family").when(by == "", "provider"))
-    wrong = F.raise_error(F.concat(F.lit("record with a wrong or missing "), odd, F.lit(": "), F.col("request_id"))).cast("string")
-    rows = saved.join(items, "item_id").select("request_id", "family", "gold", "aliases", F.when(odd.isNotNull(), wrong).otherwise(record_outcome(doc)).alias("outcome"), assistant_content(doc).alias("said"))
-    lookup, triage, extraction = (rows.where((F.col("outcome") == "2xx") & (F.col("family") == f)) for f in families)
-    gold = F.try_parse_json("gold")
-    wanted = F.coalesce(text(gold), text(member(gold, "value")), text(member(gold, "answer")))
-    parts = [
-        outcomes.evaluate_lookup(lookup.withColumn("accepted", F.concat(F.array(wanted), F.coalesce("aliases", F.array().cast("array<string>")))), "said", "accepted"),
-        outcomes.evaluate_ticket(triage.withColumn("c", text(member(gold, "category"))).withColumn("p", text(member(gold, "priority"))), "said", "c", "p"),
-        outcomes.evaluate_contract(extraction, "said", "gold"),
-    ]
-    shape = lambda df: df.select("request_id", "family", "outcome", outcomes.classification(F.col("outcome"), F.col("schema_valid"), F.col("correct")).alias("classification"), "error_type", "schema_valid", "correct", (F.col("correct_field_count") if "correct_field_count" in df.columns else F.lit(None)).cast("int").alias("correct_field_count"))
+    odd = F.when(~own.eqNullSafe(F.col("family")), "family").when(by == "", "provider")
+    rows = guarded(joined, F.concat(F.lit("record with a wrong or missing "), odd, F.lit(": "), F.col("request_id"))).withColumn("outcome", record_outcome(doc))
+    gold, ok = F.try_parse_json("gold"), F.col("outcome") == "2xx"
+    held = F.coalesce(text(gold), text(member(gold, "value")), text(member(gold, "answer")))
+    wanted = F.when(F.col("family") == families[0], F.concat(F.array(held), F.coalesce("aliases", F.array().cast("array<string>")))).when(F.col("family") == families[1], F.array(text(member(gold, "category")), text(member(gold, "priority")))).otherwise(F.array("gold"))
+    kind_ = F.when(ok, F.when(F.col("family") == families[0], "lookup").when(F.col("family") == families[1], "triage").otherwise("contract"))
+    rows = rows.withColumn("_j", outcomes.judged(kind_, F.when(ok, assistant_content(doc)), F.when(ok, wanted)))
     error = F.create_map(*[F.lit(x) for pair in FAILED.items() for x in pair])
-    failed = rows.where("outcome <> '2xx'").select("request_id", "family", "outcome", F.lit("failed_request").alias("classification"), error[F.col("outcome")].alias("error_type"), F.lit(None).cast("boolean").alias("schema_valid"), F.lit(False).alias("correct"), F.lit(None).cast("int").alias("correct_field_count"))
-    return shape(parts[0]).union(shape(parts[1])).union(shape(parts[2])).union(failed)
+    return rows.select(
+        *saved.columns, "family", "outcome", outcomes.classification(F.col("outcome"), F.col("_j.schema_valid"), F.col("_j.correct")).alias("classification"), F.when(ok, F.col("_j.error_type")).otherwise(error[F.col("outcome")]).alias("error_type"), "_j.schema_valid", F.coalesce("_j.correct", F.lit(False)).alias("correct"),
+        F.when(ok & (F.col("family") == families[2]), outcomes.field_count(F.col("_j.fields"))).alias("correct_field_count"),
+    )
+
+
+def evaluate_records(items: DataFrame, saved: DataFrame, families: tuple[str, str, str]) -> DataFrame:
+    """(request_id, family, outcome, *JUDGEMENT) of saved records; see with_evaluation."""
+    return with_evaluation(saved.select("request_id", "item_id", "record"), items, families).select("request_id", "family", "outcome", *JUDGEMENT)
+
+
+def with_usage(saved: DataFrame, prices: DataFrame) -> DataFrame:
+    """saved (provider, record, ...) with tokens_in, tokens_out, cost_usd.
+
+    Token counts are those of ``usage`` by either spelling, both or none. A cost
+    that the record holds, null too, is its cost; without the member it is priced
+    by ``prices`` (provider, price_in, price_out; per million tokens). Costs and
+    prices that are no finite numbers, or prices of 0, raise.
+    """
+    doc = F.col("record")
+    usage, cost = member(doc, "usage"), member(doc, "cost_usd")
+    count = lambda *names: F.when(integer(member(usage, *names)) >= 0, integer(member(usage, *names)))
+    into, out = count("input_tokens", "prompt_tokens"), count("output_tokens", "completion_tokens")
+    known = into.isNotNull() & out.isNotNull()
+    positive = lambda c: F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.lit(False))
+    priced = guarded(prices.select("provider", "price_in", "price_out"), F.when(~(positive("price_in") & positive("price_out")), F.concat(F.lit("no price of "), F.col("provider"))))
+    rows = guarded(saved.join(priced, "provider", "left"), number_problem(cost, "cost_usd"))
+    rows = rows.withColumns({"tokens_in": F.when(known, into), "tokens_out": F.when(known, out)})
+    paid = F.when(cost.isNotNull(), F.try_variant_get(cost, "$", "double")).otherwise(token_cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out")))
+    return rows.select(*saved.columns, "tokens_in", "tokens_out", paid.alias("cost_usd"))
+
+
+FACT = ("request_id", "round_id", "provider", "item_id", "family", "outcome", *JUDGEMENT, "invalid", *TIMES, "tokens_in", "tokens_out", "cost_usd", "compatible", "artifact_complete")
+
+
+def record_facts(saved: DataFrame, items: DataFrame, prices: DataFrame, families: tuple[str, str, str], count_tokens: Callable[[Column], Column], watch: Observation | None = None) -> DataFrame:
+    """The fact frame (FACT) of saved records (request_id, record): times, evaluation, usage, cost and flags of each, ready for ``metrics`` and ``paired``.
+
+    Items and prices are joined; records are neither exploded nor shuffled but for
+    those joins. ``watch`` counts records, records that failed, that have the known
+    failure signature, saved times in place of events, no usage and no cost, in the
+    same pass.
+    """
+    doc = F.col("record")
+    own = saved.select("request_id", "record", text(member(doc, "item_id")).alias("item_id"), F.coalesce(text(member(doc, "round_id")), integer(member(doc, "round_id")).cast("string")).alias("round_id"), text(member(doc, "provider")).alias("provider"))
+    rows = with_usage(with_timing(with_evaluation(own, items, families), count_tokens), prices)
+    rows = rows.withColumns({"invalid": F.col("classification") == "invalid_result", "compatible": record_compatible(doc), "artifact_complete": artifact_complete(doc)})
+    if watch is not None:
+        n = lambda c, name: F.count_if(c).alias(name)
+        rows = rows.observe(watch, F.count(F.lit(1)).alias("records"), n(F.col("outcome") != "2xx", "failed"), n(known_signature(doc), "normalised_failures"), n(F.col("source") != "stream_events", "saved_times"), n(F.col("tokens_in").isNull(), "without_usage"), n(F.col("cost_usd").isNull(), "without_cost"))
+    return rows.select(*FACT)
 
 
 def record_compatible(doc: Column) -> Column:
