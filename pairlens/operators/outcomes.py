@@ -20,16 +20,16 @@ CONTRACT_FIELDS = {
 }
 
 
-def terminal_outcome(status: Column, label: Column, known: Column | None = None) -> Column:
+def terminal_outcome(status: Column, label: Column, known: Column | None = None, strict: bool = True) -> Column:
     """One of OUTCOMES from an HTTP status and a terminal label.
 
     A record with the ``known`` failure signature is a transport error, whatever
     its label. Then labels that invalidate a run raise, timeouts and transport
     errors come before the status, and labels that stand for a status come last.
     A status outside 2xx, 4xx and 5xx, an HTTP error with status 2xx or none, and
-    a record without either raise.
+    a record without either raise, or with ``strict`` off are NULL.
     """
-    wrong = lambda *parts: F.raise_error(F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])).cast("string")
+    wrong = lambda *parts: F.raise_error(F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])).cast("string") if strict else F.lit(None).cast("string")
     start = F.when(F.coalesce(known, F.lit(False)), "transport_error") if known is not None else F.when(F.lit(False), "")
     found = start.when(label.isin("runner_error", "evaluator_error"), wrong("run-invalidating terminal outcome ", label)).when(label.isin("timeout", "timed_out"), "timeout").when(label.isin("transport_error", "transport-error"), "transport_error")
     found = found.when(status.between(200, 299) & (label == "http_error"), wrong("an HTTP error with a status of success")).when(status.between(200, 299), "2xx").when(status == 429, "429").when(status.between(400, 499), "other_4xx").when(status.between(500, 599), "5xx")

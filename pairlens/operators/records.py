@@ -104,12 +104,25 @@ def known_signature(doc: Column, shell: bool = False) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def record_outcome(doc: Column) -> Column:
-    """One of outcomes.OUTCOMES; contradictions and run-invalidating records raise."""
+def record_outcome(doc: Column, strict: bool = True) -> Column:
+    """One of outcomes.OUTCOMES; contradictions and run-invalidating records raise, or with ``strict`` off are NULL."""
     status = member(doc, "http_status", "status_code")
+    return _outcome_of(status, text(member(doc, "terminal_outcome", "terminal_status")), known_signature(doc), strict)
+
+
+def _outcome_of(status: Column, label: Column, known: Column, strict: bool) -> Column:
     odd = status.isNotNull() & ~kind(status).isin("BIGINT", "VOID")
-    checked = F.when(odd, F.raise_error(F.lit("http status must be an integer or null")).cast("bigint")).otherwise(integer(status))
-    return outcomes.terminal_outcome(checked, text(member(doc, "terminal_outcome", "terminal_status")), known_signature(doc))
+    why = F.raise_error(F.lit("http status must be an integer or null")) if strict else F.lit(None)
+    return F.when(odd, why.cast("string")).otherwise(outcomes.terminal_outcome(integer(status), label, known, strict))
+
+
+def with_outcome(df: DataFrame, strict: bool = True) -> DataFrame:
+    """df with ``outcome`` of its record; what it is judged by is read from the record once. A frame that has it stays."""
+    if "outcome" in df.columns:
+        return df
+    doc = F.col("record")
+    read = df.withColumns({"_status": member(doc, "http_status", "status_code"), "_label": text(member(doc, "terminal_outcome", "terminal_status")), "_known": known_signature(doc)})
+    return read.withColumn("outcome", _outcome_of(F.col("_status"), F.col("_label"), F.col("_known"), strict)).drop("_status", "_label", "_known")
 
 
 def terminal_label(status: Column) -> Column:
@@ -190,14 +203,22 @@ def folded_events(saved: DataFrame) -> DataFrame:
     reasoning up to the first answer). Nothing is exploded or shuffled.
     """
 
-    def one(e: Column, i: Column) -> Column:
-        at = member(e, *OFFSETS)
-        reasoning, answer = delta(e)
-        why = F.coalesce(F.when(~is_object(e), F.lit("stream_events must contain objects")), F.when(given(at).isNull(), F.lit("stream event without an offset")), number_problem(at, "stream event offset"))
-        return F.struct(F.try_variant_get(at, "$", "double").alias("at"), i.alias("i"), reasoning.alias("r"), answer.alias("a"), why.alias("why"))
+    def read(e: Column, i: Column) -> Column:
+        class_, inner = text(member(e, "classification", "event_type", "kind")), F.try_variant_get(member(e, "redacted_payload", "payload"), "$.choices[0].delta", "variant")
+        return F.struct(i.alias("i"), is_object(e).alias("whole"), member(e, *OFFSETS).alias("at"), class_.alias("class"), given(member(e, "content")).alias("content"), inner.alias("inner"), given(member(e, "reasoning_content")).alias("r"), given(member(e, "answer_content")).alias("a"))
+
+    def chosen(e: Column) -> Column:
+        pick = lambda n, classes, inside: F.coalesce(e[n], F.when(e["class"].isin(*classes), e["content"]), given(member(e["inner"], inside)))
+        return F.struct(e["i"].alias("i"), e["whole"].alias("whole"), e["at"].alias("at"), pick("r", REASONING_CLASSES, "reasoning_content").alias("r"), pick("a", ANSWER_CLASSES, "content").alias("a"))
+
+    def plain(e: Column) -> Column:
+        why = F.coalesce(F.when(~e["whole"], F.lit("stream_events must contain objects")), F.when(given(e["at"]).isNull(), F.lit("stream event without an offset")), number_problem(e["at"], "stream event offset"))
+        said = lambda n: F.coalesce(text(e[n]), F.lit(""))
+        return F.struct(F.try_variant_get(e["at"], "$", "double").alias("at"), e["i"].alias("i"), said("r").alias("r"), said("a").alias("a"), why.alias("why"))
 
     events = F.try_variant_get("record", "$.stream_events", "array<variant>")
-    rows = saved.withColumn("_rows", F.array_sort(F.transform(events, one)))
+    # step by step, as an expression within a lambda is evaluated wherever it stands
+    rows = saved.withColumn("_rows", F.array_sort(F.transform(F.transform(F.transform(events, read), chosen), plain)))
     has = lambda *names: lambda e: F.greatest(*[F.length(e[n]) for n in names]) > 0 if len(names) > 1 else F.length(e[names[0]]) > 0
     rows = rows.withColumns({"_says": F.filter("_rows", has("a")), "_any": F.filter("_rows", has("a", "r"))})
     first, whole = F.get("_says", F.lit(0)), lambda part, n: F.array_join(F.transform(part, lambda e: e[n]), "")
@@ -209,11 +230,12 @@ def folded_events(saved: DataFrame) -> DataFrame:
     return rows.select(*saved.columns, found.alias("_e"))
 
 
-def with_timing(saved: DataFrame, count_tokens: Callable[[Column], Column]) -> DataFrame:
+def with_timing(saved: DataFrame, count_tokens: Callable[[Column], Column], strict: bool = True) -> DataFrame:
     """saved (request_id, record, ...) with TIMES: from the events of each record or, without any, from its saved times.
 
     Raises, whatever columns are used, where events do not give the saved answer or
-    reasoning, a number is none or negative, or the record has no outcome.
+    reasoning, a number is none or negative, or the record has no outcome. With
+    ``strict`` off nothing raises and ``problem`` says what would have.
     """
     doc, e = F.col("record"), lambda n: F.col(f"_e.{n}")
     none = ~F.coalesce(e("n") > 0, F.lit(False))
@@ -224,8 +246,9 @@ def with_timing(saved: DataFrame, count_tokens: Callable[[Column], Column]) -> D
     counts = ("visible_answer_token_count", "pre_answer_reasoning_tokens")
     told = lambda n, got: F.when(F.coalesce(text(member(doc, n)) != e(got), F.lit(False)), F.lit(f"stream events do not give the saved {n}"))
     problem = F.when(none, F.coalesce(*[number_problem(held(n), n) for n in numbers], *[count_problem(counted(n), n) for n in counts])).otherwise(F.coalesce(e("problem"), told("reconstructed_answer", "answer"), told("reconstructed_reasoning", "reasoning")))
-    shown = folded_events(saved).withColumn("_outcome", record_outcome(doc))
-    shown = guarded(shown, F.when(F.col("_outcome").isNull(), F.lit("no outcome")).otherwise(F.concat(problem, F.lit(" in "), F.col("request_id").cast("string"))))
+    shown = with_outcome(folded_events(saved), strict).withColumn("_outcome", F.col("outcome"))
+    problem = F.when(F.col("_outcome").isNull(), F.lit("no outcome")).otherwise(problem)
+    shown = guarded(shown, F.concat(problem, F.lit(" in "), F.col("request_id").cast("string"))) if strict else shown.withColumn("problem", problem)
     value = lambda n: F.try_variant_get(held(n), "$", "double")
     given_count = lambda n: integer(counted(n))
     own_text = lambda *names: F.coalesce(text(member(doc, *names)), F.lit(""))
@@ -246,7 +269,7 @@ def with_timing(saved: DataFrame, count_tokens: Callable[[Column], Column]) -> D
     return shown.select(
         *saved.columns, F.when(F.col("_none"), "persisted_timings").otherwise("stream_events").alias("source"), F.when(started, F.when(F.col("_none"), F.coalesce(value("ttfo_ms"), F.col("_first"))).otherwise(e("ttfo"))).alias("ttfo_ms"), F.col("_first").alias("ttfa_ms"),
         "pre_answer_reasoning_tokens", F.when(started, F.coalesce(F.col("pre_answer_reasoning_tokens") > 0, F.lit(False))).alias("reasoning_emitted"), F.when(F.col("complete"), F.when(F.col("_none"), value("e2e_latency_ms")).otherwise(F.col("last_ms"))).alias("e2e_ms"), "last_ms", "answer_tokens",
-        F.when(F.col("complete"), F.when(F.col("_none"), F.coalesce(value("output_tokens_per_second"), speed)).otherwise(speed)).alias("speed"), "answer", "reasoning", "complete",
+        F.when(F.col("complete"), F.when(F.col("_none"), F.coalesce(value("output_tokens_per_second"), speed)).otherwise(speed)).alias("speed"), "answer", "reasoning", "complete", *([] if strict else ["problem"]),
     )
 
 
@@ -272,20 +295,22 @@ def aliases_of(v: Column) -> Column:
 JUDGEMENT = ("classification", "error_type", "schema_valid", "correct", "correct_field_count")
 
 
-def with_evaluation(saved: DataFrame, items: DataFrame, families: tuple[str, str, str]) -> DataFrame:
+def with_evaluation(saved: DataFrame, items: DataFrame, families: tuple[str, str, str], strict: bool = True) -> DataFrame:
     """saved (request_id, item_id, record, ...) with family, outcome and JUDGEMENT, in one pass over records and items.
 
     ``items`` has item_id, family, gold (canonical JSON) and aliases (array of
     strings); ``families`` names lookup, triage and extraction. A record of another
     family or without a provider raises, whatever columns are used; one whose
     request failed has its error type and no evaluation. Records without an item
-    and items of other families are left out.
+    and items of other families are left out. With ``strict`` off a record without
+    an outcome counts as failed and does not raise.
     """
     doc = F.col("record")
     joined = saved.join(items.where(F.col("family").isin(*families)).select("item_id", "family", "gold", "aliases"), "item_id")
     own, by = text(member(doc, "task_family")), F.coalesce(text(member(doc, "provider")), F.lit(""))
     odd = F.when(~own.eqNullSafe(F.col("family")), "family").when(by == "", "provider")
-    rows = guarded(joined, F.concat(F.lit("record with a wrong or missing "), odd, F.lit(": "), F.col("request_id"))).withColumn("outcome", record_outcome(doc))
+    rows = guarded(joined, F.concat(F.lit("record with a wrong or missing "), odd, F.lit(": "), F.col("request_id")))
+    rows = with_outcome(rows, strict)
     gold, ok = F.try_parse_json("gold"), F.col("outcome") == "2xx"
     held = F.coalesce(text(gold), text(member(gold, "value")), text(member(gold, "answer")))
     wanted = F.when(F.col("family") == families[0], F.concat(F.array(held), F.coalesce("aliases", F.array().cast("array<string>")))).when(F.col("family") == families[1], F.array(text(member(gold, "category")), text(member(gold, "priority")))).otherwise(F.array("gold"))
@@ -327,22 +352,23 @@ def with_usage(saved: DataFrame, prices: DataFrame) -> DataFrame:
 FACT = ("request_id", "round_id", "provider", "item_id", "family", "outcome", *JUDGEMENT, "invalid", *TIMES, "tokens_in", "tokens_out", "cost_usd", "compatible", "artifact_complete")
 
 
-def record_facts(saved: DataFrame, items: DataFrame, prices: DataFrame, families: tuple[str, str, str], count_tokens: Callable[[Column], Column], watch: Observation | None = None) -> DataFrame:
+def record_facts(saved: DataFrame, items: DataFrame, prices: DataFrame, families: tuple[str, str, str], count_tokens: Callable[[Column], Column], watch: Observation | None = None, strict: bool = True) -> DataFrame:
     """The fact frame (FACT) of saved records (request_id, record): times, evaluation, usage, cost and flags of each, ready for ``metrics`` and ``paired``.
 
     Items and prices are joined; records are neither exploded nor shuffled but for
     those joins. ``watch`` counts records, records that failed, that have the known
     failure signature, saved times in place of events, no usage and no cost, in the
-    same pass.
+    same pass. With ``strict`` off, for audits, ``problem`` and ``record`` come too
+    and records whose times cannot be derived do not raise.
     """
     doc = F.col("record")
     own = saved.select("request_id", "record", text(member(doc, "item_id")).alias("item_id"), F.coalesce(text(member(doc, "round_id")), integer(member(doc, "round_id")).cast("string")).alias("round_id"), text(member(doc, "provider")).alias("provider"))
-    rows = with_usage(with_timing(with_evaluation(own, items, families), count_tokens), prices)
+    rows = with_usage(with_timing(with_evaluation(own, items, families, strict), count_tokens, strict), prices)
     rows = rows.withColumns({"invalid": F.col("classification") == "invalid_result", "compatible": record_compatible(doc), "artifact_complete": artifact_complete(doc)})
     if watch is not None:
         n = lambda c, name: F.count_if(c).alias(name)
         rows = rows.observe(watch, F.count(F.lit(1)).alias("records"), n(F.col("outcome") != "2xx", "failed"), n(known_signature(doc), "normalised_failures"), n(F.col("source") != "stream_events", "saved_times"), n(F.col("tokens_in").isNull(), "without_usage"), n(F.col("cost_usd").isNull(), "without_cost"))
-    return rows.select(*FACT)
+    return rows.select(*FACT, *([] if strict else ["problem", "record"]))
 
 
 def record_compatible(doc: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,15 +155,18 @@ def audit(pairs: dict[str, tuple[DataFrame, DataFrame, list[str], list[str]]], c
 PARTS = {"stream_events_reconstruct_final_answers": "reconstruction", "evaluations_recompute_from_raw_results": "evaluations", "timing_metrics_recompute_from_raw_stream_events": "timings", "aggregate_metrics_recompute_exactly": "metrics", "paired_comparisons_recompute_exactly": "paired", "every_observed_reasoning_stream_is_timed_separately_from_answer_content": "channels"}
 
 
-def _found(violations: DataFrame) -> DataFrame:
-    return violations.agg(*[(F.count_if(F.col("part") == p) == 0).alias(c) for c, p in PARTS.items()])
+def _found(violations: DataFrame, parts: Iterable[str]) -> DataFrame:
+    """A condition for each part: it was audited and nothing was found."""
+    looked = frozenset(parts)
+    return violations.agg(*[((F.count_if(F.col("part") == p) == 0) & F.lit(p in looked)).alias(c) for c, p in PARTS.items()])
 
 
-def smoke_acceptance(records: DataFrame, expected: DataFrame, compatibility: DataFrame, violations: DataFrame, requests: int) -> DataFrame:
+def smoke_acceptance(records: DataFrame, expected: DataFrame, compatibility: DataFrame, violations: DataFrame, requests: int, parts: Iterable[str]) -> DataFrame:
     """One row: three counters that must be 0, twelve conditions, and ``accepted``.
 
     ``records`` has provider, family, terminal_outcome, status, answer and
-    schema_valid; ``expected`` has each (provider, family) that must stand in them.
+    schema_valid; ``expected`` has each (provider, family) that must stand in them;
+    ``parts`` are those that ``violations`` come from: a part that is missing fails.
     """
     pair = records.groupBy("provider", "family").agg(
         F.bool_or(F.coalesce(F.col("terminal_outcome") == "completed", F.lit(False))).alias("done"), F.bool_or(F.coalesce(F.col("status").between(200, 299), F.lit(False))).alias("good"), F.bool_or(F.coalesce(F.trim("answer") != "", F.lit(False))).alias("said"),
@@ -175,20 +179,21 @@ def smoke_acceptance(records: DataFrame, expected: DataFrame, compatibility: Dat
         ((F.count(F.lit(1)) == requests) & all_("schema_valid")).alias("every_provider_returns_schema_valid_result_per_task_family"),
     )
     fits = compatibility.agg(all_("compatible").alias("every_provider_uses_intended_model_and_compatible_configuration"))
-    out = rows.crossJoin(F.broadcast(by_pair)).crossJoin(F.broadcast(fits)).crossJoin(F.broadcast(_found(violations)))
+    out = rows.crossJoin(F.broadcast(by_pair)).crossJoin(F.broadcast(fits)).crossJoin(F.broadcast(_found(violations, parts)))
     good = (F.col("runner_errors") == 0) & (F.col("local_artifact_errors") == 0) & (F.col("database_writes") == 0)
     for c, k in out.dtypes:
         good = good & F.col(c) if k == "boolean" else good
     return out.withColumn("accepted", good)
 
 
-def full_success(scheduled: DataFrame, completeness: DataFrame, compatibility: DataFrame, violations: DataFrame) -> DataFrame:
+def full_success(scheduled: DataFrame, completeness: DataFrame, compatibility: DataFrame, violations: DataFrame, parts: Iterable[str]) -> DataFrame:
     """One row: whether all units are recorded and evaluated, all providers compatible, and nothing violated, part by part and together.
 
-    ``scheduled`` has recorded and evaluated, two booleans, for each unit.
+    ``scheduled`` has recorded and evaluated, two booleans, for each unit; ``parts``
+    are those that ``violations`` come from: a part that is missing fails.
     """
     whole = scheduled.agg(F.coalesce(F.bool_and(F.col("recorded") & F.col("evaluated")), F.lit(True)).alias("all")).crossJoin(F.broadcast(completeness.agg(F.bool_and("complete").alias("complete"))))
-    out = whole.select((F.col("all") & F.col("complete")).alias("artifact_graph_complete")).crossJoin(F.broadcast(compatibility.agg(F.bool_and("compatible").alias("provider_configuration_compatible")))).crossJoin(F.broadcast(_found(violations)))
+    out = whole.select((F.col("all") & F.col("complete")).alias("artifact_graph_complete")).crossJoin(F.broadcast(compatibility.agg(F.bool_and("compatible").alias("provider_configuration_compatible")))).crossJoin(F.broadcast(_found(violations, parts)))
     good = F.lit(True)
     for c in out.columns:
         good = good & F.col(c)

@@ -38,8 +38,8 @@ def saved_records(spark, sf_dir):
     said = F.when(k == 4, INVALID).when(k > 4, _by_family(RIGHT)).otherwise(_by_family(WRONG))
     thought = F.expr("repeat('r ', k % 3)")
     event = lambda at, name, t: F.struct(at.alias("offset_ms"), (t if name == "reasoning_content" else F.lit(None).cast("string")).alias("reasoning_content"), (t if name == "answer_content" else F.lit(None).cast("string")).alias("answer_content"))
-    parts = [event(v, "answer_content", F.substring(said, 6, 1000)), event(v * 0.5, "answer_content", F.substring(said, 1, 5)), event(v * 0.25, "reasoning_content", thought)]
-    events = F.when(ok & ~by_times, F.filter(F.array(*parts), lambda e: (F.coalesce(e["answer_content"], e["reasoning_content"]) != "")))
+    parts = F.array(event(v * 0.25, "reasoning_content", thought), event(v * 0.5, "answer_content", F.substring(said, 1, 5)), event(v, "answer_content", F.substring(said, 6, 1000)))
+    events = F.when(ok & ~by_times, F.filter(F.when(v > 0, F.reverse(parts)).otherwise(parts), lambda e: (F.coalesce(e["answer_content"], e["reasoning_content"]) != "")))
     timings = F.when(ok & by_times, F.struct(F.when(k % 3 > 0, v * 0.25).alias("ttfo_ms"), (v * 0.5).alias("ttfa_ms"), v.alias("e2e_latency_ms"), (k % 3).alias("pre_answer_reasoning_tokens")))
     status = F.when(ok, 200).when(F.col("outcome") == "429", 429).when(F.col("outcome") == "5xx", 503)
     number = lambda f, c: F.when(seq % 4 == f, c)

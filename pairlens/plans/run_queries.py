@@ -107,24 +107,27 @@ def full_audit(spark, sf_dir):
 @query("smoke_acceptance", f"""{FACT}, p AS (SELECT provider, family, bool_or(outcome = '2xx') AS done, bool_or(outcome = '2xx' AND k % 50 > 0) AS said FROM fact GROUP BY ALL), t AS (SELECT bool_and(done) AS done, bool_and(said) AS said FROM p)
 SELECT 0::BIGINT AS runner_errors, 0 AS local_artifact_errors, 0 AS database_writes, true AS raw_result_count_matches_submitted_request_count, (SELECT bool_and(outcome = '2xx' AND NOT invalid) FROM fact) AS every_provider_returns_schema_valid_result_per_task_family,
  done AS every_provider_completes_at_least_one_request_per_task_family, done AS every_provider_returns_http_2xx_per_task_family, said AS every_provider_returns_nonempty_answer_content_per_task_family, true AS every_provider_uses_intended_model_and_compatible_configuration,
- true AS stream_events_reconstruct_final_answers, false AS evaluations_recompute_from_raw_results, false AS timing_metrics_recompute_from_raw_stream_events, false AS aggregate_metrics_recompute_exactly, true AS paired_comparisons_recompute_exactly, false AS every_observed_reasoning_stream_is_timed_separately_from_answer_content, false AS accepted FROM t""")
+ false AS stream_events_reconstruct_final_answers, false AS evaluations_recompute_from_raw_results, false AS timing_metrics_recompute_from_raw_stream_events, false AS aggregate_metrics_recompute_exactly, true AS paired_comparisons_recompute_exactly, false AS every_observed_reasoning_stream_is_timed_separately_from_answer_content, false AS accepted FROM t""")
 def smoke_acceptance(spark, sf_dir):
     fact = request_facts(spark, sf_dir)
     ok = F.col("outcome") == "2xx"
     rows = fact.select("provider", "family", F.when(ok, "completed").otherwise("http_error").alias("terminal_outcome"), F.when(ok, 200).alias("status"), F.when(ok & (F.col("k") % 50 > 0), "said").otherwise(" ").alias("answer"), (ok & ~F.col("invalid")).alias("schema_valid"))
     expected = spark.range(10).select(F.concat(F.lit("arm"), F.col("id").cast("string")).alias("provider"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("family"))
     fits = expected.select("provider").distinct().withColumn("compatible", F.lit(True))
-    return runs.smoke_acceptance(rows, expected, fits, _violations(spark, sf_dir), 10 * _rounds(spark, sf_dir))
+    return runs.smoke_acceptance(rows, expected, fits, _violations(spark, sf_dir), 10 * _rounds(spark, sf_dir), ("evaluations", "timings", "metrics", "paired", "channels"))
 
 
 @query("full_success", f"{FACT} SELECT count_if(provider = 'arm6' AND k < 2) = 0 AS artifact_graph_complete, true AS provider_configuration_compatible, true AS stream_events_reconstruct_final_answers, true AS evaluations_recompute_from_raw_results, true AS timing_metrics_recompute_from_raw_stream_events, true AS aggregate_metrics_recompute_exactly, true AS paired_comparisons_recompute_exactly, true AS every_observed_reasoning_stream_is_timed_separately_from_answer_content, count_if(provider = 'arm6' AND k < 2) = 0 AS success FROM attempts")
 def full_success(spark, sf_dir):
+    from .audit_queries import audited
+
+    found = audited(spark, sf_dir, False)
     a = attempts(spark, sf_dir)
     judged = a.where("not (provider = 'arm6' and k < 2)")
     arms = _arms(spark).where("provider <> 'arm10'")
     n = _rounds(spark, sf_dir)
     scheduled = a.select("seq", F.lit(True).alias("recorded")).join(judged.select("seq", F.lit(True).alias("evaluated")), "seq", "left").fillna(False, ["evaluated"])
-    return runs.full_success(scheduled, runs.artifact_completeness(a, judged, arms, n), arms.withColumn("compatible", F.lit(True)), _violations(spark, sf_dir).where("false"))
+    return runs.full_success(scheduled, runs.artifact_completeness(a, judged, arms, n), arms.withColumn("compatible", F.lit(True)), found.violations, found.parts)
 
 
 @query("run_manifest", f"{FACT} SELECT {EXPECTED}::INT AS expected_rounds, 10 * {EXPECTED}::INT AS expected_requests, count(*) AS raw_records, min(lpad(seq::VARCHAR, 9, '0')) AS started_at, max(lpad((seq + k)::VARCHAR, 9, '0')) AS completed_at, count(*) AS evaluation_records, count_if(outcome = '2xx' AND NOT invalid) AS valid_records, count_if(invalid) AS invalid_records, count_if(outcome <> '2xx') AS failed_records FROM fact")
