@@ -10,12 +10,19 @@ UPPER = {"p50": "0.5D", "p95": "0.95D", "p99": "0.99D"}
 LOWER = {"p50": "0.5D", "p95": "1D - 0.95D", "p99": "1D - 0.99D"}
 
 
+def rank_of(quantile: str) -> float:
+    """A quantile as the double that Spark reads."""
+    first, *rest = (float(x.strip().rstrip("D")) for x in quantile.split("-"))
+    return first - sum(rest)
+
+
 def nearest_rank(column: str, quantile: str) -> Column:
     """The value at one-based rank ceil(quantile * n) of the non-null values, null without any."""
     return F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY {column})")
 
 
 def percentiles(column: str, prefix: str, lower_tail: bool = False) -> list[Column]:
+    """Percentiles of groups whose distinct values fit a task; see ``selection`` for those of any size."""
     return [nearest_rank(column, q).alias(f"{prefix}_{label}") for label, q in (LOWER if lower_tail else UPPER).items()]
 
 

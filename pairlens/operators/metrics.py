@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions.stats import finite, percentiles, ratio, reasons
+from pairlens.functions.stats import LOWER, UPPER, finite, ratio, reasons, rank_of
+from pairlens.operators.selection import exact_percentiles
 
 #: Measures, and whether their percentiles are those of the lower tail.
 MEASURES = {"ttfo_ms": False, "ttfa_ms": False, "pre_answer_reasoning_tokens": False, "e2e_ms": False, "speed": True}
@@ -26,8 +27,6 @@ def _aggregates() -> list[Column]:
     out = [one.alias("submitted"), F.count_if(F.col("correct")).alias("correct_count"), F.count_if(failed).alias("failed_count"), F.count_if(F.col("invalid")).alias("invalid_count")]
     out += [F.count_if(~failed & ~F.coalesce("invalid", F.lit(False)) & ~F.coalesce("correct", F.lit(False))).alias("incorrect_count"), F.count_if("reasoning_emitted").alias("reasoning_count")]
     out += [F.count_if(F.col("outcome") == o).alias(f"{n}_count") for o, n in FAILURES.items()]
-    for m, lower in MEASURES.items():
-        out += [F.count(m).alias(f"{m}_population"), *percentiles(m, m, lower)]
     known = F.col("tokens_in").isNotNull() & F.col("tokens_out").isNotNull()
     return [*out, F.sum(F.when(known, F.col("tokens_in"))).alias("tokens_in"), F.sum(F.when(known, F.col("tokens_out"))).alias("tokens_out"), F.count_if(known).alias("usage_rows"), F.count("cost_usd").alias("cost_rows"), F.round(F.sum("cost_usd"), 6).alias("known_cost_usd")]
 
@@ -41,14 +40,26 @@ def _checked(fact: DataFrame) -> DataFrame:
     return fact.withColumns({m: finite(F.col(m), m) for m in (*MEASURES, "cost_usd")})
 
 
+def _grouped(fact: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Counts, sums and percentiles by group; percentiles by selection, so a group may be of any size."""
+    rows = _checked(fact)
+    counts = rows.groupBy(*keys).agg(*_aggregates(), *more)
+    wanted = {m: {k: rank_of(q) for k, q in (LOWER if lower else UPPER).items()} for m, lower in MEASURES.items()}
+    found = exact_percentiles(rows.select(*keys, *[F.col(m).cast("double").alias(m) for m in MEASURES]), keys, wanted)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}"))
+    return counts.alias("c").join(found.alias("p"), same).select("c.*", *[F.col(f"p.{c}").alias(c) for c in found.columns if c not in keys])
+
+
 def family_metrics(fact: DataFrame) -> DataFrame:
-    return _rates(_checked(fact).groupBy("provider", "family").agg(*_aggregates()))
+    return _rates(_grouped(fact, ["provider", "family"]))
 
 
 def combined_metrics(fact: DataFrame, families: list, min_success: float = 0.95, max_failure: float = 0.01) -> DataFrame:
     """Pooled over families: percentiles rank the raw samples of all of them again."""
     sizes = [F.count_if(F.col("family").eqNullSafe(F.lit(f))).alias(f"_n{i}") for i, f in enumerate(families)]
-    pooled = _rates(_checked(fact).groupBy("provider").agg(*_aggregates(), *sizes, F.count_if(~F.coalesce(F.col("family").isin(*families), F.lit(False))).alias("_other")))
+    pooled = _rates(_grouped(fact, ["provider"], *sizes, F.count_if(~F.coalesce(F.col("family").isin(*families), F.lit(False))).alias("_other")))
     n = F.array(*[F.col(f"_n{i}") for i in range(len(families))])
     missing = F.filter(F.array(*[F.when(F.col(f"_n{i}") == 0, F.lit(f)) for i, f in enumerate(families)]), lambda x: x.isNotNull())
     joined = pooled.withColumn("missing_families", missing).withColumn("balanced", (F.array_min(n) > 0) & (F.array_min(n) == F.array_max(n)) & (F.col("_other") == 0)).drop("_other", *[f"_n{i}" for i in range(len(families))])

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.stats import percentiles, ratio
+from pairlens.functions.stats import UPPER, rank_of, ratio
+from pairlens.operators.selection import exact_percentiles
 
 #: Fixed texts of the result contract.
 INCOMPATIBLE = "incompatible model or request configuration"
@@ -84,7 +85,7 @@ def pairwise(fact: DataFrame, measure: str, eligible: DataFrame | None = None) -
     total = rounds.agg(F.count(F.lit(1)).alias("total_round_count"))
     later = lambda x: F.transform(F.filter("present", lambda y: y["provider"] > x["provider"]), lambda y: F.struct(x["provider"].alias("provider_a"), y["provider"].alias("provider_b"), (x["v"] - y["v"]).alias("difference")))
     differences = rounds.select(F.inline(F.flatten(F.transform("present", later))))
-    found = differences.groupBy("provider_a", "provider_b").agg(F.count(F.lit(1)).alias("paired_count"), *percentiles("difference", "difference"))
+    found = exact_percentiles(differences, ["provider_a", "provider_b"], {"difference": {k: rank_of(q) for k, q in UPPER.items()}}).withColumnRenamed("difference_population", "paired_count")
     names = _providers(fact, eligible)
     reasons = lambda: F.transform("exclusion_reasons", lambda r: F.concat("provider", F.lit(": "), r))
     side = lambda s: names.select(F.col("provider").alias(f"provider_{s}"), F.col("eligible").alias(f"may_{s}"), reasons().alias(f"why_{s}"))

@@ -133,3 +133,26 @@ def request_deadlines(spark, sf_dir):
     c = _stream(spark, sf_dir, "conversations").join(last, F.col("conv_id") == F.col("c"))
     events = c.select(F.col("conv_id").cast("string").alias("request_id"), (F.col("turn") * 7000.0).alias("offset_ms"), (F.col("turn") == F.col("last")).alias("done"))
     return st.run_to_files(st.deadlines(events), f"t{uuid.uuid4().hex}")
+
+
+@query("timed_deadlines_stream", """WITH e AS (SELECT conv_id, turn * 7000.0 AS ms, turn = max(turn) OVER (PARTITION BY conv_id) AS done FROM conversations), w AS (SELECT max(conv_id * 1000 + ms) - 10000 AS mark FROM e)
+SELECT conv_id::VARCHAR AS request_id, CASE WHEN count_if(done AND ms < 20500) > 0 THEN 'completed' ELSE 'timeout' END AS outcome, count_if(ms < 20500) AS events, count_if(ms >= 20500) AS rejected FROM e, w WHERE conv_id * 1000 + 20500 < mark GROUP BY 1""")
+def timed_deadlines(spark, sf_dir):
+    """A request a second, its turns seven seconds apart; those whose deadline the watermark has passed."""
+    last = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
+    c = _stream(spark, sf_dir, "conversations").join(last, F.col("conv_id") == F.col("c"))
+    at = F.col("turn") * 7000
+    events = c.select(F.col("conv_id").cast("string").alias("request_id"), at.cast("double").alias("offset_ms"), (F.col("turn") == F.col("last")).alias("done"), F.timestamp_millis(F.col("conv_id") * 1000 + at + 1_000_000).alias("event_time"))
+    return st.run_to_files(st.timed_deadlines(events, limit_ms=20_500.0), f"t{uuid.uuid4().hex}")
+
+
+@query("sse_framing_stream", "SELECT conv_id::VARCHAR AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame, md5(text) AS data_md5, 1::BIGINT AS comments FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
+def sse_framing_stream(spark, sf_dir):
+    """Turns as events of three chunks that are cut after the seventh character and in the middle."""
+    said = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("data: "), x, F.lit("\n"))), "")
+    c = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(": ping\n"), said, F.lit("\n")).alias("t"))
+    half = (F.length("t") / 2).cast("int")
+    parts = F.array(F.substring("t", 1, 7), F.substr("t", F.lit(8), half), F.substr("t", half + 8))
+    chunks = c.select(F.col("conv_id").cast("string").alias("request_id"), "turn", F.posexplode(parts).alias("i", "chunk")).select("request_id", (F.col("turn") * 3 + F.col("i")).alias("turn"), "chunk", F.timestamp_seconds(F.lit(1000)).alias("event_time"))
+    framed = st.run_to_files(st.framed_chunks(chunks), f"t{uuid.uuid4().hex}")
+    return framed.select("request_id", "frame", F.md5(F.col("data").cast("binary")).alias("data_md5"), "comments")
