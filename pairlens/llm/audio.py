@@ -221,8 +221,17 @@ def align_recordings(prints: DataFrame, is_query: Column, max_error: float = 0.0
     return rest.join(found, "id", "left")
 
 
-def render_tones(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4000, samples: int = 250) -> DataFrame:
-    """(id, audio): each value of a vector sounds as one tone of five octaves' notes, loudness rising with its size."""
+def with_echoes(vectors: DataFrame, id_col: str, vector_col: str, every: int = 20, after: int = 7) -> DataFrame:
+    """(id, v, noisy): the vectors, where that of every id n * every + after goes on from the last two thirds of the vector of n * every into the first third of its own. ``noisy`` marks those."""
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    source = own.where(F.col("id") % every == 0).groupBy((F.col("id") + after).alias("id")).agg(F.min("v").alias("s"))
+    third = F.greatest((F.size("s") / 3).cast("int"), F.lit(0))
+    echo = F.concat(F.slice("s", third + 1, F.greatest(F.size("s") - third, F.lit(0))), F.slice("v", F.lit(1), third))
+    return own.join(source, "id", "left").select("id", F.when(F.col("s").isNotNull() & F.col("v").isNotNull(), echo).otherwise(F.col("v")).alias("v"), (F.col("s").isNotNull() & F.col("v").isNotNull()).alias("noisy"))
+
+
+def render_tones(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4000, samples: int = 250, noisy: str | None = None) -> DataFrame:
+    """(id, audio): each value of a vector sounds as one tone of five octaves' notes, loudness rising with its size; where the column ``noisy`` is true, under noise of a thirtieth of that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.arange(samples) / rate
@@ -231,10 +240,14 @@ def render_tones(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 out = []
-                for v in part.column(1):
+                for v, loud in zip(part.column(1), part.column(2).to_pylist(), strict=True):
                     x = np.nan_to_num(np.array(v.as_py() or [], np.float64).astype(float))
                     note = np.clip(np.round(24 + 80 * x), 0, 47).astype(int)
-                    out.append((tones[note] * 20000).astype("<i2").tobytes())
+                    sound = tones[note] * 20000
+                    if loud:
+                        sound = sound + np.random.default_rng(len(sound)).uniform(-700, 700, sound.shape)
+                    out.append(sound.astype("<i2").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["id", "audio"])
 
-    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, f"id {vectors.schema[id_col].dataType.simpleString()}, audio binary")
+    loud = F.lit(False) if noisy is None else F.coalesce(noisy, F.lit(False))
+    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), loud.alias("loud")).mapInArrow(run, f"id {vectors.schema[id_col].dataType.simpleString()}, audio binary")

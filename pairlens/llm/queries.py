@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .audio import align_recordings, fingerprint_audio, render_tones
+from .audio import align_recordings, fingerprint_audio, render_tones, with_echoes
 from .collocations import collocations
 from .conversation_trie import conversation_trie
 from .fingerprints import as_hex, fingerprint_documents
@@ -90,7 +90,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audio = render_tones(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    """Every id of rest 7 by 20 is a cut, shifted and noisy copy of the query seven before it."""
+    vectors = with_echoes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    audio = render_tones(vectors, "id", "v", noisy="noisy")
     return align_recordings(fingerprint_audio(audio, "id", "audio"), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
 

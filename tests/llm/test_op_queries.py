@@ -150,3 +150,8 @@ def test_op5(spark):
     got, rows = run(spark, "op5_audio", "vec_id")
     assert len(rows) == pq.read_metadata(f"{SF}/embeddings.parquet").num_rows
     assert all((r.n_links is not None) == (i % 20 == 0) for i, r in got.items() if r.n_codes)
+    # each query has one planted copy, seven ids on, from a third of it on; nothing else is alike
+    asked = [i for i in got if i % 20 == 0 and i + 7 in got]
+    found = [i for i in asked if got[i].n_links and got[i].best_match == got[i + 7].class_id]
+    assert len(asked) > 5 and len(found) >= 0.9 * len(asked) and sum(r.n_links or 0 for r in rows) <= 1.1 * len(asked)
+    assert all(got[i].best_offset != 0 for i in found)
