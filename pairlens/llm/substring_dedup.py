@@ -383,8 +383,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``record`` in place of the id.
 
     Fingerprints that prune have 32 bits beyond their bucket's number and decide
-    nothing else. Suffixes are ordered and compared by all their symbols.
+    nothing else. Suffixes are ordered and compared by all their symbols, of 32 bits
+    each; runs of one or two words would have too few of them and are refused.
     """
+    if min_words < 3:
+        raise ValueError("min_words must be at least 3")
     spark = docs.sparkSession
     bound_batches(spark)
     n, size = text_bytes(docs, text_col)

@@ -164,6 +164,8 @@ def test_substring_dedup_awkward(spark, odd, nothing):
     got = substring_dedup.remove_repeats(odd, min_words=3).collect()
     assert len(got) == odd.count() and sum(r.doc_id is None for r in got) == 2
     assert substring_dedup.remove_repeats(nothing, min_words=3).collect() == []
+    with pytest.raises(ValueError, match="at least 3"):
+        substring_dedup.remove_repeats(odd, min_words=2)
     top = spark.createDataFrame([(2**63 - 1, "a b c d"), (None, "a b c d"), (-(2**63), "a b c")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.remove_repeats(top, min_words=3).collect()) == [(-(2**63), 0), (0, 3), (2**63 - 1, 3)]
     clash = odd.selectExpr("*", "doc_id AS id", "1 AS key", "2 AS part", "text AS record", "map(1, 2) AS `a.b`")
