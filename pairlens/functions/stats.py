@@ -26,6 +26,11 @@ def percentiles(column: str, prefix: str, lower_tail: bool = False) -> list[Colu
     return [nearest_rank(column, q).alias(f"{prefix}_{label}") for label, q in (LOWER if lower_tail else UPPER).items()]
 
 
+def percentile_array(column: str, lower_tail: bool = False) -> Column:
+    """The three of ``percentiles`` as one array, from one count of the values."""
+    return F.expr(f"percentile_disc(array({', '.join((LOWER if lower_tail else UPPER).values())})) WITHIN GROUP (ORDER BY {column})")
+
+
 def ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den, F.lit(0))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions.stats import LOWER, UPPER, finite, ratio, reasons, rank_of
+from pairlens.functions.stats import LOWER, UPPER, finite, percentile_array, rank_of, ratio, reasons
 from pairlens.operators.selection import exact_percentiles
 
 #: Measures, and whether their percentiles are those of the lower tail.
@@ -40,9 +40,13 @@ def _checked(fact: DataFrame) -> DataFrame:
     return fact.withColumns({m: finite(F.col(m), m) for m in (*MEASURES, "cost_usd")})
 
 
-def _grouped(fact: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """Counts, sums and percentiles by group; percentiles by selection, so a group may be of any size."""
+def _grouped(fact: DataFrame, keys: list[str], large: bool, *more: Column) -> DataFrame:
+    """Counts, sums and percentiles by group. Percentiles from one count of values a measure and group, or for large groups by selection."""
     rows = _checked(fact)
+    if not large:
+        found = [c for m, lower in MEASURES.items() for c in (F.count(m).alias(f"{m}_population"), percentile_array(m, lower).alias(f"_{m}"))]
+        counts = rows.groupBy(*keys).agg(*_aggregates(), *found, *more)
+        return counts.withColumns({f"{m}_{k}": F.get(f"_{m}", F.lit(i)).cast("double") for m in MEASURES for i, k in enumerate(UPPER)}).drop(*[f"_{m}" for m in MEASURES])
     counts = rows.groupBy(*keys).agg(*_aggregates(), *more)
     wanted = {m: {k: rank_of(q) for k, q in (LOWER if lower else UPPER).items()} for m, lower in MEASURES.items()}
     found = exact_percentiles(rows.select(*keys, *[F.col(m).cast("double").alias(m) for m in MEASURES]), keys, wanted)
@@ -52,14 +56,15 @@ def _grouped(fact: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return counts.alias("c").join(found.alias("p"), same).select("c.*", *[F.col(f"p.{c}").alias(c) for c in found.columns if c not in keys])
 
 
-def family_metrics(fact: DataFrame) -> DataFrame:
-    return _rates(_grouped(fact, ["provider", "family"]))
+def family_metrics(fact: DataFrame, large: bool = False) -> DataFrame:
+    """Metrics by provider and family. ``large``: for groups whose distinct values do not fit a task; the rows are the same, from more passes over the facts."""
+    return _rates(_grouped(fact, ["provider", "family"], large))
 
 
-def combined_metrics(fact: DataFrame, families: list, min_success: float = 0.95, max_failure: float = 0.01) -> DataFrame:
-    """Pooled over families: percentiles rank the raw samples of all of them again."""
+def combined_metrics(fact: DataFrame, families: list, min_success: float = 0.95, max_failure: float = 0.01, large: bool = False) -> DataFrame:
+    """Pooled over families: percentiles rank the raw samples of all of them again; ``large`` as in family_metrics."""
     sizes = [F.count_if(F.col("family").eqNullSafe(F.lit(f))).alias(f"_n{i}") for i, f in enumerate(families)]
-    pooled = _rates(_grouped(fact, ["provider"], *sizes, F.count_if(~F.coalesce(F.col("family").isin(*families), F.lit(False))).alias("_other")))
+    pooled = _rates(_grouped(fact, ["provider"], large, *sizes, F.count_if(~F.coalesce(F.col("family").isin(*families), F.lit(False))).alias("_other")))
     n = F.array(*[F.col(f"_n{i}") for i in range(len(families))])
     missing = F.filter(F.array(*[F.when(F.col(f"_n{i}") == 0, F.lit(f)) for i, f in enumerate(families)]), lambda x: x.isNotNull())
     joined = pooled.withColumn("missing_families", missing).withColumn("balanced", (F.array_min(n) > 0) & (F.array_min(n) == F.array_max(n)) & (F.col("_other") == 0)).drop("_other", *[f"_n{i}" for i in range(len(families))])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.stats import UPPER, rank_of, ratio
+from pairlens.functions.stats import UPPER, percentile_array, rank_of, ratio
 from pairlens.operators.selection import exact_percentiles
 
 #: Fixed texts of the result contract.
@@ -74,18 +74,23 @@ def fastest_wins(fact: DataFrame, measure: str, eligible: DataFrame | None = Non
     return out.select("provider", "eligible", "exclusion_reasons", "credit", "outright", "tied", "rounds", "samples", "missing", "total_rounds", "win_rate")
 
 
-def pairwise(fact: DataFrame, measure: str, eligible: DataFrame | None = None) -> DataFrame:
+def pairwise(fact: DataFrame, measure: str, eligible: DataFrame | None = None, large: bool = False) -> DataFrame:
     """For provider_a < provider_b: in how many of all observed rounds both have a value, and upper-tail percentiles of a - b.
 
     Pairs without such rounds and pairs with a provider that is not eligible stay;
     the latter pair nowhere and carry the reasons. A round travels as one array,
-    so the facts are shuffled once.
+    so the facts are shuffled once; ``large`` as in metrics.family_metrics.
     """
     rounds = _rounds(fact, measure, eligible)
     total = rounds.agg(F.count(F.lit(1)).alias("total_round_count"))
     later = lambda x: F.transform(F.filter("present", lambda y: y["provider"] > x["provider"]), lambda y: F.struct(x["provider"].alias("provider_a"), y["provider"].alias("provider_b"), (x["v"] - y["v"]).alias("difference")))
     differences = rounds.select(F.inline(F.flatten(F.transform("present", later))))
-    found = exact_percentiles(differences, ["provider_a", "provider_b"], {"difference": {k: rank_of(q) for k, q in UPPER.items()}}).withColumnRenamed("difference_population", "paired_count")
+    pair = ["provider_a", "provider_b"]
+    if large:
+        found = exact_percentiles(differences, pair, {"difference": {k: rank_of(q) for k, q in UPPER.items()}}).withColumnRenamed("difference_population", "paired_count")
+    else:
+        at = differences.groupBy(*pair).agg(F.count(F.lit(1)).alias("paired_count"), percentile_array("difference").alias("d"))
+        found = at.select(*pair, "paired_count", *[F.get("d", F.lit(i)).alias(f"difference_{k}") for i, k in enumerate(UPPER)])
     names = _providers(fact, eligible)
     reasons = lambda: F.transform("exclusion_reasons", lambda r: F.concat("provider", F.lit(": "), r))
     side = lambda s: names.select(F.col("provider").alias(f"provider_{s}"), F.col("eligible").alias(f"may_{s}"), reasons().alias(f"why_{s}"))

@@ -8,7 +8,7 @@ from pairlens.functions.stats import percentiles, ratio
 from pairlens.operators import metrics, outcomes, paired, schedule
 from pairlens.sources.tables import FAMILIES, attempts, request_facts
 
-from .registry import query
+from .registry import ORACLES, query
 
 #: DuckDB twin of request_facts.
 FACT = """
@@ -197,3 +197,13 @@ def eta_summary(spark, sf_dir):
 def round_completeness(spark, sf_dir):
     g = attempts(spark, sf_dir).groupBy("round_index").agg(F.count(F.lit(1)).alias("arms"), (F.count_if(F.col("outcome") == "2xx") == 10).alias("all_completed"), F.count_distinct("provider").alias("p"))
     return g.where("p = 10").drop("p")
+
+
+def _twin(name: str, of: str, fn) -> None:
+    """A query that gives the rows of another by another plan."""
+    query(name, ORACLES[of])(fn)
+
+
+_twin("family_metrics_selection", "family_metrics", lambda spark, sf_dir: metrics.family_metrics(request_facts(spark, sf_dir), large=True))
+_twin("combined_pooled_selection", "combined_pooled", lambda spark, sf_dir: metrics.combined_metrics(request_facts(spark, sf_dir), list(FAMILIES), large=True).drop("ineligibility_reasons", "eligible").withColumn("missing_families", F.size("missing_families").cast("long")))
+_twin("pairwise_diff_selection", "pairwise_diff", lambda spark, sf_dir: paired.pairwise(request_facts(spark, sf_dir), "e2e_ms", large=True).drop("exclusion_reasons"))
