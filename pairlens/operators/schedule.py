@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.stats import short_id
+from pairlens.operators.scans import running
 
 
 #: Fixed value: a part of every id and seed.
@@ -81,19 +82,20 @@ def running_budget(ledger: DataFrame, order: str, amount: str, by: str, ceiling:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, 0.0
         for batch in batches:
-            running, accepted = [], []
+            totals, accepted = [], []
             for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if k != key:
                     key, total = k, 0.0
                 fits = None if x is None else total + x <= ceiling
                 total = total + x if fits else total
-                running.append(total)
+                totals.append(total)
                 accepted.append(fits)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(running, pa.float64()), pa.array(accepted, pa.bool_())], [*batch.schema.names, "running", "accepted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(totals, pa.float64()), pa.array(accepted, pa.bool_())], [*batch.schema.names, "running", "accepted"])
 
     rows = ledger.select(by, F.col(order).cast("long").alias(order), F.col(amount).cast("double").alias(amount))
     return rows.repartition(by).sortWithinPartitions(by, order, amount).mapInArrow(fold, rows.selectExpr("*", "0D AS running", "true AS accepted").schema)
 
 
 def running_total(ledger: DataFrame, order: str, amount: str, by: str) -> DataFrame:
-    return ledger.withColumn("running", F.sum(amount).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """Adds running: the sum of a group's amounts so far, by order, in blocks, so that a group may be of any size."""
+    return running(ledger, [by], [order], {"running": ("sum", F.col(amount))})

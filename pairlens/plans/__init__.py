@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries when they are imported.
-MODULES: tuple[str, ...] = ("metrics_queries", "stream_queries", "contract_queries", "record_queries", "run_queries", "wire_queries", "derive_queries", "audit_queries")
+MODULES: tuple[str, ...] = ("metrics_queries", "stream_queries", "contract_queries", "record_queries", "run_queries", "wire_queries", "derive_queries", "audit_queries", "temporal_queries")
 
 
 def load_queries() -> tuple[dict, dict]:
