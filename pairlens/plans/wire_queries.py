@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlens.operators import wire
+from pairlens.sources.artifacts import attempt_views
 from pairlens.sources.tables import attempts, table
 
 from .metrics_queries import FACT
@@ -60,3 +61,27 @@ def embedded_events(spark, sf_dir):
     saved = _saved(spark, sf_dir)
     durable = saved.where("seq % 2 = 0").select("request_id", F.posexplode(F.try_variant_get("record", "$.stream_events", "array<variant>")).alias("event_index", "event"))
     return wire.all_events(saved, durable).select("request_id", "event_index", "durability")
+
+
+@query("materialised_attempt", f"""{FACT}, d AS (SELECT *, seq::VARCHAR AS id, CASE WHEN outcome = '2xx' THEN 'completed' ELSE outcome END AS label, ['{{"event_index":' || i * 10 || ',"offset_ms":' || i || '}}' FOR i IN range(k % 4)] AS ev,
+ CASE WHEN k > 0 THEN '{{"max_tokens":' || k || '}}' END AS req, CASE WHEN round_index % 2 = 0 THEN round_index % 7 END AS skew FROM attempts),
+r AS (SELECT *, '{{' || CASE WHEN k % 2 = 0 THEN '"answer":"a' || k || '",' ELSE '' END || CASE WHEN skew IS NOT NULL THEN '"launch_skew_ms":' || skew || ',' ELSE '' END || '"provider":"' || provider || '",' || CASE WHEN req IS NOT NULL THEN '"request":' || req || ',' ELSE '' END || '"request_id":"' || id || '","round_id":"' || round_id || '","round_index":' || round_index || ',"stream_events":[' || array_to_string(ev, ',') || '],"task_family":"' || family || '","terminal_outcome":"' || label || '"}}' AS rec FROM (SELECT *, round_index AS round_id FROM d)),
+e AS (SELECT seq, id, unnest(range(k % 4)) AS i FROM d)
+SELECT 'results' AS output, seq, 0 AS place, rec AS line FROM r UNION ALL SELECT 'failures', seq, 0, rec FROM r WHERE label <> 'completed'
+UNION ALL SELECT 'requests', seq, 0, '{{"item_id":null,"launch_skew_ms":' || coalesce(skew::VARCHAR, 'null') || CASE WHEN k > 0 THEN ',"max_tokens":' || k ELSE '' END || ',"provider":"' || provider || '","request_id":"' || id || '","round_id":"' || round_id || '","round_index":' || round_index || ',"task_family":"' || family || '"}}' FROM r
+UNION ALL SELECT 'reconstructed-responses', seq, 0, '{{"answer":"' || CASE WHEN k % 2 = 0 THEN 'a' || k ELSE '' END || '","item_id":null,"provider":"' || provider || '","reasoning":"","request_id":"' || id || '","task_family":"' || family || '"}}' FROM r
+UNION ALL SELECT 'evaluations', seq, 0, '{{"correct":' || CASE WHEN k >= 5 THEN 'true' ELSE 'false' END || ',"request_id":"' || id || '"}}' FROM r WHERE k % 5 > 0
+UNION ALL SELECT 'stream-events', seq, i, '{{"durability":"' || CASE WHEN seq % 2 = 0 THEN 'arrival_atomic' ELSE 'terminal_embedded' END || '","event_index":' || i * 10 || ',"offset_ms":' || i || ',"request_id":"' || id || '"}}' FROM e""")
+def materialised_attempt(spark, sf_dir):
+    """Attempts as saved records; even ones have durable events too, and even rounds a known skew."""
+    a = attempts(spark, sf_dir).withColumn("id", F.col("seq").cast("string"))
+    events = F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), 1, F.col("k") % 4), lambda i: F.struct((i * 10).alias("event_index"), i.alias("offset_ms")))
+    label = F.when(F.col("outcome") == "2xx", "completed").otherwise(F.col("outcome"))
+    answer = F.when(F.col("k") % 2 == 0, F.concat(F.lit("a"), F.col("k")))
+    saved = F.struct(F.col("id").alias("request_id"), "provider", F.col("round_index").cast("string").alias("round_id"), "round_index", F.col("family").cast("string").alias("task_family"), label.alias("terminal_outcome"), answer.alias("answer"), events.alias("stream_events"), F.when(F.col("k") > 0, F.struct(F.col("k").alias("max_tokens"))).alias("request"))
+    records = a.select(F.col("id").alias("request_id"), F.parse_json(F.to_json(saved)).alias("record"))
+    judged = a.where("k % 5 > 0").select(F.col("id").alias("request_id"), F.parse_json(F.to_json(F.struct(F.col("id").alias("request_id"), (F.col("k") >= 5).alias("correct")))).alias("evaluation"))
+    each = a.where("seq % 2 = 0").select("id", F.explode(events).alias("e"))
+    durable = each.select(F.col("id").alias("request_id"), "e.event_index", F.parse_json(F.to_json(F.struct(F.col("id").alias("request_id"), "e.event_index", "e.offset_ms", F.lit("arrival_atomic").alias("durability")))).alias("event"))
+    rounds = a.where("round_index % 2 = 0").select("round_index").distinct().select(F.col("round_index").alias("round_id"), (F.col("round_index") % 7).alias("launch_skew_ms"))
+    return attempt_views(a.select(F.col("id").alias("request_id"), "seq"), records, judged, durable, rounds)

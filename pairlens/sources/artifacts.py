@@ -6,11 +6,12 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.functions.jsonstrict import canonical, canonical_json
 from pairlens.operators.reconcile import immutable_upsert
+from pairlens.operators.records import is_object, known_signature, member, text
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -61,18 +62,81 @@ def append_evaluations(existing: DataFrame, evaluations: DataFrame, path: str) -
     immutable_upsert(existing, evaluations, "request_id", content).write.mode("append").parquet(path)
 
 
-def attempt_views(schedule: DataFrame, records: DataFrame, evaluations: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
-    """The views of an attempt: results in schedule order with their evaluation, requests, events, answers, evaluations and failures."""
-    order = schedule.select("request_id", "seq")
-    results = order.join(records, "request_id").join(evaluations, "request_id", "left").orderBy("seq")
-    return {
-        "results": results,
-        "requests": order.join(records.select("request_id", "provider", "round_id"), "request_id").orderBy("seq"),
-        "stream_events": order.join(events, "request_id").orderBy("seq", "offset_ms", "event_index"),
-        "answers": order.join(records.select("request_id", "answer"), "request_id").orderBy("seq"),
-        "evaluations": order.join(evaluations, "request_id").orderBy("seq"),
-        "failures": results.where(~F.col("outcome").eqNullSafe(F.lit("2xx"))),
-    }
+REQUEST_KEYS = ("request_id", "provider", "task_family", "item_id", "round_id", "round_index", "launch_skew_ms")
+
+
+def _members(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _with(members: Column | None, extra: dict[str, Column]) -> Column:
+    """Canonical JSON of members with others (JSON values) put in or over them; a VARIANT keeps its keys sorted at every depth."""
+    null = F.parse_json(F.lit("null"))
+    added = F.create_map(*[x for k, v in extra.items() for x in (F.lit(k), F.coalesce(v, null))])
+    if members is not None:
+        own = F.coalesce(members, F.create_map().cast("map<string,variant>"))
+        added = F.map_concat(F.map_filter(own, lambda k, _: ~k.isin(*extra)), added)
+    return F.to_json(F.parse_json(F.to_json(added)))
+
+
+def _without(members: Column, *names: str) -> Column:
+    return F.to_json(F.parse_json(F.to_json(F.map_filter(members, lambda k, _: ~k.isin(*names)))))
+
+
+def attempt_views(schedule: DataFrame, records: DataFrame, evaluations: DataFrame, events: DataFrame, rounds: DataFrame) -> DataFrame:
+    """(output, seq, place, line): the canonical JSON lines of an attempt's six outputs, in the order of the schedule and within a request by place.
+
+    ``schedule`` has request_id and seq, the others a VARIANT by request_id:
+    ``records`` record, ``evaluations`` evaluation, ``events`` (the durable ones)
+    event_index and event; ``rounds`` has round_id and launch_skew_ms, which goes
+    into the record. Requests that are not scheduled are left out. A record's
+    durable events must be those in it, durability aside, unless it is the known
+    failure that lost them: else this raises when it runs. Without durable events
+    those in the record are written, marked as embedded. What did not complete is
+    a failure too. An empty frame gives no lines. Numbers are written as VARIANT
+    writes them.
+    """
+    doc = F.col("record")
+    durable = events.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("event_index", F.to_json("event").alias("line")))).alias("durable"))
+    skews = rounds.select(F.col("round_id").cast("string").alias("_round"), F.col("launch_skew_ms").cast("variant").alias("_skew"), F.lit(True).alias("_known"))
+    placed = schedule.select("request_id", "seq").join(records.select("request_id", "record"), "request_id").withColumn("_round", F.try_variant_get(doc, "$.round_id", "string"))
+    rows = placed.join(durable, "request_id", "left").join(skews, "_round", "left")
+
+    own = _members(doc)
+    result = F.when(F.col("_known"), _with(own, {"launch_skew_ms": F.col("_skew")})).otherwise(F.to_json(doc))
+    skew = F.when(F.col("_known"), F.col("_skew")).otherwise(member(doc, "launch_skew_ms"))
+    request = _with(_members(member(doc, "request")), {k: skew if k == "launch_skew_ms" else member(doc, k) for k in REQUEST_KEYS})
+    empty = F.parse_json(F.lit('""'))
+    said = {"request_id": member(doc, "request_id"), "provider": member(doc, "provider"), "task_family": member(doc, "task_family"), "item_id": member(doc, "item_id")}
+    said |= {"reasoning": F.coalesce(member(doc, "reconstructed_reasoning"), empty), "answer": F.coalesce(member(doc, "reconstructed_answer", "answer"), empty)}
+
+    inside = F.coalesce(F.try_variant_get(doc, "$.stream_events", "array<variant>"), F.array().cast("array<variant>"))
+    identity = F.col("request_id").cast("variant")
+
+    def placed_event(e: Column, i: Column, **more: Column) -> Column:
+        body = F.when(is_object(e), _members(e)).otherwise(F.create_map(F.lit("payload"), e))
+        index = F.when(is_object(e), F.coalesce(member(e, "event_index"), i.cast("bigint").cast("variant"))).otherwise(i.cast("bigint").cast("variant"))
+        return _with(body, {"request_id": identity, "event_index": index, **more})
+
+    as_embedded = F.transform(inside, lambda e, i: placed_event(e, i, durability=F.lit("terminal_embedded").cast("variant")))
+    wanted = F.filter(F.transform(inside, lambda e, i: F.when(is_object(e), placed_event(e, i))), lambda x: x.isNotNull())
+    kept = F.transform("durable", lambda d: d["line"])
+    bare = F.transform(kept, lambda x: _without(_members(F.parse_json(x)), "durability"))
+    differ = F.col("durable").isNotNull() & (bare != wanted) & ~known_signature(doc, shell=True)
+    wrong = F.raise_error(F.concat(F.lit("durable events differ from the record: "), F.col("request_id"))).cast("array<string>")
+    said_events = F.when(differ, wrong).when(F.col("durable").isNotNull(), kept).otherwise(as_embedded)
+
+    line = lambda name, text_: F.struct(F.lit(name).alias("output"), F.lit(0).alias("place"), text_.alias("line"))
+    done = F.coalesce(text(member(doc, "terminal_outcome")) == "completed", F.lit(False))
+    plain = F.array(line("results", result), line("requests", request), line("reconstructed-responses", _with(None, said)), F.when(~done, line("failures", result)))
+    out = rows.select("seq", F.inline(F.concat(F.filter(plain, lambda x: x.isNotNull()), F.transform(said_events, lambda e, i: F.struct(F.lit("stream-events").alias("output"), i.alias("place"), e.alias("line"))))))
+    judged = schedule.select("request_id", "seq").join(evaluations.select("request_id", "evaluation"), "request_id")
+    return out.select("output", "seq", "place", "line").union(judged.select(F.lit("evaluations"), "seq", F.lit(0), F.to_json("evaluation")))
+
+
+def write_attempt(views: DataFrame, folder: str) -> None:
+    """Writes the lines of attempt_views in one job, a folder each output (``output=results``, ..); files in the order of their names hold the lines in order."""
+    views.repartitionByRange("output", "seq", "place").sortWithinPartitions("output", "seq", "place").select("output", "line").write.mode("overwrite").partitionBy("output").text(folder)
 
 
 def reconcile_events(durable: DataFrame, embedded: DataFrame) -> DataFrame:
