@@ -87,7 +87,7 @@ def sse_framing(spark, sf_dir):
     return st.frames(lines).select("request_id", F.col("frame").cast("long").alias("frame"), F.md5(F.col("data").cast("binary")).alias("data_md5"), F.col("comments").cast("int").alias("comments"))
 
 
-def _stream(spark, sf_dir, name):
+def stream(spark, sf_dir, name):
     df = table(spark, sf_dir, name)
     return spark.readStream.schema(df.schema).option("pathGlobFilter", f"{name}*" if not df.inputFiles()[0].rsplit("/", 1)[1].startswith("part") else "*.parquet").parquet(sf_dir if not df.inputFiles()[0].rsplit("/", 1)[1].startswith("part") else f"{sf_dir}/{name}.parquet")
 
@@ -95,27 +95,27 @@ def _stream(spark, sf_dir, name):
 @query("stream_windowed_rates", "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_windowed(spark, sf_dir):
     """Tumbling windows of a stream, as complete results."""
-    out = st.windowed_rates(_stream(spark, sf_dir, "events"), F.col("ts").cast("timestamp"), "1 hour", "1 day")
+    out = st.windowed_rates(stream(spark, sf_dir, "events"), F.col("ts").cast("timestamp"), "1 hour", "1 day")
     got = st.run_to_files(out, f"w{uuid.uuid4().hex}", "complete")
     return got.select(F.unix_timestamp("window.start").alias("start_s"), "event_type", "n", "total")
 
 
 @query("round_barrier_stream", "SELECT event_id // 10 AS round_id, 10 AS arms FROM events GROUP BY 1 HAVING count(*) = 10")
 def round_barrier(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events")
+    events = stream(spark, sf_dir, "events")
     records = events.select(((F.col("event_id") - F.col("event_id") % 10) / 10).cast("long").alias("round_id"), (F.col("event_id") % 10).cast("string").alias("provider"))
     return st.run_to_files(st.barrier(records, 10), f"b{uuid.uuid4().hex}")
 
 
 @query("event_dedup_stream", "SELECT DISTINCT conv_id AS request_id, turn AS event_index FROM conversations")
 def event_dedup(spark, sf_dir):
-    c = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("event_index"))
+    c = stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("event_index"))
     return st.run_to_files(c.union(c).dropDuplicates(["request_id", "event_index"]), f"d{uuid.uuid4().hex}")
 
 
 @query("incremental_timing_stream", f"{TIMED} SELECT request_id, ttfo_ms, ttfa_ms, last_ms, n_events FROM timing")
 def incremental(spark, sf_dir):
-    c = _stream(spark, sf_dir, "conversations")
+    c = stream(spark, sf_dir, "conversations")
     e = c.select(F.col("conv_id").alias("request_id"), F.col("turn").cast("double").alias("offset_ms"), F.when(F.col("role") == "assistant", F.col("text")).alias("answer"), F.when(F.col("role") == "user", F.col("text")).alias("reasoning"))
     return st.run_to_files(st.incremental_timing(e), f"i{uuid.uuid4().hex}", "complete")
 
@@ -130,7 +130,7 @@ def watcher(spark, sf_dir):
 def request_deadlines(spark, sf_dir):
     """Turns as events seven seconds apart, the last of a conversation as its end."""
     last = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
-    c = _stream(spark, sf_dir, "conversations").join(last, F.col("conv_id") == F.col("c"))
+    c = stream(spark, sf_dir, "conversations").join(last, F.col("conv_id") == F.col("c"))
     events = c.select(F.col("conv_id").cast("string").alias("request_id"), (F.col("turn") * 7000.0).alias("offset_ms"), (F.col("turn") == F.col("last")).alias("done"))
     return st.run_to_files(st.deadlines(events), f"t{uuid.uuid4().hex}")
 
@@ -140,7 +140,7 @@ SELECT conv_id::VARCHAR AS request_id, CASE WHEN count_if(done AND ms < 20500) >
 def timed_deadlines(spark, sf_dir):
     """A request a second, its turns seven seconds apart; those whose deadline the watermark has passed."""
     last = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
-    c = _stream(spark, sf_dir, "conversations").join(last, F.col("conv_id") == F.col("c"))
+    c = stream(spark, sf_dir, "conversations").join(last, F.col("conv_id") == F.col("c"))
     at = F.col("turn") * 7000
     events = c.select(F.col("conv_id").cast("string").alias("request_id"), at.cast("double").alias("offset_ms"), (F.col("turn") == F.col("last")).alias("done"), F.timestamp_millis(F.col("conv_id") * 1000 + at + 1_000_000).alias("event_time"))
     return st.run_to_files(st.timed_deadlines(events, limit_ms=20_500.0), f"t{uuid.uuid4().hex}")
@@ -150,7 +150,7 @@ def timed_deadlines(spark, sf_dir):
 def sse_framing_stream(spark, sf_dir):
     """Turns as events of three chunks that are cut after the seventh character and in the middle."""
     said = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("data: "), x, F.lit("\n"))), "")
-    c = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(": ping\n"), said, F.lit("\n")).alias("t"))
+    c = stream(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(": ping\n"), said, F.lit("\n")).alias("t"))
     half = (F.length("t") / 2).cast("int")
     parts = F.array(F.substring("t", 1, 7), F.substr("t", F.lit(8), half), F.substr("t", half + 8))
     chunks = c.select(F.col("conv_id").cast("string").alias("request_id"), "turn", F.posexplode(parts).alias("i", "chunk")).select("request_id", (F.col("turn") * 3 + F.col("i")).alias("turn"), "chunk", F.timestamp_seconds(F.lit(1000)).alias("event_time"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairlens.operators import temporal
 from pairlens.sources.tables import table
+from pairlens.streaming import windows
+from pairlens.streaming.operators import run_to_files
 
 from .registry import query
+from .stream_queries import stream
 
 MINUTE = 60_000_000
 #: DuckDB twin of requests: a request takes as many minutes as its value says.
@@ -40,3 +45,38 @@ def overlapping_requests(spark, sf_dir):
     r = requests(spark, sf_dir)
     pairs = temporal.overlaps(r.where("event_type = 'purchase'"), r.where("event_type = 'error'"), ["provider"], "seq", "seq", "start_us", "end_us")
     return pairs.groupBy("provider", F.col("a_id").alias("seq")).agg(F.count(F.lit(1)).alias("overlaps"), F.min("b_id").alias("first_other"))
+
+
+def _stream_requests(spark, sf_dir):
+    e = stream(spark, sf_dir, "events")
+    at = F.col("ts").cast("timestamp")
+    return e.select(F.col("event_id").alias("request_id"), at.alias("ended_at"), F.when(F.col("event_type") != "error", F.timestamp_micros(F.unix_micros(at) + F.floor(F.col("value") * MINUTE))).alias("evaluated_at"), F.col("event_type").alias("classification"))
+
+
+@query("records_with_evaluations_stream", f"""{REQUESTS}, e AS (SELECT seq, start_us, event_type, CASE WHEN event_type <> 'error' THEN end_us END AS at_us FROM r), m AS (SELECT least(max(start_us), max(at_us)) - 600000000 AS mark FROM e)
+SELECT seq AS request_id, start_us AS ended_us, CASE WHEN at_us <= start_us + 3600000000 THEN at_us END AS evaluated_us, CASE WHEN at_us <= start_us + 3600000000 THEN event_type END AS classification FROM e, m WHERE at_us <= start_us + 3600000000 OR start_us + 3600000000 < mark""")
+def records_with_evaluations_stream(spark, sf_dir):
+    """Evaluations come as many minutes after a request as its value says, errors get none; an hour is waited for them."""
+    both = [_stream_requests(spark, sf_dir) for _ in range(2)]
+    joined = windows.evaluated_within(both[0], both[1], "1 hour")
+    got = run_to_files(joined, f"j{uuid.uuid4().hex}")
+    return got.select("request_id", F.unix_micros("ended_at").alias("ended_us"), F.unix_micros("evaluated_at").alias("evaluated_us"), "classification")
+
+
+@query("request_bursts_stream", f"""{REQUESTS}, g AS (SELECT *, start_us - lag(start_us) OVER (PARTITION BY provider ORDER BY start_us) > 1800000000 AS opens FROM r), b AS (SELECT *, count_if(coalesce(opens, true)) OVER (PARTITION BY provider ORDER BY start_us ROWS UNBOUNDED PRECEDING) AS burst FROM g)
+SELECT provider, min(start_us) AS first_us, max(start_us) + 1800000000 AS until_us, count(*) AS n, count_if(event_type = 'error') AS errors FROM b GROUP BY provider, burst HAVING max(start_us) + 1800000000 <= (SELECT max(start_us) - 600000000 FROM r)""")
+def request_bursts_stream(spark, sf_dir):
+    """Runs of requests of an arm at most half an hour apart."""
+    e = stream(spark, sf_dir, "events").select(F.concat(F.lit("arm"), (F.col("event_id") % 10).cast("string")).alias("provider"), F.col("ts").cast("timestamp").alias("at"), "event_type")
+    got = run_to_files(windows.bursts(e, ["provider"], "at", "30 minutes", errors=F.count_if(F.col("event_type") == "error")), f"g{uuid.uuid4().hex}")
+    return got.select("provider", F.unix_micros("first_at").alias("first_us"), F.unix_micros("until").alias("until_us"), "n", "errors")
+
+
+@query("sse_framing_function", "SELECT conv_id::VARCHAR AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame, md5(text) AS data_md5, 1 AS comments FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
+def sse_framing_function(spark, sf_dir):
+    """Turns as events, framed by the table function."""
+    windows.register(spark)
+    said = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("data: "), x))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("request_id"), "turn", F.posexplode(F.concat(F.array(F.lit(": ping")), said, F.array(F.lit("")))).alias("pos", "line"))
+    framed = spark.sql("SELECT * FROM frame_lines(TABLE({lines}) PARTITION BY request_id ORDER BY line_no)", lines=c.select("request_id", F.struct("turn", "pos").alias("line_no"), "line"))
+    return framed.select("request_id", "frame", F.md5(F.col("data").cast("binary")).alias("data_md5"), "comments")
