@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pairlens.functions.jsonstrict import canonical, iso_date
 from pairlens.operators import outcomes
 from pairlens.operators.records import integer, is_object, kind, known_signature, member, text
-from pairlens.operators.reconcile import differences, duplicates
+from pairlens.operators.reconcile import differences
 
 REQUIRED = ("id", "use_case", "split", "prompt", "output_schema", "gold", "aliases", "tokens")
 RUN_ID = r"^run-\d{8}-\d{6}$"
@@ -87,25 +87,41 @@ def item_problems(lines: DataFrame, spec: DataFrame, families: tuple[str, str, s
     ``spec`` has a row a family: family, template (system prompt), schema (map of
     field kinds), low and high (band of input tokens), token_field. The family is
     the file's name without its ending. An id that stands twice is a problem of
-    both lines.
+    all its lines but the first, by file and line. The gold of extraction items has
+    its fields in one order, which is read from the line, as VARIANT does not keep it.
     """
     row = F.try_parse_json("line")
     rows = lines.withColumn("row", row).withColumn("family", F.regexp_replace("file", "\\.jsonl$", "")).join(spec, "family", "left")
     doc = F.col("row")
     rows = rows.withColumn("id", text(member(doc, "id")))
-    twice = duplicates(rows.where("id is not null").select("id"), ["id"]).select("id", F.lit(True).alias("twice"))
+    place = F.struct("file", "line_no")
+    twice = rows.where("id is not null").groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    in_order = F.expr("json_object_keys(get_json_object(line, '$.gold'))") == F.array(*[F.lit(c) for c in outcomes.CONTRACT_FIELDS])
     prompt, tokens = member(doc, "prompt"), F.try_variant_get(doc, "$.tokens", "map<string,variant>")
     count = integer(F.element_at(tokens, F.col("token_field")))
     schema = F.try_variant_get(doc, "$.output_schema", "map<string,string>")
     sorted_ = lambda m: F.array_sort(F.map_entries(m))
     problem = _named(
-        ("invalid JSON", doc.isNotNull()), ("missing fields", is_object(doc) & (F.size(F.array_except(F.array(*[F.lit(r) for r in REQUIRED]), _keys(doc))) == 0)), ("id", F.coalesce("id", F.lit("")) != ""), ("repeated id", F.col("twice").isNull()),
+        ("invalid JSON", doc.isNotNull()), ("missing fields", is_object(doc) & (F.size(F.array_except(F.array(*[F.lit(r) for r in REQUIRED]), _keys(doc))) == 0)), ("id", F.coalesce("id", F.lit("")) != ""), ("repeated id", F.col("first").isNull() | (F.col("first") == place)),
         ("family or split", (text(member(doc, "use_case")) == F.col("family")) & (text(member(doc, "split")) == "private")), ("prompt", (_keys(prompt) == F.array(F.lit("system"), F.lit("user"))) & (text(member(prompt, "system")) == F.col("template")) & (text(member(prompt, "user")) != "")),
-        ("output schema", sorted_(schema) == sorted_(F.col("schema"))), ("gold", gold_problem(F.col("family"), member(doc, "gold"), member(doc, "aliases"), families).isNull()), ("input token band", count.between(F.col("low"), F.col("high"))),
+        ("output schema", sorted_(schema) == sorted_(F.col("schema"))), ("gold", gold_problem(F.col("family"), member(doc, "gold"), member(doc, "aliases"), families).isNull()), ("gold order", (F.col("family") != families[2]) | in_order), ("input token band", count.between(F.col("low"), F.col("high"))),
     )
     return rows.join(twice, "id", "left").select("file", "line_no", "id", problem.alias("problem")).where("problem is not null")
 
 
+def item_counts(lines: DataFrame, expected: DataFrame, total: int) -> DataFrame:
+    """(family, expected, found) of every family, and of all ids together under the family NULL, where the two numbers differ.
+
+    ``lines`` is read_items'; ``expected`` has a row a family: family and items. A
+    line counts for the family its file is named after, whatever is in it; the
+    total is of different ids. A family that is not expected is expected to have 0.
+    """
+    rows = lines.select(F.regexp_replace("file", "\\.jsonl$", "").alias("family"), text(member(F.try_parse_json("line"), "id")).alias("id"))
+    each = expected.select("family", F.col("items").cast("long").alias("expected")).join(rows.groupBy("family").agg(F.count(F.lit(1)).alias("found")), "family", "full_outer").fillna(0, ["expected", "found"])
+    whole = rows.agg(F.count_distinct("id").alias("found")).select(F.lit(None).cast("string").alias("family"), F.lit(total).cast("long").alias("expected"), "found")
+    return each.select("family", "expected", "found").union(whole).where("expected <> found")
+
+
 def manifest_problem(doc: Column, counts: dict[str, int]) -> Column:
     """What is wrong with a dataset manifest for the expected private items by family, or NULL."""
     uses = member(doc, "use_cases")

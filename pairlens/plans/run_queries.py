@@ -36,9 +36,9 @@ def gold_problems(spark, sf_dir):
 ITEM = '{"id":"%s","use_case":"ticket-triage","split":"%s","prompt":{"system":"%s","user":"u"},"output_schema":{"category":"enum","priority":"%s"},"gold":{"category":"bug","priority":"%s"},"aliases":null,"tokens":{"user":%s}%s}'
 
 
-@query("item_problems", "SELECT event_id AS line_no, CASE event_id % 10 WHEN 1 THEN 'family or split' WHEN 2 THEN 'prompt' WHEN 3 THEN 'output schema' WHEN 4 THEN 'gold' WHEN 5 THEN 'input token band' WHEN 6 THEN 'invalid JSON' WHEN 7 THEN 'id' WHEN 8 THEN 'missing fields' WHEN 9 THEN 'repeated id' END AS problem FROM events WHERE event_id % 10 <> 0")
+@query("item_problems", "SELECT event_id AS line_no, CASE event_id % 10 WHEN 1 THEN 'family or split' WHEN 2 THEN 'prompt' WHEN 3 THEN 'output schema' WHEN 4 THEN 'gold' WHEN 5 THEN 'input token band' WHEN 6 THEN 'invalid JSON' WHEN 7 THEN 'id' WHEN 8 THEN 'missing fields' WHEN 9 THEN 'repeated id' END AS problem FROM events WHERE event_id % 10 <> 0 AND event_id <> 9")
 def item_problems(spark, sf_dir):
-    """Ten kinds of dataset line by the id's last digit; all lines that end in 9 share one id."""
+    """Ten kinds of dataset line by the id's last digit; all lines that end in 9 share one id, and the first of them may have it."""
     d = F.col("event_id") % 10
     word = lambda when, odd, plain: F.when(d == when, odd).otherwise(plain)
     name = F.when(d == 7, "").when(d == 9, "same").otherwise(F.col("event_id").cast("string"))
@@ -49,6 +49,15 @@ def item_problems(spark, sf_dir):
     return runs.item_problems(lines, spec, FAMILIES).select("line_no", "problem")
 
 
+@query("item_counts", "SELECT * FROM (SELECT lang AS family, CASE WHEN lang = 'en' THEN 0 ELSE count(*) + CASE WHEN lang < 'e' THEN 1 ELSE 0 END END AS expected, count(*) AS found FROM documents WHERE lang IS NOT NULL GROUP BY 1 UNION ALL SELECT NULL, 1, count(DISTINCT doc_id % 50) FROM documents WHERE lang IS NOT NULL) WHERE expected <> found")
+def item_counts(spark, sf_dir):
+    """Documents as items by language, whose ids repeat after 50; one language is not expected, those before e lack an item."""
+    d = table(spark, sf_dir, "documents").where("lang is not null")
+    lines = d.select(F.concat("lang", F.lit(".jsonl")).alias("file"), F.to_json(F.struct((F.col("doc_id") % 50).cast("string").alias("id"), F.col("text"))).alias("line"))
+    expected = d.where("lang <> 'en'").groupBy(F.col("lang").alias("family")).agg(F.count(F.lit(1)).alias("n")).select("family", (F.col("n") + (F.col("family") < "e").cast("int")).alias("items"))
+    return runs.item_counts(lines, expected, 1)
+
+
 def _arms(spark):
     return spark.range(11).select(F.concat(F.lit("arm"), F.col("id").cast("string")).alias("provider"))
 

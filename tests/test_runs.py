@@ -43,6 +43,22 @@ def test_items_and_manifest(spark, tmp_path):
     assert [r.p for r in d.orderBy("i").collect()] == [w for _, w in cases]
 
 
+def test_gold_order_first_ids_and_counts(spark, tmp_path):
+    from pairlens.plans.record_queries import TERMS
+
+    fields = json.loads(TERMS)
+    turned = dict(reversed(fields.items()))
+    item = lambda i, gold: json.dumps({"id": i, "use_case": "c", "split": "private", "prompt": {"system": "s", "user": "u"}, "output_schema": {"a": "string"}, "gold": gold, "aliases": None, "tokens": {"user": 5}})
+    (tmp_path / "c.jsonl").write_text("\n".join([item("x", fields), item("y", turned), item("x", fields), item("z", fields)]) + "\n")
+    lines = runs.read_items(spark, str(tmp_path / "c.jsonl"))
+    spec = spark.range(1).selectExpr("'c' AS family", "'s' AS template", "map('a', 'string') AS schema", "1 AS low", "9 AS high", "'user' AS token_field")
+    got = runs.item_problems(lines, spec, ("a", "b", "c")).orderBy("line_no").collect()
+    assert [(r.line_no, r.id, r.problem) for r in got] == [(2, "y", "gold order"), (3, "x", "repeated id")]
+    expected = spark.createDataFrame([("c", 4), ("d", 2)], "family string, items int")
+    assert [tuple(r) for r in runs.item_counts(lines, expected, 3).collect()] == [("d", 2, 0)]
+    assert sorted(map(tuple, runs.item_counts(lines, expected.where("family = 'd'"), 4).collect()), key=str) == [("c", 0, 4), ("d", 2, 0), (None, 4, 3)]
+
+
 def test_canonical_lines_and_inventory(spark, tmp_path):
     d = spark.createDataFrame([(1, None, {"z": "ß", "a": "b"})], "b int, a string, m map<string,string>")
     artifacts.write_jsonl(d, str(tmp_path / "out"))
