@@ -43,7 +43,8 @@ def in_blocks(rows: DataFrame, order: Sequence[str], blocks: int = BLOCKS) -> Da
     place = [_sortable(c, kinds[c]) for c in order]
     only = rows.select(*[p.alias(f"o{i}") for i, p in enumerate(place)])
     n = only.count()
-    sample = (only if n <= blocks * SAMPLED else only.sample(blocks * SAMPLED / n, seed=7)).sort(*only.columns).collect()
+    few = only if n <= blocks * SAMPLED else only.sample(blocks * SAMPLED / n, seed=7)
+    sample = few.repartition(1).sortWithinPartitions(*only.columns).collect()  # so few that a global sort would only read them once more
     step = max(1, len(sample) // blocks)
     cuts = list(dict.fromkeys(tuple(r) for r in sample[step::step]))
     return rows.withColumn("_block", _block(place, cuts, [k for _, k in only.dtypes]))
