@@ -71,7 +71,7 @@ SELECT 'results' AS output, seq, 0 AS place, rec AS line FROM r UNION ALL SELECT
 UNION ALL SELECT 'requests', seq, 0, '{{"item_id":null,"launch_skew_ms":' || coalesce(skew::VARCHAR, 'null') || CASE WHEN k > 0 THEN ',"max_tokens":' || k ELSE '' END || ',"provider":"' || provider || '","request_id":"' || id || '","round_id":"' || round_id || '","round_index":' || round_index || ',"task_family":"' || family || '"}}' FROM r
 UNION ALL SELECT 'reconstructed-responses', seq, 0, '{{"answer":"' || CASE WHEN k % 2 = 0 THEN 'a' || k ELSE '' END || '","item_id":null,"provider":"' || provider || '","reasoning":"","request_id":"' || id || '","task_family":"' || family || '"}}' FROM r
 UNION ALL SELECT 'evaluations', seq, 0, '{{"correct":' || CASE WHEN k >= 5 THEN 'true' ELSE 'false' END || ',"request_id":"' || id || '"}}' FROM r WHERE k % 5 > 0
-UNION ALL SELECT 'stream-events', seq, i, '{{"durability":"' || CASE WHEN seq % 2 = 0 THEN 'arrival_atomic' ELSE 'terminal_embedded' END || '","event_index":' || i * 10 || ',"offset_ms":' || i || ',"request_id":"' || id || '"}}' FROM e""")
+UNION ALL SELECT 'stream-events', seq, i::INT, '{{"durability":"' || CASE WHEN seq % 2 = 0 THEN 'arrival_atomic' ELSE 'terminal_embedded' END || '","event_index":' || i * 10 || ',"offset_ms":' || i || ',"request_id":"' || id || '"}}' FROM e""")
 def materialised_attempt(spark, sf_dir):
     """Attempts as saved records; even ones have durable events too, and even rounds a known skew."""
     a = attempts(spark, sf_dir).withColumn("id", F.col("seq").cast("string"))
