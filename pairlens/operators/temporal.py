@@ -63,14 +63,19 @@ def points_within(points: DataFrame, intervals: DataFrame, by: Sequence[str], po
     return asked.join(filed, [*by, "_level", "_bucket"]).where(F.col(point).between(F.col(start), F.col(end) - 1)).drop("_level", "_bucket")
 
 
-def overlaps(a: DataFrame, b: DataFrame, by: Sequence[str], a_id: str, b_id: str, start: str, end: str) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, by: Sequence[str], a_id: str, b_id: str, start: str, end: str, empty: bool = False) -> DataFrame:
     """(by, a_id, b_id) of every pair of intervals [start, end) of one group that share a moment, once; empty intervals share none.
 
-    Two intervals overlap if one holds the other's start. ``a`` and ``b`` may be one frame.
+    Two intervals overlap if one holds the other's start. ``a`` and ``b`` may be one
+    frame. With ``empty``, pairs are those whose starts both come before the other's
+    end: an interval that ends at or before its start pairs with those that begin
+    before its end and end after its start.
     """
-    mine = a.where(F.col(end) > F.col(start)).select(*by, F.col(a_id).alias("_a"), F.col(start).alias("_as"), F.col(end).alias("_ae"))
-    theirs = b.where(F.col(end) > F.col(start)).select(*by, F.col(b_id).alias("_b"), F.col(start).alias("_bs"), F.col(end).alias("_be"))
+    real = F.lit(True) if empty else F.col(end) > F.col(start)
+    mine = a.where(real).select(*by, F.col(a_id).alias("_a"), F.col(start).alias("_as"), F.col(end).alias("_ae"))
+    theirs = b.where(real).select(*by, F.col(b_id).alias("_b"), F.col(start).alias("_bs"), F.col(end).alias("_be"))
     out = [*by, F.col("_a").alias("a_id"), F.col("_b").alias("b_id")]
-    later = points_within(mine.drop("_ae"), theirs, by, "_as", "_bs", "_be").select(*out)
-    sooner = points_within(theirs.drop("_be"), mine, by, "_bs", "_as", "_ae").where("_bs > _as").select(*out)
+    # a point's own end only matters where it lies at or before its start
+    later = points_within(mine, theirs, by, "_as", "_bs", "_be").where("_bs < _ae").select(*out)
+    sooner = points_within(theirs, mine, by, "_bs", "_as", "_ae").where("_bs > _as AND _as < _be").select(*out)
     return later.union(sooner)

@@ -89,3 +89,11 @@ def test_overlaps(spans):
     want = sorted((x["g"], x["id"], y["id"]) for x in real(a) for y in real(b) if x["g"] == y["g"] and x["s"] < y["e"] and y["s"] < x["e"])
     got = [tuple(r) for r in temporal.overlaps(a, b, ["g"], "id", "id", "s", "e").collect()]
     assert len(want) > 500 and sorted(got) == want
+
+
+def test_overlaps_with_empty(spans):
+    a, b = spans.where("id % 2 = 0"), spans.where("id % 3 < 2")
+    known = lambda df: [r for r in df.collect() if None not in tuple(r)]
+    want = sorted((x["g"], x["id"], y["id"]) for x in known(a) for y in known(b) if x["g"] == y["g"] and x["s"] < y["e"] and y["s"] < x["e"])
+    got = [tuple(r) for r in temporal.overlaps(a, b, ["g"], "id", "id", "s", "e", empty=True).collect()]
+    assert sorted(got) == want and len(want) > temporal.overlaps(a, b, ["g"], "id", "id", "s", "e").count()
