@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.operators import metrics, paired, records
-from pairlens.operators.records import event_channel_error, given, kind, known_signature, member, text
+from pairlens.operators.records import Members, below, channel_error, event_channels, given, kind, known_signature, member, read, text
 
 #: Parts of a whole audit.
 PARTS = ("evaluations", "timings", "reconstruction", "channels", "metrics", "paired")
@@ -101,11 +101,11 @@ def record_violations(rows: DataFrame, durable: DataFrame | None = None) -> Data
     need as many as they hold, all marked arrival_atomic. Records are not shuffled:
     what joins those counts is their violations.
     """
-    doc = F.col("record")
-    seen = lambda n: F.coalesce(F.try_variant_get(doc, f"$.timings.{n}", "variant"), member(doc, n))
+    rows, doc = read(rows), Members(F.col("_m"))
+    seen = lambda n: F.coalesce(member(below(doc, "timings"), n), member(doc, n))
     said = lambda part, column, saved, now: F.struct(F.lit(part).alias("part"), F.col("request_id").alias("key"), F.lit(column).alias("column"), saved.cast("string").alias("saved"), now.cast("string").alias("recomputed"))
     none, failed = F.lit(None).cast("string"), F.col("problem")
-    events = F.try_variant_get(doc, "$.stream_events", "array<variant>")
+    events = F.col("_m.stream_events")
     n = F.coalesce(F.size(events), F.lit(0))
     checks = [F.when(failed.isNotNull(), said(part, "recomputation", none, failed)) for part in ("evaluations", "timings", "reconstruction")]
     checks.append(F.when((text(member(doc, "terminal_outcome")) == "completed") & (n == 0), said("reconstruction", "stream_events", none, none)))
@@ -114,7 +114,8 @@ def record_violations(rows: DataFrame, durable: DataFrame | None = None) -> Data
         checks.append(F.when(failed.isNull() & (held != F.col(column)), said("reconstruction", name, held, F.col(column))))
     for name, column in NINE.items():
         checks.append(F.when(failed.isNull() & _unlike(seen(name), F.col(column), column == "reasoning_emitted"), said("timings", name, F.to_json(seen(name)), F.col(column))))
-    bad = F.filter(F.transform(events, lambda e, i: F.struct(i.alias("i"), event_channel_error(e).alias("why"))), lambda x: x["why"].isNotNull())
+    judged = F.transform(F.transform(events, lambda e: event_channels(Members(e))), lambda e, i: F.struct(i.alias("i"), channel_error(e).alias("why")))
+    bad = F.filter(judged, lambda x: x["why"].isNotNull())
     channels = F.transform(F.coalesce(bad, F.array().cast("array<struct<i:int,why:string>>")), lambda x: F.struct(F.lit("channels").alias("part"), F.concat_ws("|", "request_id", x["i"].cast("string")).alias("key"), F.lit("channel").alias("column"), x["why"].alias("saved"), none.alias("recomputed")))
     found = F.concat(F.filter(F.array(*checks), lambda x: x.isNotNull()), channels)
     base = rows.select("request_id", n.alias("n"), known_signature(doc).alias("known"), found.alias("found"))

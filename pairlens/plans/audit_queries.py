@@ -8,7 +8,7 @@ from pairlens.functions.jsonstrict import token_count
 from pairlens.functions.stats import output_speed, token_cost
 from pairlens.operators import audit, metrics, outcomes, paired, runs
 from pairlens.operators.records import JUDGEMENT
-from pairlens.sources.tables import PRICES, attempts
+from pairlens.sources.tables import PRICES, attempts, spread
 
 from .derive_queries import DERIVED, INVALID, RIGHT, WRONG, _by_family, items, prices
 from .record_queries import FAMILIES
@@ -40,7 +40,7 @@ def plain_facts(spark, sf_dir):
 
 def run_records(spark, sf_dir, faulty):
     """(request_id, record): all that a runner saves, with the faults of this module's rests if ``faulty``."""
-    f = plain_facts(spark, sf_dir)
+    f = spread(plain_facts(spark, sf_dir), "seq")
     seq, k, ok = F.col("seq"), F.col("k"), F.col("outcome") == "2xx"
     off = lambda rest: F.lit(faulty) & (seq % 97 == rest)
     thought, said = F.expr("repeat('r ', k % 3)"), F.col("said")
