@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlens.operators import records
-from pairlens.plans import derive_queries
+from pairlens.plans import derive_queries, record_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +21,8 @@ def test_facts_look_up_few_members(spark):
     """A record is read as a whole, and not a member at a time."""
     plan = derive_queries.facts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("variant_get(record") <= 2 and derive_queries.facts(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_configuration_parses_a_record_once(spark):
+    plan = record_queries.configuration_evidence(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(") + plan.count("parseJson") <= 2
