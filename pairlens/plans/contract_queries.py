@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlens.functions.jsonstrict import canonical_json, iso_date, normalize_answer, redact, strict_json
 from pairlens.functions.stats import nearest_rank, short_id, token_cost
 from pairlens.operators import metrics, outcomes, reconcile, schedule
-from pairlens.sources.tables import attempts, request_facts, table
+from pairlens.sources.tables import attempts, request_facts, small_batches, table
 
 from .metrics_queries import FACT, rank_sql
 from .registry import query
@@ -86,6 +86,7 @@ def strict_json_matrix(spark, sf_dir):
 
 @query("normalize_match")
 def normalize_match(spark, sf_dir):
+    small_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize_answer("text").cast("binary"), 256).alias("normal_sha256"))
 
 

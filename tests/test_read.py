@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlens.operators import records
-from pairlens.plans import derive_queries, record_queries
+from pairlens.plans import contract_queries, derive_queries, record_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +26,16 @@ def test_facts_look_up_few_members(spark):
 def test_configuration_parses_a_record_once(spark):
     plan = record_queries.configuration_evidence(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json(") + plan.count("parseJson") <= 2
+
+
+def test_whole_texts_go_in_small_batches(spark):
+    """A worker that normalises whole texts holds few of them at a time, and a smaller cap of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, kept in (("64m", str(4 << 20)), ("67108864b", str(4 << 20)), ("1000", "1000")):
+            spark.conf.set(name, given)
+            contract_queries.normalize_match(spark, SF)
+            assert spark.conf.get(name).rstrip("b") == kept
+    finally:
+        spark.conf.set(name, before)
