@@ -73,15 +73,16 @@ UNION ALL SELECT 'reconstructed-responses', seq, 0, '{{"answer":"' || CASE WHEN
 UNION ALL SELECT 'evaluations', seq, 0, '{{"correct":' || CASE WHEN k >= 5 THEN 'true' ELSE 'false' END || ',"request_id":"' || id || '"}}' FROM r WHERE k % 5 > 0
 UNION ALL SELECT 'stream-events', seq, i::INT, '{{"durability":"' || CASE WHEN seq % 2 = 0 THEN 'arrival_atomic' ELSE 'terminal_embedded' END || '","event_index":' || i * 10 || ',"offset_ms":' || i || ',"request_id":"' || id || '"}}' FROM e""")
 def materialised_attempt(spark, sf_dir):
-    """Attempts as saved records; even ones have durable events too, and even rounds a known skew."""
-    a = attempts(spark, sf_dir).withColumn("id", F.col("seq").cast("string"))
+    """Attempts as saved records; even ones have durable events too, and even rounds a known skew. Attempts are dealt before they are made into records, which are larger."""
+    all_ = attempts(spark, sf_dir).withColumn("request_id", F.col("seq").cast("string"))
+    a = all_.repartition("request_id").withColumn("id", F.col("request_id"))
     events = F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), 1, F.col("k") % 4), lambda i: F.struct((i * 10).alias("event_index"), i.alias("offset_ms")))
     label = F.when(F.col("outcome") == "2xx", "completed").otherwise(F.col("outcome"))
     answer = F.when(F.col("k") % 2 == 0, F.concat(F.lit("a"), F.col("k")))
     saved = F.struct(F.col("id").alias("request_id"), "provider", F.col("round_index").cast("string").alias("round_id"), "round_index", F.col("family").cast("string").alias("task_family"), label.alias("terminal_outcome"), answer.alias("answer"), events.alias("stream_events"), F.when(F.col("k") > 0, F.struct(F.col("k").alias("max_tokens"))).alias("request"))
-    records = a.select(F.col("id").alias("request_id"), F.parse_json(F.to_json(saved)).alias("record"))
-    judged = a.where("k % 5 > 0").select(F.col("id").alias("request_id"), F.parse_json(F.to_json(F.struct(F.col("id").alias("request_id"), (F.col("k") >= 5).alias("correct")))).alias("evaluation"))
-    each = a.where("seq % 2 = 0").select("id", F.explode(events).alias("e"))
-    durable = each.select(F.col("id").alias("request_id"), "e.event_index", F.parse_json(F.to_json(F.struct(F.col("id").alias("request_id"), "e.event_index", "e.offset_ms", F.lit("arrival_atomic").alias("durability")))).alias("event"))
-    rounds = a.where("round_index % 2 = 0").select("round_index").distinct().select(F.col("round_index").alias("round_id"), (F.col("round_index") % 7).alias("launch_skew_ms"))
-    return attempt_views(a.select(F.col("id").alias("request_id"), "seq"), records, judged, durable, rounds)
+    records = a.select("request_id", F.parse_json(F.to_json(saved)).alias("record"))
+    judged = a.where("k % 5 > 0").select("request_id", F.parse_json(F.to_json(F.struct(F.col("id").alias("request_id"), (F.col("k") >= 5).alias("correct")))).alias("evaluation"))
+    each = a.where("seq % 2 = 0").select("request_id", F.explode(events).alias("e"))
+    durable = each.select("request_id", "e.event_index", F.parse_json(F.to_json(F.struct("request_id", "e.event_index", "e.offset_ms", F.lit("arrival_atomic").alias("durability")))).alias("event"))
+    rounds = all_.where("round_index % 2 = 0").select("round_index").distinct().select(F.col("round_index").alias("round_id"), (F.col("round_index") % 7).alias("launch_skew_ms"))
+    return attempt_views(a.select("request_id", "seq"), records, judged, durable, rounds)

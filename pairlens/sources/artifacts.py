@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.jsonstrict import canonical, canonical_json
 from pairlens.operators.reconcile import immutable_upsert
-from pairlens.operators.records import is_object, known_signature, member, text
+from pairlens.operators.records import known_signature, text
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -63,24 +63,47 @@ def append_evaluations(existing: DataFrame, evaluations: DataFrame, path: str) -
 
 
 REQUEST_KEYS = ("request_id", "provider", "task_family", "item_id", "round_id", "round_index", "launch_skew_ms")
+#: What the views need of a record besides the whole of it, read in one pass; an event that is no object is NULL.
+VIEWED = f"struct<{','.join(f'{n}:variant' for n in (*REQUEST_KEYS, 'reconstructed_answer', 'answer', 'reconstructed_reasoning', 'terminal_outcome'))},request:map<string,variant>,stream_events:array<map<string,variant>>>"
 
 
 def _members(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _with(members: Column | None, extra: dict[str, Column]) -> Column:
-    """Canonical JSON of members with others (JSON values) put in or over them; a VARIANT keeps its keys sorted at every depth."""
+def _over(members: Column, added: Column) -> Column:
+    """Members with others put in or over them, in the order of their names."""
+    keys = F.sort_array(F.array_union(F.map_keys(members), F.map_keys(added)))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(added[k], members[k])))
+
+
+def _added(extra: dict[str, Column]) -> Column:
     null = F.parse_json(F.lit("null"))
-    added = F.create_map(*[x for k, v in extra.items() for x in (F.lit(k), F.coalesce(v, null))])
-    if members is not None:
-        own = F.coalesce(members, F.create_map().cast("map<string,variant>"))
-        added = F.map_concat(F.map_filter(own, lambda k, _: ~k.isin(*extra)), added)
-    return F.to_json(F.parse_json(F.to_json(added)))
+    return F.create_map(*[x for k, v in extra.items() for x in (F.lit(k), F.coalesce(v, null))])
+
+
+def _normal(text_: Column) -> Column:
+    return F.to_json(F.parse_json(text_))
+
+
+def _json(members: Column) -> Column:
+    """Canonical JSON of members in the order of their names; through a VARIANT only where that writes a number or orders names in another way, as its writer is slow."""
+    said, names = F.to_json(members), F.array_join(F.map_keys(members), "")
+    return F.when(said.contains(".0") | (F.octet_length(names) != F.length(names)), _normal(said)).otherwise(said)
+
+
+def _text(v: Column) -> Column:
+    """JSON of a VARIANT; members of an object one by one, which is faster."""
+    return F.coalesce(F.to_json(_members(v)), F.to_json(v))
+
+
+#: Lines of a record before they are rows; those of events inside it are still members.
+OUTPUTS = "array<struct<output:string,place:int,line:string,body:map<string,variant>>>"
 
 
-def _without(members: Column, *names: str) -> Column:
-    return F.to_json(F.parse_json(F.to_json(F.map_filter(members, lambda k, _: ~k.isin(*names)))))
+def _output(name: str, place: Column, line: Column | None = None, body: Column | None = None) -> Column:
+    line, body = (F.lit(None) if c is None else c for c in (line, body))
+    return F.struct(F.lit(name).alias("output"), place.alias("place"), line.cast("string").alias("line"), body.cast("map<string,variant>").alias("body"))
 
 
 def attempt_views(schedule: DataFrame, records: DataFrame, evaluations: DataFrame, events: DataFrame, rounds: DataFrame) -> DataFrame:
@@ -96,42 +119,50 @@ def attempt_views(schedule: DataFrame, records: DataFrame, evaluations: DataFram
     a failure too. An empty frame gives no lines. Numbers are written as VARIANT
     writes them.
     """
-    doc = F.col("record")
-    durable = events.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("event_index", F.to_json("event").alias("line")))).alias("durable"))
-    skews = rounds.select(F.col("round_id").cast("string").alias("_round"), F.col("launch_skew_ms").cast("variant").alias("_skew"), F.lit(True).alias("_known"))
+    doc, own = F.col("record"), F.col("_own")  # all of VIEWED
+    bare = F.to_json(F.map_filter(_members(F.col("event")), lambda k, _: k != "durability"))
+    known = events.select("request_id", F.struct("event_index", _text(F.col("event")).alias("line"), bare.alias("bare")).alias("e"))
+    durable = known.groupBy("request_id").agg(F.array_sort(F.collect_list("e")).alias("durable"))
+    skews = rounds.select(F.col("round_id").cast("string").alias("_round"), F.parse_json(F.to_json(F.col("launch_skew_ms").cast("variant"))).alias("_skew"), F.lit(True).alias("_known"))
     placed = schedule.select("request_id", "seq").join(records.select("request_id", "record"), "request_id").withColumn("_round", F.try_variant_get(doc, "$.round_id", "string"))
-    rows = placed.join(durable, "request_id", "left").join(skews, "_round", "left")
+    rows = placed.join(durable, "request_id", "left").join(skews, "_round", "left").withColumn("_own", F.try_variant_get(doc, "$", VIEWED))
+
+    # lines are made in projections, which are compiled; a generator and the functions of arrays are not
+    none = F.create_map().cast("map<string,variant>")
+    skew = F.when(F.col("_known"), F.col("_skew")).otherwise(own["launch_skew_ms"])
+    identity = _added({k: skew if k == "launch_skew_ms" else own[k] for k in REQUEST_KEYS})
+    done = F.coalesce(text(own["terminal_outcome"]) == "completed", F.lit(False))
+    objects = F.coalesce(own["stream_events"], F.array().cast("array<map<string,variant>>"))
+    others = F.when(F.exists(own["stream_events"], lambda m: m.isNull()), F.try_variant_get(doc, "$.stream_events", "array<variant>"))
+    read = rows.select("*", F.coalesce(own["request"], none).alias("_request"), identity.alias("_identity"), _members(doc).alias("_whole"), _added({"launch_skew_ms": F.col("_skew")}).alias("_skewed"), objects.alias("_objects"), others.alias("_inside"), F.col("request_id").cast("variant").alias("_id"), done.alias("_done"))
+
+    def placed_events(**more: Column) -> Column:
+        def parts(members: Column, i: Column) -> Column:
+            index = F.coalesce(members["event_index"], i.cast("bigint").cast("variant"))
+            added = _added({"request_id": F.col("_id"), "event_index": index, **more})
+            return F.struct(F.coalesce(members, F.create_map(F.lit("payload"), F.get("_inside", i))).alias("own"), added.alias("added"), members.isNotNull().alias("object"))
+
+        return F.transform("_objects", parts)
+
+    wanted = F.transform(F.filter(placed_events(), lambda x: x["object"]), lambda x: _over(x["own"], x["added"]))
+    embedded = F.transform(placed_events(durability=F.lit("terminal_embedded").cast("variant")), lambda x, i: _output("stream-events", i, body=_over(x["own"], x["added"])))
+    kept = F.transform("durable", lambda d, i: _output("stream-events", i, d["line"]))
+    # most are the same as they stand; the others may still differ only in how a number is written
+    bare = F.col("durable.bare")
+    alike = F.to_json(wanted) == F.concat(F.lit("["), F.array_join(bare, ",", "null"), F.lit("]"))
+    differ = F.col("durable").isNotNull() & ~alike & (F.transform(bare, _normal) != F.transform(wanted, lambda m: _normal(F.to_json(m)))) & ~known_signature(doc, shell=True)
+    wrong = F.raise_error(F.concat(F.lit("durable events differ from the record: "), F.col("request_id"))).cast(OUTPUTS)
+    said_events = F.when(F.col("_differ"), wrong).when(F.col("durable").isNotNull(), kept).otherwise(embedded)
 
-    own = _members(doc)
-    result = F.when(F.col("_known"), _with(own, {"launch_skew_ms": F.col("_skew")})).otherwise(F.to_json(doc))
-    skew = F.when(F.col("_known"), F.col("_skew")).otherwise(member(doc, "launch_skew_ms"))
-    request = _with(_members(member(doc, "request")), {k: skew if k == "launch_skew_ms" else member(doc, k) for k in REQUEST_KEYS})
     empty = F.parse_json(F.lit('""'))
-    said = {"request_id": member(doc, "request_id"), "provider": member(doc, "provider"), "task_family": member(doc, "task_family"), "item_id": member(doc, "item_id")}
-    said |= {"reasoning": F.coalesce(member(doc, "reconstructed_reasoning"), empty), "answer": F.coalesce(member(doc, "reconstructed_answer", "answer"), empty)}
-
-    inside = F.coalesce(F.try_variant_get(doc, "$.stream_events", "array<variant>"), F.array().cast("array<variant>"))
-    identity = F.col("request_id").cast("variant")
-
-    def placed_event(e: Column, i: Column, **more: Column) -> Column:
-        body = F.when(is_object(e), _members(e)).otherwise(F.create_map(F.lit("payload"), e))
-        index = F.when(is_object(e), F.coalesce(member(e, "event_index"), i.cast("bigint").cast("variant"))).otherwise(i.cast("bigint").cast("variant"))
-        return _with(body, {"request_id": identity, "event_index": index, **more})
-
-    as_embedded = F.transform(inside, lambda e, i: placed_event(e, i, durability=F.lit("terminal_embedded").cast("variant")))
-    wanted = F.filter(F.transform(inside, lambda e, i: F.when(is_object(e), placed_event(e, i))), lambda x: x.isNotNull())
-    kept = F.transform("durable", lambda d: d["line"])
-    bare = F.transform(kept, lambda x: _without(_members(F.parse_json(x)), "durability"))
-    differ = F.col("durable").isNotNull() & (bare != wanted) & ~known_signature(doc, shell=True)
-    wrong = F.raise_error(F.concat(F.lit("durable events differ from the record: "), F.col("request_id"))).cast("array<string>")
-    said_events = F.when(differ, wrong).when(F.col("durable").isNotNull(), kept).otherwise(as_embedded)
-
-    line = lambda name, text_: F.struct(F.lit(name).alias("output"), F.lit(0).alias("place"), text_.alias("line"))
-    done = F.coalesce(text(member(doc, "terminal_outcome")) == "completed", F.lit(False))
-    plain = F.array(line("results", result), line("requests", request), line("reconstructed-responses", _with(None, said)), F.when(~done, line("failures", result)))
-    out = rows.select("seq", F.inline(F.concat(F.filter(plain, lambda x: x.isNotNull()), F.transform(said_events, lambda e, i: F.struct(F.lit("stream-events").alias("output"), i.alias("place"), e.alias("line"))))))
+    said = {"answer": F.coalesce(own["reconstructed_answer"], own["answer"], empty), "item_id": own["item_id"], "provider": own["provider"], "reasoning": F.coalesce(own["reconstructed_reasoning"], empty), "request_id": own["request_id"], "task_family": own["task_family"]}
+    result = F.when(F.col("_known"), _json(_over(F.coalesce(F.col("_whole"), none), F.col("_skewed")))).otherwise(F.coalesce(F.to_json("_whole"), F.to_json(doc)))
+    made = read.select("*", result.alias("_result"), _json(_over(F.col("_request"), F.col("_identity"))).alias("_line"), _json(_added(said)).alias("_said"), differ.alias("_differ"))
+    plain = [_output(name, F.lit(0), F.col(c)) for name, c in (("results", "_result"), ("requests", "_line"), ("reconstructed-responses", "_said"))]
+    plain = F.when(F.col("_done"), F.array(*plain)).otherwise(F.array(*plain, _output("failures", F.lit(0), F.col("_result"))))
+    out = made.select("seq", F.inline_outer(F.concat(plain, said_events))).withColumn("line", F.coalesce("line", _json(F.col("body"))))
     judged = schedule.select("request_id", "seq").join(evaluations.select("request_id", "evaluation"), "request_id")
-    return out.select("output", "seq", "place", "line").union(judged.select(F.lit("evaluations"), "seq", F.lit(0), F.to_json("evaluation")))
+    return out.select("output", "seq", "place", "line").union(judged.select(F.lit("evaluations"), "seq", F.lit(0), _text(F.col("evaluation"))))
 
 
 def write_attempt(views: DataFrame, folder: str) -> None:

@@ -77,3 +77,18 @@ def test_files_hold_the_order_and_reruns_give_the_same(spark, tmp_path):
 
 def test_nothing(spark):
     assert frames(spark, []).collect() == []
+
+
+def test_lines_are_not_made_in_the_generator(spark):
+    """Making a line is dear, and Spark doesn't compile what a generator holds."""
+    plan = frames(spark, [{"request_id": "a"}])._jdf.queryExecution().optimizedPlan().toString()
+    held = [x for x in plan.splitlines() if "Generate inline" in x]
+    assert held and not any("StructsToJson" in x or "to_json" in x for x in held)
+
+
+def test_numbers_and_names_are_written_as_before(spark):
+    record = {"request_id": "a", "round_id": "r", "é\U0001f600": 1, "x": 100.0, "stream_events": [{"t": 2.0, "": 1}]}
+    views = frames(spark, [record], events=[durable("a", 0, **{"t": 2, "": 1})], rounds=[("r", 2.0)])
+    found = {r.output: r.line for r in views.collect()}
+    assert '"launch_skew_ms":2,' in found["results"] and '"x":100' in found["results"] and json.loads(found["results"]) == {**record, "launch_skew_ms": 2}
+    assert '"launch_skew_ms":2,' in found["requests"]
