@@ -131,13 +131,13 @@ def audit_run(saved: DataFrame, items: DataFrame, prices: DataFrame, families: t
     """Audit of a run from its saved records (request_id, record) in all PARTS.
 
     ``evaluations`` has request_id and the columns of a judgement, ``family_metrics``
-    is a saved metrics.family_metrics, ``wins`` and ``differences`` have a saved
+    is a saved metrics.family_metrics with order_free costs, ``wins`` and ``differences`` have a saved
     paired.fastest_wins and paired.pairwise by measure. Records are read and folded
     once; their facts are kept on the executors' disks while the parts are compared.
     """
     spark = saved.sparkSession
     facts = records.record_facts(saved, items, prices, families, count_tokens, strict=False).persist(StorageLevel.DISK_ONLY)
-    now = metrics.family_metrics(facts)
+    now = metrics.family_metrics(facts, order_free=True)
     pairs = [("evaluations", evaluations, facts.where("problem IS NULL"), ["request_id"], list(records.JUDGEMENT)), ("metrics", family_metrics, now, ["provider", "family"], [c for c in now.columns if c not in ("provider", "family")])]
     for measure, frame in wins.items():
         again = paired.fastest_wins(facts, measure, eligible)

@@ -72,7 +72,7 @@ def audited(spark, sf_dir, faulty):
     off = lambda rest: F.lit(faulty) & (seq % 97 == rest)
     judged = f.where(~off(LOST)).withColumn("classification", F.when(off(CLASS), "lost").otherwise(F.col("classification"))).select("request_id", *JUDGEMENT)
     wrong = lambda name, column, step: F.col(column) + F.when(F.lit(faulty) & (F.col("provider") == name), step).otherwise(0)
-    table = metrics.family_metrics(f).withColumn("correct_count", wrong("arm2", "correct_count", 1))
+    table = metrics.family_metrics(f, order_free=True).withColumn("correct_count", wrong("arm2", "correct_count", 1))
     wins = paired.fastest_wins(f, "e2e_ms").withColumn("credit", wrong("arm5", "credit", 1.0))
     apart = paired.pairwise(f, "ttfa_ms").withColumn("paired_count", F.col("paired_count") + F.when(F.lit(faulty) & (F.col("provider_a") == "arm0") & (F.col("provider_b") == "arm1"), 1).otherwise(0))
     n = F.when((F.col("outcome") == "2xx") & ~off(EVENTS), 2 + (F.col("k") % 3 > 0).cast("int") - off(COUNT).cast("int")).otherwise(0)

@@ -130,6 +130,22 @@ def test_faults_fail_their_conditions(spark, world):
         assert got.pop("success") is False and [k for k, v in got.items() if not v] == [condition]
 
 
+def test_costs_and_credits_do_not_depend_on_order(spark):
+    """Costs whose sum is a tie of rounding, and thirds and sevenths of wins, come to the same double whatever task they are in."""
+    costs = [0.1, 0.2, 0.3, 0.0000005] * 25
+    fact = spark.createDataFrame([("p", "f", "2xx", True, False, 1.0, 1.0, 1, True, 1.0, 1.0, c, 1, 1, i) for i, c in enumerate(costs)], "provider string, family string, outcome string, correct boolean, invalid boolean, ttfo_ms double, ttfa_ms double, pre_answer_reasoning_tokens long, reasoning_emitted boolean, e2e_ms double, speed double, cost_usd double, tokens_in long, tokens_out long, i int")
+    orders = [fact.coalesce(1).orderBy("i"), fact.coalesce(1).orderBy(F.desc("i")), fact.coalesce(1).orderBy("cost_usd"), fact.coalesce(1).orderBy(F.desc("cost_usd")), fact.repartition(7, "i")]
+    assert {metrics.family_metrics(o, order_free=True).first().known_cost_usd for o in orders} == {15.000013}
+    large = fact.withColumn("cost_usd", F.when(F.col("i") == 0, 1e300).otherwise(F.col("cost_usd")))
+    assert metrics.family_metrics(large, order_free=True).first().known_cost_usd == 1e300
+    none = fact.withColumn("cost_usd", F.lit(None).cast("double"))
+    assert metrics.family_metrics(none, order_free=True).first().known_cost_usd is None
+    ties = [3, 7, 1, 3, 6, 7, 9] * 40
+    wins = spark.createDataFrame([(r, f"p{p}", 1.0) for r, k in enumerate(ties) for p in range(k)], "round_id int, provider string, e2e_ms double")
+    got = {tuple((r.provider, r.credit, r.outright, r.tied, r.samples) for r in paired.fastest_wins(w, "e2e_ms").orderBy("provider").collect()) for w in (wins.orderBy("round_id"), wins.orderBy(F.desc("round_id")), wins.repartition(5, "round_id"))}
+    assert len(got) == 1 and next(iter(got))[0] == ("p0", round(40 * (2 / 3 + 2 / 7 + 1 + 1 / 6 + 1 / 9), 9), 40, 240, 280)
+
+
 def test_a_part_that_was_not_looked_at_fails(spark):
     flags = spark.createDataFrame([("p", True, True)], "provider string, complete boolean, compatible boolean")
     units, nothing = spark.createDataFrame([(True, True)], "recorded boolean, evaluated boolean"), spark.createDataFrame([], audit.VIOLATION)
