@@ -146,6 +146,14 @@ def test_costs_and_credits_do_not_depend_on_order(spark):
     assert len(got) == 1 and next(iter(got))[0] == ("p0", round(40 * (2 / 3 + 2 / 7 + 1 + 1 / 6 + 1 / 9), 9), 40, 240, 280)
 
 
+def test_no_filter_makes_records_again(spark, world):
+    """The join with items needs a record's item, and Spark filters by it; not below the making of the record, where that would be done twice."""
+    facts = records.record_facts(docs(spark, [record(0), record(1, item_id=None)]), *world, FAMILIES, F.length, strict=False)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" in plan and not [line for line in plan.split("\n") if "Filter" in line.split("(")[0] and "parseJson" in line]
+    assert [r.request_id for r in facts.collect()] == ["r0"]
+
+
 def test_a_part_that_was_not_looked_at_fails(spark):
     flags = spark.createDataFrame([("p", True, True)], "provider string, complete boolean, compatible boolean")
     units, nothing = spark.createDataFrame([(True, True)], "recorded boolean, evaluated boolean"), spark.createDataFrame([], audit.VIOLATION)
